@@ -1,0 +1 @@
+"""No streaming operator exists in scope: every input is a finished table."""
