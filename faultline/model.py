@@ -4,7 +4,7 @@ from __future__ import annotations
 
 # ---------------------------------------------------------------- schemas
 DATASETS = ("catalog STRING, ds_pos INT, urn STRING, name STRING, sql_name STRING, "
-            "platform STRING, owners ARRAY<STRING>, columns ARRAY<STRING>")
+            "platform STRING, owners ARRAY<STRING>")
 COLUMNS = "catalog STRING, urn STRING, col_pos INT, column STRING, native_type STRING"
 QUERIES = ("catalog STRING, q_pos BIGINT, query_id STRING, sql STRING, platform STRING, "
            "team STRING, actor STRING, runs INT, last_run STRING")

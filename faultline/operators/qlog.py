@@ -96,12 +96,13 @@ def _at(array: str, i: str) -> str:
 
 
 def scan(shapes: DataFrame) -> DataFrame:
-    """Adds to rows with `tokens`: assessable, sources, refs, stars, projections.
+    """Adds to rows with `tokens`: assessable, sources, refs, stars, projections, outputs.
 
     sources      array<struct<depth, pos, name, alias>>  in resolution order
     refs         array<struct<pos, qualifier, name, clause>>
     stars        array<struct<depth, pos, qualifier>>    '' for a bare star
     projections  array<struct<pos, len, depth, qualifier, name, output, sole>>
+    outputs      array<string>: output names of the outermost first SELECT
     """
     keep = [c for c in shapes.columns]
     kind = (
@@ -230,6 +231,16 @@ def scan(shapes: DataFrame) -> DataFrame:
     d = d.withColumn("sources", F.expr(f"array_sort({tables})"))
     d = d.withColumn("refs", F.expr(refs)).withColumn("stars", F.expr(f"array_sort({stars})"))
     d = d.withColumn("projections", F.expr(projections))
+    outputs = (
+        f"filter({span}, i -> {k} = 'i' and {cl} = 's' and {nxt} in {ends}"
+        f" and ({prev} = 'as' or {prev} in {starts} or {after_operand}))")
+    heads = (f"array_sort(transform(filter({span}, i -> get(low, i) = 'select'),"
+             " i -> struct(ascii(substr(fold.dep, i + 1, 1)) as d, i as p)))")
+    d = d.withColumn("heads", F.expr(heads)).withColumn("outputs", F.expr(
+        f"transform(filter({outputs}, i -> ascii(substr(fold.dep, i + 1, 1)) = heads[0].d"
+        " and i > heads[0].p and not exists(heads, h -> h.d = heads[0].d and h.p > heads[0].p"
+        " and h.p < i)), i -> element_at("
+        f"{parts.format('get(low, i)')}, -1))"))
     none = {c: F.when(F.col("assessable"), F.col(c)).otherwise(
-        F.slice(F.col(c), 1, 0)).alias(c) for c in ("sources", "refs", "stars", "projections")}
+        F.slice(F.col(c), 1, 0)).alias(c) for c in ("sources", "refs", "stars", "projections", "outputs")}
     return d.select(*keep, "assessable", *none.values())
