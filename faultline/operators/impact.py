@@ -117,9 +117,8 @@ class Index:
 
 def attach_sources(scanned: DataFrame, catalog: Catalog, keys: tuple[str, ...]) -> DataFrame:
     """Adds `src`: the sources of a statement with their dataset and the columns it provides,
-    cut to the names the statement uses without a qualifier."""
-    names = F.array_distinct(F.transform(
-        F.filter("refs", lambda r: r["qualifier"] == ""), lambda r: r["name"]))
+    cut to the names the statement uses."""
+    names = F.array_distinct(F.transform("refs", lambda r: r["name"]))
     rows = scanned.select(*keys, names.alias("names"),
                           F.posexplode("sources").alias("ord", "s"))
     known = (dataset_by_bare_name(catalog.datasets)
@@ -202,7 +201,7 @@ def build_index(catalog: Catalog) -> Index:
         F.count("*").alias("n"), F.sum("runs").alias("runs"),
         F.first("tokens").alias("tokens")))
     scanned = cut_lineage(qlog.scan(qlog.distinct_shapes(cells)).drop("tokens", "projections", "outputs"))
-    usage, stars = usage_rows(attribute(scanned, catalog))
+    usage, stars = usage_rows(cut_lineage(attribute(scanned, catalog)))
     return Index(cells.drop("tokens"), scanned.select("catalog", "shape_id", "assessable"),
                  usage, stars)
 

@@ -91,8 +91,51 @@ def distinct_shapes(shaped: DataFrame, keys: tuple[str, ...] = ("catalog",)) ->
 
 
 # ---------------------------------------------------------------- the scan
-def _at(array: str, i: str) -> str:
-    return f"coalesce(get({array}, {i}), '')"
+def _kind_expr() -> str:
+    """k keyword, i name, s qualified star, l literal, n number, p anything else."""
+    return ("case when t in (" + _words(KEYWORDS) + ") then 'k' "
+            "when t rlike '^[a-z_\"`].*[.] ?[*]$' then 's' "
+            "when t rlike '^([a-z_]|\"..|`..)' then 'i' "
+            "when t = '\\'?\\'' then 'l' when t = '0' then 'n' else 'p' end")
+
+
+def _fold_expr() -> str:
+    """`st` is the stack of clause letters, innermost first; `out` the letter that governs
+    each token; `dep` its depth as a character."""
+    top, rest = "left(a.st, 1)", "substr(a.st, 2)"
+    step = f"""case
+      when c = '-' then a.st
+      when c = '(' then concat(upper({top}), a.st)
+      when c = ')' then case when length(a.st) > 1 then {rest} else '' end
+      when c = ',' then case when {top} in ('f', 'n', 'j') then concat('n', {rest}) else a.st end
+      when c = 'f' and {top} <> 's' or c = 'j' and {top} not in ('f', 'n')
+        or c = 'x' and {top} not in ('f', 'n', 'j', 'w', 'g', 'h') then a.st
+      else concat(c, {rest}) end"""
+    return f"""aggregate(classes, named_struct('st', 'X', 'out', '', 'dep', ''),
+      (a, c) -> named_struct('st', {step},
+        'out', concat(a.out, case when a.st = '' then '!' else {top} end),
+        'dep', concat(a.dep, char(40 + least(length(a.st), 80)))))"""
+
+
+# One struct per token with the neighbours the rules look at.
+_WINDOW = """transform(low, (t, i) -> named_struct('i', i, 't', t,
+  'k', substr(kinds, i + 1, 1), 'c', substr(fold.out, i + 1, 1),
+  'd', ascii(substr(fold.dep, i + 1, 1)) - 40,
+  'p', coalesce(get(low, i - 1), ''), 'p2', coalesce(get(low, i - 2), ''),
+  'pk', case when i > 0 then substr(kinds, i, 1) else '' end,
+  'n', coalesce(get(low, i + 1), ''), 'n2', coalesce(get(low, i + 2), ''),
+  'n3', coalesce(get(low, i + 3), ''),
+  'nk', substr(kinds, i + 2, 1), 'nk2', substr(kinds, i + 3, 1)))"""
+_ENDS = "('', ',', 'from', ')', ';', 'union', 'except', 'intersect', 'minus', 'limit', 'where')"
+_HEAD = "('select', 'distinct', 'all')"
+_STARTS = "('select', 'distinct', 'all', ',')"
+# The name parts of a token, quotes removed.
+_PARTS = ("transform(regexp_extract_all(x.t, '(?:[^.\"`]++|\"[^\"]++\"|`[^`]++`)', 0),"
+          " p -> trim(regexp_replace(p, '[\"`]', '')))")
+
+
+def _unquoted(token: str) -> str:
+    return f"regexp_replace({token}, '[\"`]', '')"
 
 
 def scan(shapes: DataFrame) -> DataFrame:
@@ -104,143 +147,90 @@ def scan(shapes: DataFrame) -> DataFrame:
     projections  array<struct<pos, len, depth, qualifier, name, output, sole>>
     outputs      array<string>: output names of the outermost first SELECT
     """
-    keep = [c for c in shapes.columns]
-    kind = (
-        "case when low_t in (" + _words(KEYWORDS) + ") then 'k' "
-        "when low_t rlike '^[a-z_\"`].*[.] ?[*]$' then 's' "
-        "when low_t rlike '^([a-z_]|\"..|`..)' then 'i' "
-        "when low_t = '\\'?\\'' then 'l' when low_t = '0' then 'n' else 'p' end")
-    classes = "element_at(map({}), low_t)".format(
+    keep = list(shapes.columns)
+    classes = "try_element_at(map({}), t)".format(
         ", ".join(f"'{k}', '{v}'" for k, v in _CLASSES.items()))
     d = shapes.withColumn("low", F.transform("tokens", F.lower))
-    d = d.withColumn("kinds", F.expr(
-        f"array_join(transform(low, low_t -> {kind}), '')"))
-    d = d.withColumn("classes", F.expr(
-        f"transform(low, low_t -> coalesce({classes.replace('element_at', 'try_element_at')},"
-        " '-'))"))
-    # One fold: `st` is the stack of clause letters (innermost first), `out` the letter that
-    # governs each token, `dep` its depth as a character.
-    top = "left(a.st, 1)"
-    put = "concat({}, substr(a.st, 2))"
-    step = (
-        "case when c = '-' then a.st"
-        f" when c = '(' then concat(upper({top}), a.st)"
-        " when c = ')' then case when length(a.st) > 1 then substr(a.st, 2) else '' end"
-        f" when c = ',' then case when {top} in ('f', 'n', 'j') then {put.format(chr(39) + 'n' + chr(39))}"
-        " else a.st end"
-        f" when c = 'f' then case when {top} = 's' then {put.format('c')} else a.st end"
-        f" when c = 'j' then case when {top} in ('f', 'n') then {put.format('c')} else a.st end"
-        f" when c = 'x' then case when {top} in ('f', 'n', 'j', 'w', 'g', 'h') then"
-        f" {put.format('c')} else a.st end"
-        f" else {put.format('c')} end")
-    d = d.withColumn("fold", F.expr(
-        "aggregate(classes, named_struct('st', 'X', 'out', '', 'dep', ''),"
-        " (a, c) -> named_struct("
-        f"'st', {step},"
-        " 'out', concat(a.out, case when a.st = '' then '!' else left(a.st, 1) end),"
-        " 'dep', concat(a.dep, char(40 + least(length(a.st), 80)))))"))
-    n = "size(low)"
-    # Classes after which a clause keyword, a closing paren or the end is an empty clause.
-    empty_clause = (
-        f"exists(sequence(0, {n} - 1), i -> get(classes, i) in ('s','f','n','j','w','g','h','o','q')"
-        f" and ({_at('low', 'i + 1')} in ('', ')', 'from', 'where', 'group by', 'having',"
-        " 'order by', 'qualify', 'join', ';', ','))"
-        " and not (get(low, i) = 'from' and i > 0 and "
-        f"{_at('low', 'i - 1')} in ('both', 'leading', 'trailing')))")
-    # Three names in a row, a name after a select star, or two literals are no SQL.
-    run_on = (
-        "kinds rlike 'iii|l[in]i|nn|ll' or "
-        f"exists(sequence(0, {n} - 1), i -> get(low, i) = '*' and {_at('low', 'i - 1')} in"
-        f" ('select', 'distinct', 'all') and substr(kinds, i + 2, 1) in ('i', 'l', 'n') and"
-        f" not {_at('low', 'i + 1')} in ({_words(_STAR_MODIFIERS)}))")
+    d = d.withColumn("kinds", F.expr(f"array_join(transform(low, t -> {_kind_expr()}), '')"))
+    d = d.withColumn("classes", F.expr(f"transform(low, t -> coalesce({classes}, '-'))"))
+    d = d.withColumn("fold", F.expr(_fold_expr())).withColumn("tk", F.expr(_WINDOW))
+
+    # A clause word may not be followed by another one, a closing paren or the end.
+    bad_token = f"""x.c = '!' or x.d > {MAX_DEPTH} or x.t = ';' and x.n <> ''
+      or x.t in ('{{', '}}', '\\'', '"', '`', '/*', '//', '#', '$$', '\\\\', '!',
+                 {_words(_UNSUPPORTED)})
+      or x.t = 'distinct' and x.n = 'on' or x.t = 'top' and x.p in {_HEAD}
+      or x.t = 'start' and x.n = 'with'
+      or x.t in ('select', 'from', 'join', 'on', 'using', 'where', 'group by', 'having',
+                 'order by', 'qualify')
+         and x.n in ('', ')', 'from', 'where', 'group by', 'having', 'order by', 'qualify',
+                     'join', ';', ',')
+         and not (x.t = 'from' and x.p in ('both', 'leading', 'trailing'))
+      or x.t = '*' and x.p in {_HEAD} and x.nk in ('i', 'l', 'n')
+         and x.n not in ({_words(_STAR_MODIFIERS)})"""
     d = d.withColumn("assessable", F.expr(
-        f"{n} > 0 and {_at('low', '0')} in ('select', 'with', '(')"
-        " and array_contains(low, 'select')"
-        " and not arrays_overlap(low, array('{', '}', '\\'', '\"', '`', '/*', '//', '#', '$$',"
-        f" '\\\\', '!', {_words(_UNSUPPORTED)}))"
-        " and fold.st rlike '^[a-zA-Z]$' and instr(fold.out, '!') = 0"
-        f" and forall(sequence(0, {n} - 1), i -> get(low, i) <> ';' or i = {n} - 1)"
-        f" and not exists(sequence(0, {n} - 1), i -> (get(low, i) = 'distinct' and"
-        f" {_at('low', 'i + 1')} = 'on') or (get(low, i) = 'top' and {_at('low', 'i - 1')} in"
-        " ('select', 'distinct', 'all')) or (get(low, i) = 'start' and"
-        f" {_at('low', 'i + 1')} = 'with'))"
-        f" and not exists(sequence(0, length(fold.dep) - 1), i ->"
-        f" ascii(substr(fold.dep, i + 1, 1)) > {40 + MAX_DEPTH})"
-        f" and not ({empty_clause}) and not ({run_on})"))
-    # A separator between operands may not be missing: ')' directly before '(' or a literal.
-    k = "substr(kinds, i + 1, 1)"
-    pk = "case when i > 0 then substr(kinds, i, 1) else '' end"
-    nk = "substr(kinds, i + 2, 1)"
-    cl = "substr(fold.out, i + 1, 1)"
-    prev, prev2 = _at("low", "i - 1").replace("get(", "get("), _at("low", "i - 2")
-    nxt, nxt2 = _at("low", "i + 1"), _at("low", "i + 2")
-    is_table = (
-        f"{k} = 'i' and {nxt} <> '(' and (({cl} in ('f', 'n') and {prev} in ('from', 'join', ','))"
-        f" or ({cl} in ('F', 'N') and {prev} = '(' and {prev2} in ('from', 'join', ',')))")
-    parts = ("transform(regexp_extract_all({}, '(?:[^.\"`]++|\"[^\"]++\"|`[^`]++`)', 0),"
-             " p -> trim(regexp_replace(p, '[\"`]', '')))")
-    alias = (f"case when {nxt} = 'as' and substr(kinds, i + 3, 1) = 'i' then {nxt2}"
-             f" when {nk} = 'i' then {nxt} else '' end")
-    clean = "regexp_replace({}, '[\"`]', '')"
-    span = f"sequence(0, {n} - 1)"
-    tables = (
-        f"transform(filter({span}, i -> {is_table}), i -> named_struct("
-        "'depth', ascii(substr(fold.dep, i + 1, 1)) - 40, 'pos', i,"
-        f" 'name', element_at({parts.format('get(low, i)')}, -1),"
-        f" 'alias', {clean.format(alias)}))")
-    after_operand = (f"({pk} in ('i', 'l', 'n', 's') or {prev} in (')', ']', 'end'))")
-    is_ref = (
-        f"{k} = 'i' and {nxt} not in ('(', '=>') and not ({is_table})"
-        f" and {prev} not in ('as', '::', ':', 'over', 'window', 'collate')"
-        f" and not {after_operand}"
-        f" and not (get(low, i) in ({_words(_TYPED_LITERALS)}) and {nk} = 'l')"
-        f" and not ({nxt} = 'as' and {nxt2} = '(')"
-        f" and not ({prev} = '(' and {prev2} in ({_words(_UNIT_FUNCTIONS)})"
-        f" and {nxt} in (',', 'from'))")
-    clause_map = "map({})".format(", ".join(f"'{k_}', '{v_}'" for k_, v_ in CLAUSES.items()))
-    refs = (
-        f"transform(filter({span}, i -> {is_ref}), i -> named_struct('pos', i,"
-        f" 'qualifier', coalesce(try_element_at({parts.format('get(low, i)')}, -2), ''),"
-        f" 'name', element_at({parts.format('get(low, i)')}, -1),"
-        f" 'clause', coalesce(try_element_at({clause_map}, lower({cl})), 'select')))")
-    is_star = (
-        f"({k} = 's' and {cl} = 's' and {prev} in ('select', 'distinct', 'all', ','))"
-        f" or (get(low, i) = '*' and {cl} = 's' and {prev} in ('select', 'distinct', 'all', ','))")
-    stars = (
-        f"transform(filter({span}, i -> {is_star}), i -> named_struct("
-        "'depth', ascii(substr(fold.dep, i + 1, 1)) - 40, 'pos', i, 'qualifier',"
-        f" case when get(low, i) = '*' then '' else"
-        f" coalesce(try_element_at({parts.format('get(low, i)')}, -2), '') end))")
-    # A projection that is one plain column, with its length in tokens.
-    ends = "('', ',', 'from', ')', ';', 'union', 'except', 'intersect', 'minus', 'limit', 'where')"
-    starts = "('select', 'distinct', 'all', ',')"
-    width = (f"case when {nxt} in {ends} then 1"
-             f" when {nxt} = 'as' and {_at('low', 'i + 3')} in {ends} then 3"
-             f" when {nk} = 'i' and {nxt2} in {ends} then 2 else 0 end")
-    out_name = f"case when {nxt} = 'as' then {nxt2} when {nk} = 'i' then {nxt} else " \
-               f"element_at({parts.format('get(low, i)')}, -1) end"
-    projections = (
-        f"filter(transform(filter({span}, i -> {k} = 'i' and {cl} = 's' and {prev} in {starts}"
-        f" and {nxt} <> '('), i -> named_struct("
-        f"'pos', i, 'len', {width}, 'depth', ascii(substr(fold.dep, i + 1, 1)) - 40,"
-        f" 'qualifier', coalesce(try_element_at({parts.format('get(low, i)')}, -2), ''),"
-        f" 'name', element_at({parts.format('get(low, i)')}, -1),"
-        f" 'output', {clean.format(out_name)},"
-        f" 'sole', {prev} <> ',' and {_at('low', 'i + (' + width + ')')} <> ',')),"
-        " p -> p.len > 0)")
-    d = d.withColumn("sources", F.expr(f"array_sort({tables})"))
-    d = d.withColumn("refs", F.expr(refs)).withColumn("stars", F.expr(f"array_sort({stars})"))
-    d = d.withColumn("projections", F.expr(projections))
-    outputs = (
-        f"filter({span}, i -> {k} = 'i' and {cl} = 's' and {nxt} in {ends}"
-        f" and ({prev} = 'as' or {prev} in {starts} or {after_operand}))")
-    heads = (f"array_sort(transform(filter({span}, i -> get(low, i) = 'select'),"
-             " i -> struct(ascii(substr(fold.dep, i + 1, 1)) as d, i as p)))")
-    d = d.withColumn("heads", F.expr(heads)).withColumn("outputs", F.expr(
-        f"transform(filter({outputs}, i -> ascii(substr(fold.dep, i + 1, 1)) = heads[0].d"
-        " and i > heads[0].p and not exists(heads, h -> h.d = heads[0].d and h.p > heads[0].p"
-        " and h.p < i)), i -> element_at("
-        f"{parts.format('get(low, i)')}, -1))"))
-    none = {c: F.when(F.col("assessable"), F.col(c)).otherwise(
-        F.slice(F.col(c), 1, 0)).alias(c) for c in ("sources", "refs", "stars", "projections", "outputs")}
-    return d.select(*keep, "assessable", *none.values())
+        "size(low) > 0 and coalesce(get(low, 0), '') in ('select', 'with', '(')"
+        " and array_contains(low, 'select') and fold.st rlike '^[a-zA-Z]$'"
+        # three names in a row, or operands side by side, are no SQL
+        f" and not kinds rlike 'iii|l[in]i|nn|ll' and not exists(tk, x -> {bad_token})"))
+
+    in_list = "x.p in ('from', 'join', ',')"
+    d = d.withColumn("tabs", F.expr(
+        f"""filter(tk, x -> x.k = 'i' and x.n <> '(' and (x.c in ('f', 'n') and {in_list}
+          or x.c in ('F', 'N') and x.p = '(' and x.p2 in ('from', 'join', ',')))"""))
+    d = d.withColumn("taken", F.expr("transform(tabs, x -> x.i)"))
+    after_operand = "(x.pk in ('i', 'l', 'n', 's') or x.p in (')', ']', 'end'))"
+    d = d.withColumn("names", F.expr(
+        f"""filter(tk, x -> x.k = 'i' and x.n not in ('(', '=>') and not {after_operand}
+          and x.p not in ('as', '::', ':', 'over', 'window', 'collate')
+          and not (x.t in ({_words(_TYPED_LITERALS)}) and x.nk = 'l')
+          and not (x.n = 'as' and x.n2 = '(')
+          and not (x.p = '(' and x.p2 in ({_words(_UNIT_FUNCTIONS)}) and x.n in (',', 'from'))
+          and not array_contains(taken, x.i))"""))
+    clauses = "try_element_at(map({}), lower(x.c))".format(
+        ", ".join(f"'{k}', '{v}'" for k, v in CLAUSES.items()))
+    alias = (f"case when x.n = 'as' and x.nk2 = 'i' then x.n2 when x.nk = 'i' then x.n"
+             " else '' end")
+    # The width of a projection that is one plain column, in tokens; 0 for anything else.
+    width = (f"case when x.n in {_ENDS} then 1 when x.n = 'as' and x.n3 in {_ENDS} then 3"
+             f" when x.nk = 'i' and x.n2 in {_ENDS} then 2 else 0 end")
+    qualifier = "coalesce(try_element_at(q, -2), '')"
+
+    def with_parts(rows: str, body: str) -> str:
+        return (f"transform({rows}, x -> aggregate(array({_PARTS}), cast(null as {{}}),"
+                f" (acc, q) -> {body}))")
+
+    d = d.withColumn("sources", F.expr("array_sort(" + with_parts(
+        "tabs", "named_struct('depth', x.d, 'pos', x.i, 'name', element_at(q, -1), 'alias', "
+        f"{_unquoted(alias)})").format("struct<depth: int, pos: int, name: string, alias: string>")
+        + ")"))
+    d = d.withColumn("refs", F.expr(with_parts(
+        "names", f"named_struct('pos', x.i, 'qualifier', {qualifier}, 'name', element_at(q, -1),"
+        f" 'clause', coalesce({clauses}, 'select'))").format(
+        "struct<pos: int, qualifier: string, name: string, clause: string>")))
+    d = d.withColumn("stars", F.expr("array_sort(" + with_parts(
+        f"filter(tk, x -> x.c = 's' and x.p in {_STARTS} and (x.k = 's' or x.t = '*'))",
+        "named_struct('depth', x.d, 'pos', x.i, 'qualifier',"
+        f" case when x.t = '*' then '' else {qualifier} end)").format(
+        "struct<depth: int, pos: int, qualifier: string>") + ")"))
+    d = d.withColumn("projections", F.expr(with_parts(
+        f"filter(tk, x -> x.k = 'i' and x.c = 's' and x.p in {_STARTS} and {width} > 0)",
+        f"named_struct('pos', x.i, 'len', {width}, 'depth', x.d, 'qualifier', {qualifier},"
+        " 'name', element_at(q, -1), 'output', case when x.n = 'as' then "
+        f"{_unquoted('x.n2')} when x.nk = 'i' then {_unquoted('x.n')} else element_at(q, -1) end,"
+        f" 'sole', x.p <> ',' and coalesce(get(low, x.i + {width}), '') <> ',')").format(
+        "struct<pos: int, len: int, depth: int, qualifier: string, name: string, output: string,"
+        " sole: boolean>")))
+    d = d.withColumn("heads", F.expr(
+        "array_sort(transform(filter(tk, x -> x.t = 'select'),"
+        " x -> named_struct('d', x.d, 'i', x.i)))"))
+    d = d.withColumn("outputs", F.expr(with_parts(
+        f"""filter(tk, x -> x.k = 'i' and x.c = 's' and x.n in {_ENDS}
+          and (x.p = 'as' or x.p in {_STARTS} or {after_operand})
+          and x.d = heads[0].d and x.i > heads[0].i
+          and not exists(heads, h -> h.d = heads[0].d and h.i > heads[0].i and h.i < x.i))""",
+        "element_at(q, -1)").format("string")))
+    found = ("sources", "refs", "stars", "projections", "outputs")
+    none = [F.when(F.col("assessable"), F.col(c)).otherwise(F.slice(F.col(c), 1, 0)).alias(c)
+            for c in found]
+    return d.select(*keep, "assessable", *none)
