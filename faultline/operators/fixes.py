@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..scale import cut_lineage
 from . import qlog
 from .impact import Catalog, attach_sources
 
@@ -33,7 +34,7 @@ _NORM = (r"lower(trim(regexp_replace(regexp_replace(trim({}), ',+\\s*$', ''), '\
 
 def scan_models(models: DataFrame, catalog: Catalog) -> DataFrame:
     """Models with their tokens, sources, references and projections."""
-    scanned = qlog.scan(qlog.with_shape(models)).drop("stars", "outputs")
+    scanned = cut_lineage(qlog.scan(qlog.with_shape(models)).drop("stars", "outputs"))
     keys = ("catalog", "path")
     src = attach_sources(scanned.where(F.size("sources") > 0), catalog, keys)
     return scanned.select("catalog", "path", "sql", "tokens", "assessable", "refs",
@@ -99,12 +100,10 @@ def model_fixes(work: DataFrame, models: DataFrame, catalog: Catalog) -> DataFra
         rename, F.when(F.col("by_word"), word_rename).otherwise(token_rename)).otherwise(
         F.when(F.size("hits") == 0, F.col("sql")).when(F.col("by_line"), line_drop)
         .otherwise(token_drop)))
-    again = qlog.scan(d.select("change_id", "catalog", "path", "asset_urn",
-                               qlog.shape_tokens("new_sql").alias("tokens")))
-    again = again.select("change_id", "catalog", "path", "asset_urn",
-                         F.col("assessable").alias("new_ok"))
     keys = ["change_id", "catalog", "path", "asset_urn"]
-    d = d.join(again, keys, "left")
+    d = qlog.readable(
+        d.drop("tokens", "refs", "projections", "src", "raw", "at", "cut", "lines", "wanted"),
+        qlog.shape_tokens(F.coalesce("new_sql", F.lit(""))), "new_ok")
     drop = ~rename
     review = F.array_compact(F.array(
         F.when(drop & (F.size("filters") > 0),

@@ -138,23 +138,14 @@ def _unquoted(token: str) -> str:
     return f"regexp_replace({token}, '[\"`]', '')"
 
 
-def scan(shapes: DataFrame) -> DataFrame:
-    """Adds to rows with `tokens`: assessable, sources, refs, stars, projections, outputs.
-
-    sources      array<struct<depth, pos, name, alias>>  in resolution order
-    refs         array<struct<pos, qualifier, name, clause>>
-    stars        array<struct<depth, pos, qualifier>>    '' for a bare star
-    projections  array<struct<pos, len, depth, qualifier, name, output, sole>>
-    outputs      array<string>: output names of the outermost first SELECT
-    """
-    keep = list(shapes.columns)
+def _lex(rows: DataFrame) -> DataFrame:
     classes = "try_element_at(map({}), t)".format(
         ", ".join(f"'{k}', '{v}'" for k, v in _CLASSES.items()))
-    d = shapes.withColumn("low", F.transform("tokens", F.lower))
-    d = d.withColumn("kinds", F.expr(f"array_join(transform(low, t -> {_kind_expr()}), '')"))
-    d = d.withColumn("classes", F.expr(f"transform(low, t -> coalesce({classes}, '-'))"))
+    d = rows.withColumn("low", F.transform("tokens", F.lower))
+    d = d.withColumns({
+        "kinds": F.expr(f"array_join(transform(low, t -> {_kind_expr()}), '')"),
+        "classes": F.expr(f"transform(low, t -> coalesce({classes}, '-'))")})
     d = d.withColumn("fold", F.expr(_fold_expr())).withColumn("tk", F.expr(_WINDOW))
-
     # A clause word may not be followed by another one, a closing paren or the end.
     bad_token = f"""x.c = '!' or x.d > {MAX_DEPTH} or x.t = ';' and x.n <> ''
       or x.t in ('{{', '}}', '\\'', '"', '`', '/*', '//', '#', '$$', '\\\\', '!',
@@ -168,25 +159,40 @@ def scan(shapes: DataFrame) -> DataFrame:
          and not (x.t = 'from' and x.p in ('both', 'leading', 'trailing'))
       or x.t = '*' and x.p in {_HEAD} and x.nk in ('i', 'l', 'n')
          and x.n not in ({_words(_STAR_MODIFIERS)})"""
-    d = d.withColumn("assessable", F.expr(
+    return d.withColumn("assessable", F.expr(
         "size(low) > 0 and coalesce(get(low, 0), '') in ('select', 'with', '(')"
         " and array_contains(low, 'select') and fold.st rlike '^[a-zA-Z]$'"
         # three names in a row, or operands side by side, are no SQL
         f" and not kinds rlike 'iii|l[in]i|nn|ll' and not exists(tk, x -> {bad_token})"))
 
+
+def readable(rows: DataFrame, tokens: Column, name: str) -> DataFrame:
+    """Adds whether a statement can be assessed at all."""
+    keep = list(rows.columns)
+    return _lex(rows.withColumn("tokens", tokens)).select(*keep, F.col("assessable").alias(name))
+
+
+def scan(shapes: DataFrame) -> DataFrame:
+    """Adds to rows with `tokens`: assessable, sources, refs, stars, projections, outputs.
+
+    sources      array<struct<depth, pos, name, alias>>  in resolution order
+    refs         array<struct<pos, qualifier, name, clause>>
+    stars        array<struct<depth, pos, qualifier>>    '' for a bare star
+    projections  array<struct<pos, len, depth, qualifier, name, output, sole>>
+    outputs      array<string>: output names of the outermost first SELECT
+    """
+    keep = list(shapes.columns)
+    d = _lex(shapes)
     in_list = "x.p in ('from', 'join', ',')"
-    d = d.withColumn("tabs", F.expr(
-        f"""filter(tk, x -> x.k = 'i' and x.n <> '(' and (x.c in ('f', 'n') and {in_list}
-          or x.c in ('F', 'N') and x.p = '(' and x.p2 in ('from', 'join', ',')))"""))
-    d = d.withColumn("taken", F.expr("transform(tabs, x -> x.i)"))
+    is_table = f"""(x.k = 'i' and x.n <> '(' and (x.c in ('f', 'n') and {in_list}
+      or x.c in ('F', 'N') and x.p = '(' and x.p2 in ('from', 'join', ',')))"""
     after_operand = "(x.pk in ('i', 'l', 'n', 's') or x.p in (')', ']', 'end'))"
-    d = d.withColumn("names", F.expr(
-        f"""filter(tk, x -> x.k = 'i' and x.n not in ('(', '=>') and not {after_operand}
-          and x.p not in ('as', '::', ':', 'over', 'window', 'collate')
-          and not (x.t in ({_words(_TYPED_LITERALS)}) and x.nk = 'l')
-          and not (x.n = 'as' and x.n2 = '(')
-          and not (x.p = '(' and x.p2 in ({_words(_UNIT_FUNCTIONS)}) and x.n in (',', 'from'))
-          and not array_contains(taken, x.i))"""))
+    is_name = f"""(x.k = 'i' and x.n not in ('(', '=>') and not {after_operand}
+      and x.p not in ('as', '::', ':', 'over', 'window', 'collate')
+      and not (x.t in ({_words(_TYPED_LITERALS)}) and x.nk = 'l')
+      and not (x.n = 'as' and x.n2 = '(')
+      and not (x.p = '(' and x.p2 in ({_words(_UNIT_FUNCTIONS)}) and x.n in (',', 'from'))
+      and not {is_table})"""
     clauses = "try_element_at(map({}), lower(x.c))".format(
         ", ".join(f"'{k}', '{v}'" for k, v in CLAUSES.items()))
     alias = (f"case when x.n = 'as' and x.nk2 = 'i' then x.n2 when x.nk = 'i' then x.n"
@@ -201,11 +207,11 @@ def scan(shapes: DataFrame) -> DataFrame:
                 f" (acc, q) -> {body}))")
 
     d = d.withColumn("sources", F.expr("array_sort(" + with_parts(
-        "tabs", "named_struct('depth', x.d, 'pos', x.i, 'name', element_at(q, -1), 'alias', "
+        f"filter(tk, x -> {is_table})", "named_struct('depth', x.d, 'pos', x.i, 'name', element_at(q, -1), 'alias', "
         f"{_unquoted(alias)})").format("struct<depth: int, pos: int, name: string, alias: string>")
         + ")"))
     d = d.withColumn("refs", F.expr(with_parts(
-        "names", f"named_struct('pos', x.i, 'qualifier', {qualifier}, 'name', element_at(q, -1),"
+        f"filter(tk, x -> {is_name})", f"named_struct('pos', x.i, 'qualifier', {qualifier}, 'name', element_at(q, -1),"
         f" 'clause', coalesce({clauses}, 'select'))").format(
         "struct<pos: int, qualifier: string, name: string, clause: string>")))
     d = d.withColumn("stars", F.expr("array_sort(" + with_parts(

@@ -134,12 +134,15 @@ def edited_consumers(target: DataFrame, patch: Patch, catalog: I.Catalog,
         "change_id", "catalog", "query_id").agg(F.max_by("new_sql", "path").alias("new_sql"))
     log = catalog.queries.select("catalog", "query_id", "sql", "team", "runs", "q_pos").join(
         I.first_assets(catalog.assets), ["catalog", "query_id"], "left")
-    rows = texts.join(log, ["catalog", "query_id"])
-    old = qlog.with_shape(rows).drop("tokens", "sql", "new_sql").join(
+    rows = qlog.with_shape(texts.join(log, ["catalog", "query_id"]))
+    rows = rows.drop("tokens", "sql").withColumnRenamed("shape_id", "old_shape")
+    rows = cut_lineage(qlog.with_shape(rows, "new_sql").drop("new_sql"))
+    old = rows.drop("tokens", "shape_id").withColumnRenamed("old_shape", "shape_id").join(
         index.shapes, ["catalog", "shape_id"])
-    new = qlog.with_shape(rows, "new_sql").drop("sql", "new_sql")
-    scanned = qlog.scan(qlog.distinct_shapes(new)).drop("tokens", "projections", "outputs")
-    usage, stars = I.usage_rows(cut_lineage(I.attribute(scanned, catalog)))
+    new = rows.drop("old_shape")
+    scanned = cut_lineage(qlog.scan(qlog.distinct_shapes(new)).drop(
+        "tokens", "projections", "outputs"))
+    usage, stars = I.usage_rows(I.attribute(scanned, catalog))
     new = new.drop("tokens").join(scanned.select("catalog", "shape_id", "assessable"),
                                   ["catalog", "shape_id"])
     return (paths, _classified(old, I.shape_verdicts(target, index.usage, index.stars)),
@@ -203,8 +206,8 @@ def verify(target: DataFrame, patch: Patch, catalog: I.Catalog, index: I.Index)
         F.count_if(F.col("regressed") & (F.col("before") == "SAFE")).alias("safe_regressed"),
         F.count_if((F.col("after") == "DEGRADES")
                    & ~F.col("before").isin("DEGRADES", "BREAKS")).alias("new_degrades"))
-    parsed = qlog.scan(patch.written.where(F.lower("path").endswith(".sql")).select(
-        "change_id", qlog.shape_tokens(F.coalesce("new_sql", F.lit(""))).alias("tokens")))
+    parsed = qlog.readable(patch.written.where(F.lower("path").endswith(".sql")),
+                           qlog.shape_tokens(F.coalesce("new_sql", F.lit(""))), "assessable")
     parsed = parsed.groupBy("change_id").agg(
         F.count_if(~F.col("assessable")).alias("unreadable"))
     unmapped = paths.where(F.col("written")).groupBy("change_id").agg(
@@ -236,17 +239,12 @@ def verify(target: DataFrame, patch: Patch, catalog: I.Catalog, index: I.Index)
     parts = [prefixed(I.fold_cells(base), "_b"), prefixed(I.fold_cells(after), "_a"),
              more.withColumnRenamed("id", "change_id"), fix_before, moves, parsed, unmapped,
              residual, scope, edits] + [p for p in (gone, moved) if p is not None]
-    for p in parts:
-        rows = rows.join(p, "change_id", "left")
+    got = gather(parts)
+    rows = rows.join(got, "change_id", "left")
     for c in ("deleted", "lost_renames"):
         if c not in rows.columns:
             rows = rows.withColumn(c, F.lit(0).cast("bigint"))
-    counts = [f"{c}{s}" for s in ("_b", "_a") for c in
-              ("breaks", "degrades", "ambiguous", "runs_impacted", "teams")]
-    rows = rows.na.fill(0, counts + [
-        "unknown_d", "fixable_d", "fixable_b", "regressed", "improved", "safe_regressed",
-        "new_degrades", "unreadable", "unmapped", "residual", "out_of_scope", "edits", "deleted",
-        "lost_renames"])
+    rows = rows.na.fill(0, got.columns[1:] + ["deleted", "lost_renames"])
     rows = rows.withColumn("unknown_a", F.col("unknown_b") + F.when(
         F.col("target_urn").isNotNull(), F.col("unknown_d")).otherwise(0))
     rows = rows.withColumn(
@@ -255,6 +253,17 @@ def verify(target: DataFrame, patch: Patch, catalog: I.Catalog, index: I.Index)
     return decide(rows)
 
 
+def gather(parts: list[DataFrame], key: str = "change_id") -> DataFrame:
+    """Partial rows per key to one row per key in one shuffle; counts add up."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    types = dict(out.dtypes)
+    return out.groupBy(key).agg(*[
+        (F.max(c) if types[c] in ("string", "array<string>") else F.sum(c)).alias(c)
+        for c in out.columns if c != key])
+
+
 def flag_hits(asset_rows: DataFrame, hits: DataFrame) -> DataFrame:
     """Asset-defined consumers a change breaks or degrades with confidence."""
     return asset_rows.where("assessable").join(

@@ -89,7 +89,10 @@ def sweep(catalog: I.Catalog, index: I.Index, models: DataFrame | None = None,
             F.col("before")["breaks"].alias("breaks_before"),
             F.col("after")["breaks"].alias("breaks_after"))
     blocked = unfixed.groupBy("change_id").agg(F.count("*").alias("blocked_assets"))
-    rows = cand.join(asset_breaks, "change_id", "left").join(blocked, "change_id", "left")
+    parts = [asset_breaks, blocked]
+    if models is not None:
+        parts += [patched, errors, verdicts]
+    rows = cand.join(V.gather(parts), "change_id", "left")
     if models is None:
         rows = rows.withColumns({
             "fixes": F.lit(0), "fix_method": F.lit(None).cast("string"),
@@ -97,9 +100,6 @@ def sweep(catalog: I.Catalog, index: I.Index, models: DataFrame | None = None,
             "reasons": F.array().cast("array<string>"),
             "breaks_before": F.lit(None).cast("bigint"),
             "breaks_after": F.lit(None).cast("bigint")})
-    else:
-        for p in (patched, errors, verdicts):
-            rows = rows.join(p, "change_id", "left")
     rows = rows.na.fill(0, ["asset_breaks", "blocked_assets", "fixes"])
     rows = rows.withColumn("blocking", F.col("blocked_assets") + F.col("breaks")
                            - F.col("asset_breaks"))
