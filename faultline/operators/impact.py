@@ -11,10 +11,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import expr as X
-from ..scale import cut_lineage
+from ..scale import cut_lineage, number_rows
 from . import qlog
 
 CONFIDENCE = ("high", "medium", "low")
@@ -331,10 +331,9 @@ def fragility(catalog: Catalog, index: Index, top: int | None = None) -> DataFra
             .na.fill(0, [*_COUNTS, "queries_total", "unknown"]))
     rows = finish_counts(rows.withColumn(
         "teams_impacted", F.coalesce("teams_impacted", F.array().cast("array<string>"))))
-    order = W.partitionBy("catalog").orderBy(
+    ranked = number_rows(rows, ["catalog"], [
         F.desc("score"), F.desc("breaks"), F.desc("runs_impacted"), F.desc("degrades"),
-        "ds_pos", "col_pos")
-    ranked = rows.withColumn("position", F.row_number().over(order))
+        "ds_pos", "col_pos"], "position")
     if top:
         ranked = ranked.where(F.col("position") <= top)
     return ranked.select("id", "catalog", "position", "dataset_name", "dataset_urn", "dataset",

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import expr as X
-from ..scale import cut_lineage
+from ..scale import cut_lineage, number_rows
 from . import fixes as FX, impact as I, qlog
 
 
@@ -38,9 +38,10 @@ def diff_definitions(before: DataFrame, after: DataFrame) -> Patch:
     new = both.where(F.col("hb").isNull()).select("change_id", "path", F.col("ha").alias("h"),
                                                   "sql")
     # One partner each: equal texts are paired in path order.
-    nth = F.row_number().over(W.partitionBy("change_id", "h").orderBy("path"))
-    pairs = gone.withColumn("n", nth).withColumnRenamed("path", "old_path").join(
-        new.withColumn("n", nth).withColumnRenamed("path", "new_path"),
+    pairs = number_rows(gone, ["change_id", "h"], ["path"], "n").withColumnRenamed(
+        "path", "old_path").join(
+        number_rows(new, ["change_id", "h"], ["path"], "n").withColumnRenamed(
+            "path", "new_path"),
         ["change_id", "h", "n"]).select("change_id", "old_path", "new_path",
                                         F.col("sql").alias("new_sql"))
     moved_old = pairs.select("change_id", F.col("old_path").alias("path"))

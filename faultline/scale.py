@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 MB = 1 << 20
 
@@ -32,3 +33,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise `df` durably, so later steps neither replan nor recompute it."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
+                name: str) -> DataFrame:
+    """Adds the 1-based position of each row within its key, however large the key is.
+
+    Rows are range-partitioned by key and order, so a large key spreads over many
+    partitions; each numbers its own rows and adds the sizes of the ones before.
+    """
+    cols = [F.col(o) if isinstance(o, str) else o for o in order]
+    placed = cut_lineage(df.repartitionByRange(*[F.col(k) for k in keys], *cols))
+    placed = placed.withColumn("_part", F.spark_partition_id())
+    sizes = placed.groupBy(*keys, "_part").agg(F.count("*").alias("_size"))
+    before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    sizes = sizes.select(*keys, "_part",
+                         F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(W.partitionBy(*keys, "_part").orderBy(*cols))
+    return (placed.withColumn(name, inside).join(sizes, [*keys, "_part"])
+            .withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_before"))
