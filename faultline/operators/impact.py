@@ -429,5 +429,9 @@ def most_referenced_columns(catalog: Catalog) -> DataFrame:
 
 def projected_columns(queries: DataFrame) -> DataFrame:
     """Output names of each readable statement's outermost first SELECT."""
-    scanned = qlog.scan(qlog.with_shape(queries)).where("assessable")
-    return scanned.select("catalog", "query_id", F.posexplode("outputs").alias("pos", "output"))
+    shaped = qlog.with_shape(queries).select("catalog", "query_id", "shape_id", "tokens")
+    # Cut before filtering: a pushed-down filter would repeat the scan inside itself.
+    scanned = cut_lineage(qlog.scan(qlog.distinct_shapes(shaped)).select(
+        "catalog", "shape_id", "assessable", "outputs"))
+    return shaped.drop("tokens").join(scanned.where("assessable"), ["catalog", "shape_id"]).select(
+        "catalog", "query_id", F.posexplode("outputs").alias("pos", "output"))

@@ -95,9 +95,11 @@ def find_sql(payloads: DataFrame, json: str = "json") -> DataFrame:
     tvf = payloads.sparkSession.tvf
     found = []
     while True:
-        opened = level.lateralJoin(tvf.variant_explode(F.col("v").outer()))
+        opened = level.withColumnsRenamed({k: f"_k_{k}" for k in keep}).lateralJoin(
+            tvf.variant_explode(F.col("v").outer()))
         opened = cut_lineage(opened.select(
-            *keep, F.concat("path", F.when(F.col("key").isNotNull(),
+            *[F.col(f"_k_{k}").alias(k) for k in keep],
+            F.concat("path", F.when(F.col("key").isNotNull(),
                                            F.concat(F.lit("."), F.col("key"))).otherwise(
                 F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))).alias("path"),
             F.col("key").isNotNull().alias("named"), F.col("value").alias("v"),
