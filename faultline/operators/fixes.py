@@ -79,7 +79,8 @@ def model_fixes(work: DataFrame, models: DataFrame, catalog: Catalog) -> DataFra
         "transform(hits, p -> case when get(tokens, p.pos - 1) = ',' then"
         " named_struct('a', at[p.pos - 1], 'b', at[p.pos + p.len - 1])"
         " when get(tokens, p.pos + p.len) = ',' then"
-        " named_struct('a', at[p.pos], 'b', at[p.pos + p.len])"
+        " named_struct('a', at[p.pos], 'b', coalesce(get(at, p.pos + p.len + 1) - 1,"
+        " at[p.pos + p.len]))"
         " else named_struct('a', at[p.pos], 'b', at[p.pos + p.len - 1]) end)"))
     token_drop = F.expr("array_join(transform(raw, (t, i) -> case when exists(cut, c ->"
                         " i between c.a and c.b) then '' else t end), '')")

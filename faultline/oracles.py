@@ -365,10 +365,6 @@ SQL["log_assessability"] = f"""WITH {_LOG}
 SELECT catalog, tmpl NOT IN (6, 12) AS assessable, count(DISTINCT tmpl) AS shapes,
   count(*) AS statements, sum(runs)::BIGINT AS runs FROM log GROUP BY 1, 2"""
 SQL["column_usage"] = f"""WITH {_LOG}
-SELECT catalog, 'urn:sales:' || ds AS ds_urn, col AS "column", usage, conf AS confidence, clauses,
-  contains(clauses, 'select(*)') AS _s, count(*) AS statements, sum(runs)::BIGINT AS runs
-FROM log JOIN labels USING (tmpl) GROUP BY ALL"""
-SQL["column_usage"] = f"""WITH {_LOG}
 SELECT catalog, 'urn:sales:' || ds AS ds_urn, col AS "column", usage, conf AS confidence,
   replace(clauses, 'select(*)|', '') AS clauses, contains(clauses, 'select(*)') AS star,
   count(*) AS statements, sum(runs)::BIGINT AS runs
@@ -630,11 +626,11 @@ SELECT 'm' || k AS manifest_id, CASE WHEN st = 'FAIL' THEN 'fail_not_approvable'
   WHEN st <> 'REVIEW_REQUIRED' THEN 'not_review_required'
   WHEN k % 11 = 0 OR k % 19 = 0 THEN 'stale' END AS refusal_code FROM s"""
 SQL["aspect_merge"] = """
-WITH e AS (SELECT user_id::VARCHAR AS urn, event_type AS t, event_id AS at FROM events),
+WITH e AS (SELECT user_id::VARCHAR AS urn, event_type AS t, event_id AS eid FROM events),
 c AS (SELECT c_custkey::VARCHAR AS urn, c_mktsegment AS seg, c_name FROM customer),
-tg AS (SELECT urn, list(DISTINCT t ORDER BY t) AS ts, max(at) AS last,
-         arg_max(t, at) AS lt FROM e GROUP BY 1),
-lk AS (SELECT urn, 'doc/' || t AS url, 'e' || max(at) AS title FROM e GROUP BY 1, t
+tg AS (SELECT urn, list(DISTINCT t ORDER BY t) AS ts, max(eid) AS le,
+         arg_max(t, eid) AS lt FROM e GROUP BY 1),
+lk AS (SELECT urn, 'doc/' || t AS url, 'e' || max(eid) AS title FROM e GROUP BY 1, t
        UNION ALL SELECT urn, 'doc/click', c_name FROM c WHERE NOT EXISTS (SELECT 1 FROM e
          WHERE e.urn = c.urn AND t = 'click')),
 ln AS (SELECT urn, string_agg(url || '=' || title, '|' ORDER BY url || '=' || title) AS links
@@ -643,7 +639,7 @@ SELECT urn, array_to_string(CASE WHEN c.seg IS NULL THEN ts ELSE list_concat([lo
     list_filter(coalesce(ts, []), lambda x: x <> lower(c.seg) AND x <> 'view')) END, '|') AS tags,
   CASE WHEN lt IS NULL THEN c_name || chr(10) || chr(10) || '⚠️ old note' ELSE
     coalesce(c_name, '') || chr(10) || chr(10) || '⚠️ last ' || lt END AS description, links,
-  seg AS segment, coalesce(last::VARCHAR, 'none') AS last
+  seg AS segment, coalesce(le::VARCHAR, 'none') AS "last"
 FROM c FULL JOIN tg USING (urn) JOIN ln USING (urn)"""
 
 # ---------------------------------------------------------------- payloads

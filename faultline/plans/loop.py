@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import impact as I, writeback as WB
+from ..scale import cut_lineage
 from . import sweep as S
 
 
@@ -27,7 +28,7 @@ def run_loop(runs: DataFrame, catalog: I.Catalog, index: I.Index,
     parsed = parse_runs(runs)
     changes = parsed.where(F.col("error").isNull()).select(
         "change_id", "catalog", "dataset", "column", "op", "new_name", "require_review")
-    summary = I.impact_summary(changes.drop("require_review"), catalog, index)
+    summary = cut_lineage(I.impact_summary(changes.drop("require_review"), catalog, index))
     verdicts = I.impact_verdicts(changes.drop("require_review"), catalog, index)
     review = changes.select("change_id", "catalog", "require_review")
     if catalog.catalogs is not None:
@@ -37,15 +38,15 @@ def run_loop(runs: DataFrame, catalog: I.Catalog, index: I.Index,
     review = review.select("change_id", F.coalesce("require_review", F.lit(False)).alias(
         "require_review"))
     muts = WB.plan_mutations(summary, verdicts, None, review)
-    counts = WB.outcome_counts(WB.outcomes(muts, dry_run))
+    counts = WB.outcome_counts(cut_lineage(WB.outcomes(muts, dry_run)))
     out = (parsed.select("change_id", "error").join(
         summary.drop("note"), "change_id", "left").join(review, "change_id", "left")
         .join(counts, "change_id", "left"))
     if models is None:
         out = out.withColumn("fixes", F.lit(0).cast("bigint"))
     else:
-        target = I.resolve_changes(changes.drop("require_review"), catalog)
-        hit = S.impacted_assets(target, catalog, index)
+        target = cut_lineage(I.resolve_changes(changes.drop("require_review"), catalog))
+        hit = cut_lineage(S.impacted_assets(target, catalog, index))
         n = S.fixes_for(target, hit, models, catalog).where("changed").groupBy(
             "change_id").agg(F.count("*").alias("fixes"))
         out = out.join(n, "change_id", "left")
