@@ -114,11 +114,11 @@ def _epoch(c: str) -> Column:
 
 def _user_freshness(spark, sf) -> DataFrame:
     e = WL.table(spark, sf, "events").groupBy("user_id").agg(F.max(_epoch("ts")).alias("us"))
-    now = WL.table(spark, sf, "events").agg(F.max(_epoch("ts")).alias("now_us"))
+    now = WL.table(spark, sf, "events").agg(F.max(_epoch("ts"))).scalar()
     secs = F.col("us") / F.lit(1e6)
     given = F.when(F.col("user_id") % 2 == 0, F.floor(secs).cast("double")).otherwise(
         F.floor(secs * 1000).cast("double"))
-    e = e.join(F.broadcast(now), F.lit(True))
+    e = e.withColumn("now_us", now)
     return D.freshness(e.select(
         F.col("user_id").cast("string").alias("entity"),
         X.epoch_to_timestamp(given).alias("last_modified"),
