@@ -196,10 +196,10 @@ def usage_rows(attributed: DataFrame, keys: tuple[str, ...] = ("catalog", "shape
 
 def build_index(catalog: Catalog) -> Index:
     """Read the log once, scan every shape once."""
-    shaped = qlog.with_shape(catalog.queries)
-    cells = cut_lineage(shaped.groupBy("catalog", "shape_id", "team").agg(
-        F.count("*").alias("n"), F.sum("runs").alias("runs"),
-        F.first("tokens").alias("tokens")))
+    texts = catalog.queries.groupBy("catalog", "team", qlog.plain_text("sql").alias("sql")).agg(
+        F.count("*").alias("n"), F.sum("runs").alias("runs"))
+    cells = cut_lineage(qlog.with_shape(texts).groupBy("catalog", "shape_id", "team").agg(
+        F.sum("n").alias("n"), F.sum("runs").alias("runs"), F.first("tokens").alias("tokens")))
     scanned = cut_lineage(qlog.scan(qlog.distinct_shapes(cells)).drop("tokens", "projections", "outputs"))
     usage, stars = usage_rows(cut_lineage(attribute(scanned, catalog)))
     return Index(cells.drop("tokens"), scanned.select("catalog", "shape_id", "assessable"),

@@ -78,6 +78,16 @@ def shape_tokens(sql: Column | str) -> Column:
                        .otherwise(F.regexp_replace(t, r"\s+", " ")))
 
 
+def plain_text(sql: Column | str) -> Column:
+    """The text with constants blanked where that needs no tokens, so that repeated statements
+    can be grouped before they are tokenised.  Text with quoted names, comments or escapes is
+    left alone."""
+    text = X.col(sql)
+    simple = ~text.rlike(r'["`\\#]|--|/\*|//|\$\$')
+    blank = F.regexp_replace(F.regexp_replace(text, "'[^']*+'", "'?'"), r"\b[0-9]++\b", "0")
+    return F.when(simple, blank).otherwise(text)
+
+
 def with_shape(queries: DataFrame, sql: str = "sql") -> DataFrame:
     """Adds `tokens` and `shape_id`, a digest of the normalised statement."""
     out = queries.withColumn("tokens", F.coalesce(

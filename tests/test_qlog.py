@@ -94,3 +94,14 @@ def test_outputs(spark):
                                "catalog string, query_id string, sql string")
     assert [r.output for r in I.projected_columns(df).orderBy("pos").collect()] == [
         "b", "s", "e", "h"]
+
+
+def test_plain_text_keeps_the_shape(spark):
+    texts = [*CASES, "SELECT 'it''s', 1.5e3, t1.c2 FROM t1 WHERE a = -7", "SELECT 'open, 5",
+             'SELECT "col 1" FROM t WHERE x = 3', "SELECT a /* 1 */ FROM t -- 2", "a\\'b' 1"]
+    df = spark.createDataFrame([(t,) for t in texts], "sql string")
+    df = df.withColumn("plain", Q.plain_text("sql"))
+    a = Q.with_shape(df).select("sql", "shape_id")
+    b = Q.with_shape(df, "plain").select("sql", F.col("shape_id").alias("other"))
+    rows = a.join(b, "sql").collect()
+    assert len(rows) == len(texts) and all(r.shape_id == r.other for r in rows)
