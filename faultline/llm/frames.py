@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from faultline.scale import cut_lineage, ensure_checkpoint_dir
 
@@ -23,35 +21,32 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _bit(value: Column) -> Column:
-    return F.pmod(F.xxhash64(value), F.lit(ID_BITS))
+#: Bits of the filter on keys; its size is fixed, a larger corpus only gets more false hits.
+KEY_BITS = 1 << 23
 
 
-#: Bits of the filter on ids; its size is fixed, a larger corpus only gets more false hits.
-ID_BITS = 1 << 23
+def maybe_in(df: DataFrame, column: str, keys: DataFrame, flag: str) -> DataFrame:
+    """Adds `flag`: false where `column` is certainly not in `keys` (one column of that name).
+
+    The keys are folded into a bit table of fixed size, at most KEY_BITS / 64 rows, and that is
+    what is broadcast.
+    """
+    def bit():
+        return F.pmod(F.xxhash64(column), F.lit(KEY_BITS))
+
+    bits = keys.select(bit().alias("_b")).groupBy(F.floor(F.col("_b") / 64).alias("_w")).agg(
+        F.expr("bit_or(shiftleft(1L, cast(_b % 64 AS int)))").alias("_v"))
+    met = df.withColumn("_b", bit()).join(F.broadcast(bits), F.floor(F.col("_b") / 64) == F.col("_w"), "left")
+    hit = F.expr("shiftrightunsigned(_v, cast(_b % 64 AS int)) & 1L") == 1
+    return met.withColumn(flag, F.coalesce(hit, F.lit(False))).drop("_b", "_w", "_v")
 
 
 def having_ids(df: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of `df` whose doc_id is in `ids` (one column, doc_id, distinct).
 
-    A bit table of fixed size drops most other rows before the shuffle join; the join decides.
+    The bit table drops most other rows before the shuffle join; the join decides.
     """
-    spark = df.sparkSession
-    word = ids.select(_bit(F.col("doc_id")).alias("b")).groupBy(
-        F.floor(F.col("b") / 64).alias("w")).agg(
-        F.expr("bit_or(shiftleft(1L, cast(b % 64 AS int)))").alias("v"))
-    table = np.zeros(ID_BITS // 64, np.int64)
-    for w, v in word.collect():  # at most ID_BITS / 64 rows
-        table[w] = v
-    bits = spark.sparkContext.broadcast(table.view(np.uint64))
-
-    def sift(batches):
-        for batch in batches:
-            b = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(np.uint64)
-            hit = bits.value[b >> np.uint64(6)] >> (b & np.uint64(63)) & np.uint64(1)
-            yield batch.filter(pa.array(hit.astype(bool))).select(list(range(batch.num_columns - 1)))
-
-    some = df.withColumn("_b", _bit(F.col("doc_id"))).mapInArrow(sift, df.schema)
+    some = maybe_in(df, "doc_id", ids, "_maybe").where("_maybe").drop("_maybe")
     return some.join(ids.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")),
                      "left_semi")
 

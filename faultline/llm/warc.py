@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from faultline.llm.frames import table
+from faultline.llm.frames import maybe_in, table
 from faultline.scale import cut_lineage, ensure_checkpoint_dir
 
 CRLF = "\r\n"
@@ -47,7 +47,10 @@ def records(pages: DataFrame) -> DataFrame:
              .agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
              .select(F.col("_digest").alias("_shared"), "_first"))
     first = cut_lineage(first)
-    met = keyed.join(first, keyed["_digest"] == first["_shared"], "left")
+    # payloads that occur once go straight to their archive; only the others are shuffled
+    flagged = maybe_in(keyed, "_digest", first.select(F.col("_shared").alias("_digest")), "_maybe")
+    met = flagged.where("_maybe").join(first, F.col("_digest") == F.col("_shared"), "left").unionByName(
+        flagged.where("NOT _maybe"), allowMissingColumns=True)
     again = F.coalesce(~F.col("page_id").eqNullSafe(F.col("_first")) & F.col("_first").isNotNull(),
                        F.lit(False))
 

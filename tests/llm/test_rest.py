@@ -155,7 +155,7 @@ def test_mixing_odd(spark, odd):
     by = {r.source: (r.source_size, r.target) for r in got}
     total = sum(s for s, _ in by.values())
     assert abs(sum(t for _, t in by.values()) - total) < 1e-6 and by[None][0] == 3
-    out = mixing.mixed_documents(odd)
+    out = mixing.mixed_documents(odd, "s")
     assert out.columns == odd.columns
     assert out.count() == sum(r.copies for r in got)
     assert mixing.mixed_documents(odd.limit(0)).collect() == []
