@@ -98,10 +98,8 @@ def boundary(sizes: dict[int, int], list_length: float, percent: int) -> int:
 
 
 def postings(docs: DataFrame, k: int, percent: int, common: np.ndarray, small: int) -> DataFrame:
-    """Rows (kind, key, doc_id, n, place).
-
-    kind 0: prefix shingles; 1: prefix shingles known as common; 2 and 3: listed subsets of the
-    smaller and of the larger side.
+    """Per text (doc_id, n, rare, common, lesser, greater): the prefix shingles in order, the
+    common ones last, and the listed subsets as the smaller and as the larger side of a link.
     """
     from_size = ceil(percent * (small + 1) / 100)
     shared = docs.sparkSession.sparkContext.broadcast(np.sort(common))  # at most COMMON values
@@ -112,24 +110,20 @@ def postings(docs: DataFrame, k: int, percent: int, common: np.ndarray, small: i
             ids = batch.column(0).to_pylist()
             data, at = T.utf8(batch.column(1))
             for lo, hi in T.chunks(at, 4 << 20):
-                cols: list[list[np.ndarray]] = [[], [], [], [], []]
-
-                def give(kind, key, doc, n, place):
-                    for c, v in zip(cols, (kind, key, np.full(len(key), doc), np.full(len(key), n), place)):
-                        c.append(v)
-
+                out = []
                 sets = T.shingle_sets(data[at[lo]:at[hi]], at[lo:hi + 1] - at[lo], k)
                 for doc, s in zip(ids[lo:hi], sets):
                     n = len(s)
                     if not n or doc is None:
                         continue
+                    rare = late = none = np.zeros(0, np.uint64)
+                    listed = ([none], [none])
                     if n >= from_size:
-                        late = known[np.minimum(np.searchsorted(known, s), len(known) - 1)] == s \
+                        known_ = known[np.minimum(np.searchsorted(known, s), len(known) - 1)] == s \
                             if len(known) else np.zeros(n, bool)
                         p = prefix(n, percent)
-                        first = np.concatenate((s[~late], s[late]))[:p]
-                        kind = (np.arange(len(first)) >= (~late).sum()).astype(np.int8)
-                        give(kind, first.view(np.int64), doc, n, np.arange(len(first)))
+                        rare = s[~known_][:p]
+                        late = s[known_][:p - len(rare)]
                     if n <= small:
                         own = T.mix(s)
                         for m in partners(n, percent):
@@ -139,17 +133,22 @@ def postings(docs: DataFrame, k: int, percent: int, common: np.ndarray, small: i
                             sides = T.mix(np.array([min(n, m) * 1000 + max(n, m)], np.uint64))
                             keys = np.array([own[list(pick)].sum(dtype=np.uint64)
                                              for pick in combinations(range(n), c)], np.uint64)
-                            keys = T.mix(keys + sides)
-                            give(np.full(len(keys), 2 + (n > m), np.int8), keys.view(np.int64), doc, n,
-                                 np.zeros(len(keys), np.int64))
-                if cols[0]:
-                    flat = [np.concatenate(c) for c in cols]
+                            listed[n > m].append(T.mix(keys + sides))
+                    out.append((doc, n, rare, late, np.concatenate(listed[0]), np.concatenate(listed[1])))
+                if out:
+                    doc, n, *keys = zip(*out)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(flat[0].astype(np.int8)), pa.array(flat[1]),
-                         pa.array(flat[2].astype(np.int64)), pa.array(flat[3].astype(np.int32)),
-                         pa.array(flat[4].astype(np.int32))], ["kind", "key", "doc_id", "n", "place"])
+                        [pa.array(doc, pa.int64()), pa.array(n, pa.int32())]
+                        + [_arrays(k) for k in keys],
+                        ["doc_id", "n", "rare", "common", "lesser", "greater"])
+
+    return docs.mapInArrow(run, "doc_id long, n int, rare array<long>, common array<long>, "
+                                "lesser array<long>, greater array<long>")
+
 
-    return docs.mapInArrow(run, "kind byte, key long, doc_id long, n int, place int")
+def _arrays(parts) -> pa.Array:
+    at = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(parts).view(np.int64)))
 
 
 def _lists(percent: int):
@@ -312,23 +311,24 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     sizes = {r[0]: r[1] for r in classes.where(F.col("n") <= MOST_SMALL).groupBy("n").count().collect()}
     mass = hits.agg(F.sum(F.col("hits") * F.col("hits")), F.sum("hits")).first()
     small = boundary(sizes, float(mass[0] or 1) / float(mass[1] or 1), percent)
-    reps = classes.select(F.col("rep").alias("doc_id")).distinct()
-    rows = postings(docs, k, percent, common, small)
-    rows = stored(rows)
-    reps = stored(reps)
-    mine = rows.join(reps.withColumnRenamed("doc_id", "_rep"), F.col("doc_id") == F.col("_rep"), "left_semi")
+    reps = stored(classes.select(F.col("rep").alias("_rep")).distinct())
+    rows = stored(postings(docs, k, percent, common, small))
+    mine = rows.join(reps, F.col("doc_id") == F.col("_rep"), "left_semi")
     # lists of shingles that are not known as common
-    short = (mine.where("kind = 0").select("key", "doc_id", "n", "place").repartition("key")
+    short = (mine.select("doc_id", "n", F.posexplode("rare").alias("place", "key"))
+             .select("key", "doc_id", "n", "place").repartition("key")
              .sortWithinPartitions("key", "doc_id").mapInArrow(_lists(percent), "a long, b long"))
     # lists of common ones: stars around their smallest id, at most COMMON lists
-    lists = mine.where("kind = 1").select("key", "doc_id")
+    lists = stored(mine.select("doc_id", F.explode("common").alias("key")))
     heads = stored(lists.groupBy("key").agg(F.min("doc_id").alias("head")))
     stars = lists.join(heads, "key").where("head <> doc_id").select(F.col("head").alias("a"),
                                                                     F.col("doc_id").alias("b"))
     maybe = stored(short.unionByName(stars).distinct())
     # listed subsets: whoever lists the same one as a smaller side is linked to it
-    listed = mine.where("kind >= 2")
-    lead = stored(listed.where("kind = 2").groupBy("key").agg(F.min("doc_id").alias("head")))
+    listed = stored(mine.where(F.size("lesser") + F.size("greater") > 0).select("doc_id", "lesser", "greater"))
+    lead = stored(listed.select("doc_id", F.explode("lesser").alias("key"))
+                  .groupBy("key").agg(F.min("doc_id").alias("head")))
+    listed = listed.select("doc_id", F.explode(F.concat("lesser", "greater")).alias("key"))
     sure = stored(listed.join(lead, "key").where("head <> doc_id")
                   .select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct())
     group = stored(components(maybe).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "g"))
