@@ -4,7 +4,8 @@ A text is the set of its k-word shingles; two texts link when 100 * common >= pe
 Equal sets are one class from the start.  Small sets list their subsets of the size that a link
 asks for: two that list the same subset are linked, no pair is tested.  Large sets are put into
 inverted lists of the few shingles among which every link must show (a prefix of the set in a
-common order), and the lists are scanned.  The boundary between small and large is where listing
+common order), and the lists are scanned; bitmaps rule out most pairs before whole sets are compared.
+The boundary between small and large is where listing
 subsets starts to cost more than scanning.  Shingles that many texts hold come last in the order;
 lists that are long all the same make a group, and the sets of a group are compared block by block.
 
@@ -98,8 +99,9 @@ def boundary(sizes: dict[int, int], list_length: float, percent: int) -> int:
 
 
 def postings(docs: DataFrame, k: int, percent: int, common: np.ndarray, small: int) -> DataFrame:
-    """Per text (doc_id, n, rare, common, lesser, greater): the prefix shingles in order, the
-    common ones last, and the listed subsets as the smaller and as the larger side of a link.
+    """Per text (doc_id, n, bits, rare, common, lesser, greater): a parity bitmap of the set, the
+    prefix shingles in order, the common ones last, and the listed subsets as the smaller and as
+    the larger side of a link.
     """
     from_size = ceil(percent * (small + 1) / 100)
     shared = docs.sparkSession.sparkContext.broadcast(np.sort(common))  # at most COMMON values
@@ -134,15 +136,15 @@ def postings(docs: DataFrame, k: int, percent: int, common: np.ndarray, small: i
                             keys = np.array([own[list(pick)].sum(dtype=np.uint64)
                                              for pick in combinations(range(n), c)], np.uint64)
                             listed[n > m].append(T.mix(keys + sides))
-                    out.append((doc, n, rare, late, np.concatenate(listed[0]), np.concatenate(listed[1])))
+                    out.append((doc, n, parities(s), rare, late, np.concatenate(listed[0]), np.concatenate(listed[1])))
                 if out:
-                    doc, n, *keys = zip(*out)
+                    doc, n, bits, *keys = zip(*out)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(doc, pa.int64()), pa.array(n, pa.int32())]
+                        [pa.array(doc, pa.int64()), pa.array(n, pa.int32()), pa.array(bits, pa.binary())]
                         + [_arrays(k) for k in keys],
-                        ["doc_id", "n", "rare", "common", "lesser", "greater"])
+                        ["doc_id", "n", "bits", "rare", "common", "lesser", "greater"])
 
-    return docs.mapInArrow(run, "doc_id long, n int, rare array<long>, common array<long>, "
+    return docs.mapInArrow(run, "doc_id long, n int, bits binary, rare array<long>, common array<long>, "
                                 "lesser array<long>, greater array<long>")
 
 
@@ -151,6 +153,15 @@ def _arrays(parts) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(parts).view(np.int64)))
 
 
+def parities(s: np.ndarray) -> bytes:
+    """Per slot, whether an odd number of shingles falls into it.
+
+    Two sets differ in at least as many shingles as their bitmaps differ in bits.
+    """
+    slot = (T.mix(s ^ _U(0xD6E8FEB86659FD93)) >> _U(64 - 11)).astype(np.int64)
+    return np.packbits(np.bincount(slot, minlength=1 << 11) & 1).tobytes()
+
+
 def _lists(percent: int):
     """Scans rows sorted by key: possible pairs of short lists, and stars over long ones.
 
@@ -158,7 +169,7 @@ def _lists(percent: int):
     """
 
     def run(batches):
-        found: dict[tuple[int, int], None] = {}
+        found: dict[tuple[int, int, bool], None] = {}
         key, held, head, long = None, [], None, False
 
         def pairs():
@@ -166,13 +177,13 @@ def _lists(percent: int):
                 for e, m, q in held[:i]:
                     # what stands before the common shingle on either side is not common
                     if d != e and min(n - p, m - q) >= overlap(n, m, percent):
-                        found[(d, e) if d < e else (e, d)] = None
+                        found[min(d, e), max(d, e), False] = None
 
         def out():
-            a, b = zip(*found) if found else ((), ())
+            a, b, star = zip(*found) if found else ((), (), ())
             found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())],
-                                              ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()),
+                                               pa.array(star, pa.bool_())], ["a", "b", "star"])
 
         for batch in batches:
             cols = [c.to_numpy() for c in batch.columns]
@@ -191,13 +202,13 @@ def _lists(percent: int):
                     key, held, head, long = k, [], d, False
                 if long:
                     if d != head:
-                        found[(head, d) if head < d else (d, head)] = None
+                        found[min(head, d), max(head, d), True] = None
                     continue
                 held.append((d, n, p))
                 if len(held) > LONG_LIST:
                     for e, _, _ in held:
                         if e != head:
-                            found[(head, e) if head < e else (e, head)] = None
+                            found[min(head, e), max(head, e), True] = None
                     long, held = True, []
                 if len(found) > 100_000:
                     yield out()
@@ -272,6 +283,32 @@ def _compare(percent: int):
     return run
 
 
+def _bounded(percent: int):
+    def run(batches):
+        for batch in batches:
+            n, m = (batch.column(c).to_numpy().astype(np.int64) for c in (2, 3))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+                    for c in (4, 5))
+            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            least = -(-percent * (n + m) // (100 + percent))
+            yield batch.filter(pa.array(apart <= n + m - 2 * least)).select([0, 1])
+
+    return run
+
+
+def _linked(percent: int):
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                x, y = _unpack(x), _unpack(y)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * common >= percent * (len(x) + len(y) - common))
+            yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
+
+    return run
+
+
 def _pack(s: np.ndarray) -> bytes:
     """48 bits of each shingle hash: two of a pair's shingles meet there once in 10^9 pairs."""
     return np.ascontiguousarray((s >> _U(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
@@ -317,13 +354,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     # lists of shingles that are not known as common
     short = (mine.select("doc_id", "n", F.posexplode("rare").alias("place", "key"))
              .select("key", "doc_id", "n", "place").repartition("key")
-             .sortWithinPartitions("key", "doc_id").mapInArrow(_lists(percent), "a long, b long"))
+             .sortWithinPartitions("key", "doc_id").mapInArrow(_lists(percent), "a long, b long, star boolean"))
+    short = stored(short)
     # lists of common ones: stars around their smallest id, at most COMMON lists
     lists = stored(mine.select("doc_id", F.explode("common").alias("key")))
     heads = stored(lists.groupBy("key").agg(F.min("doc_id").alias("head")))
     stars = lists.join(heads, "key").where("head <> doc_id").select(F.col("head").alias("a"),
                                                                     F.col("doc_id").alias("b"))
-    maybe = stored(short.unionByName(stars).distinct())
+    stars = stars.unionByName(short.where("star").select("a", "b"))
     # listed subsets: whoever lists the same one as a smaller side is linked to it
     listed = stored(mine.where(F.size("lesser") + F.size("greater") > 0).select("doc_id", "lesser", "greater"))
     lead = stored(listed.select("doc_id", F.explode("lesser").alias("key"))
@@ -331,9 +369,23 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     listed = listed.select("doc_id", F.explode(F.concat("lesser", "greater")).alias("key"))
     sure = stored(listed.join(lead, "key").where("head <> doc_id")
                   .select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct())
-    group = stored(components(maybe).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "g"))
+    group = stored(components(stars).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "g"))
     count = stored(group.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
-    sets = _packed(having_ids(docs, group.select("doc_id").distinct()), k)
+    # pairs of short lists whose bitmaps do not rule out a link
+    bits = rows.select("doc_id", "n", "bits")
+    pairs = short.where("NOT star").select("a", "b").distinct()
+    for side in ("a", "b"):
+        pairs = pairs.join(bits.select(*[F.col(c).alias(f"{c}_{side}") for c in bits.columns]),
+                           F.col(side) == F.col(f"doc_id_{side}"))
+    pairs = stored(pairs.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(
+        _bounded(percent), "a long, b long"))
+    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(group.select("doc_id"))
+    sets = stored(_packed(having_ids(docs, stored(wanted.distinct())), k))
+    for side in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("doc_id").alias(f"doc_id_{side}"),
+                                       F.col("packed").alias(f"packed_{side}")),
+                           F.col(side) == F.col(f"doc_id_{side}"))
+    linked = pairs.select("a", "b", "packed_a", "packed_b").mapInArrow(_linked(percent), "a long, b long")
     near = group.join(count, "g").join(sets, "doc_id")
     near = near.withColumn("side", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     near = near.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -341,7 +393,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
                        "side", "doc_id", "packed")
     links = (near.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "doc_id")
              .mapInArrow(_compare(percent), "a long, b long"))
-    links = stored(links.unionByName(sure))
+    links = stored(links.unionByName(linked).unionByName(sure))
     found = components(links)
     named = stored(classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         F.col("n").alias("_n"), F.col("s1").alias("_s1"), F.col("s2").alias("_s2"),
