@@ -28,7 +28,7 @@ from faultline.scale import cut_lineage
 #: The tokenizer file's own split pattern.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Words kept with their ids by each Python worker; later words are looked up batch by batch.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 1_000_000
 PIECES = ("doc_id long, piece int, start long, length long, ids_crc32 long, nth long, task int")
 
 
@@ -103,8 +103,8 @@ def tokenised(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: i
         task = TaskContext.get().partitionId()
         counts: dict[int, int] = {}
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
+            for lo in range(0, batch.num_rows, 2000):
+                part = batch.slice(lo, 2000)
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 rows = []
                 for doc, ids in zip(part.column(0).to_pylist(), reader.ids(texts)):
