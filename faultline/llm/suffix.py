@@ -124,12 +124,13 @@ def double(active: DataFrame, length: int) -> DataFrame:
             short = end.astype(np.int64) + GRAM < need
             name = name.view(np.uint64).copy()
             # the nearest neighbour that reaches far enough, else the farthest one
-            pick, met = np.full(len(at), -1), ~short
+            pick, met, far = np.full(len(at), -1), ~short, end.copy()
             for d in range(1, int(run_len.max()) + 1):
                 i = np.flatnonzero(~met[:-d] & (run_len[:-d] >= d) & (at[d:] - at[:-d] == d))
-                if not len(i) and d >= len(at):
+                if d >= len(at):
                     break
-                pick[i] = i + d
+                i = i[end[i + d] > far[i]]
+                pick[i], far[i] = i + d, end[i + d]
                 met[i] = end[i + d] + GRAM >= need[i]
             alive = pick >= 0
             i = np.flatnonzero(alive)
