@@ -33,7 +33,7 @@ LONG_LIST = 48
 COMMON = 1 << 16
 #: Sets above this size never list subsets, whatever the cost model says.
 MOST_SMALL = 14
-BLOCK = 256
+BLOCK, BITMAP_BLOCK = 256, 1024
 SHAPE = "doc_id long, n int, s1 long, s2 long, token long, hits long"
 
 
@@ -246,19 +246,7 @@ def _compare(percent: int):
         hit = (100 * common >= percent * union) & (np.arange(len(sets))[:, None] < np.arange(len(sets)))
         if side.min() != side.max():
             hit &= side[:, None] != side[None, :]
-        root = list(range(len(sets)))
-
-        def top(x):
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        for x, y in zip(*np.nonzero(hit)):
-            p, q = top(x), top(y)
-            if p != q:
-                root[p] = q
-                yield ids[x], ids[y]
+        return _forest(ids, *np.nonzero(hit))
 
     def run(batches):
         held, at, out = [], None, []
@@ -283,6 +271,69 @@ def _compare(percent: int):
     return run
 
 
+def _blocks(members: DataFrame, size: int, *columns: str) -> DataFrame:
+    """The members (g, doc_id, ...) of each pair of blocks of a group, sorted by group and pair."""
+    count = stored(members.groupBy("g").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks")))
+    near = members.join(count, "g").withColumn("side", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    near = near.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    near = near.select("g", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"),
+                       "side", "doc_id", *columns)
+    return near.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "doc_id")
+
+
+def _forest(ids: list[int], x, y):
+    """Of edges between positions, those that join parts not joined before."""
+    root = list(range(len(ids)))
+
+    def top(v):
+        while root[v] != v:
+            root[v] = root[root[v]]
+            v = root[v]
+        return v
+
+    for a, b in zip(x.tolist(), y.tolist()):
+        p, q = top(a), top(b)
+        if p != q:
+            root[p] = q
+            yield ids[a], ids[b]
+
+
+def _similar(percent: int):
+    """A spanning forest, per pair of blocks, of the pairs whose bitmaps do not rule out a link."""
+
+    def edges(held):
+        ids = [r[0] for r in held]
+        side, n = (np.array([r[c] for r in held], np.int64) for c in (1, 2))
+        words = np.frombuffer(b"".join(r[3] for r in held), np.uint64).reshape(len(held), -1)
+        one = side.min() == side.max()
+        xs, ys = [], []
+        for x in range(len(held)):
+            y = np.arange(x + 1, len(held))
+            y = y[(n[y] * 100 >= percent * n[x]) & (n[x] * 100 >= percent * n[y]) & (one | (side[y] != side[x]))]
+            apart = np.bitwise_count(words[y] ^ words[x]).sum(axis=1, dtype=np.int64)
+            least = -(-percent * (n[x] + n[y]) // (100 + percent))
+            y = y[apart <= n[x] + n[y] - 2 * least]
+            xs.append(np.full(len(y), x))
+            ys.append(y)
+        return _forest(ids, np.concatenate(xs), np.concatenate(ys))
+
+    def run(batches):
+        held, at, out = [], None, []
+        for batch in batches:
+            for g, i, j, *row in zip(*(batch.column(c).to_pylist() for c in (0, 1, 2, 4, 3, 5, 6))):
+                if (g, i, j) != at:
+                    if len(held) > 1:
+                        out += edges(held)
+                    held, at = [], (g, i, j)
+                held.append(row)
+        if len(held) > 1:
+            out += edges(held)
+        yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in out], pa.int64()),
+                                          pa.array([e[1] for e in out], pa.int64())], ["a", "b"])
+
+    return run
+
+
 def _bounded(percent: int):
     def run(batches):
         for batch in batches:
@@ -370,9 +421,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     sure = stored(listed.join(lead, "key").where("head <> doc_id")
                   .select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct())
     group = stored(components(stars).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "g"))
-    count = stored(group.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
-    # pairs of short lists whose bitmaps do not rule out a link
     bits = rows.select("doc_id", "n", "bits")
+    # a group that bitmaps take apart is compared as the groups that remain
+    near = _blocks(group.join(bits, "doc_id"), BITMAP_BLOCK, "n", "bits")
+    group = stored(components(stored(near.mapInArrow(_similar(percent), "a long, b long")))
+                   .withColumnRenamed("node", "doc_id").withColumnRenamed("component", "g"))
+    # pairs of short lists whose bitmaps do not rule out a link
     pairs = short.where("NOT star").select("a", "b").distinct()
     for side in ("a", "b"):
         pairs = pairs.join(bits.select(*[F.col(c).alias(f"{c}_{side}") for c in bits.columns]),
@@ -386,13 +440,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
                                        F.col("packed").alias(f"packed_{side}")),
                            F.col(side) == F.col(f"doc_id_{side}"))
     linked = pairs.select("a", "b", "packed_a", "packed_b").mapInArrow(_linked(percent), "a long, b long")
-    near = group.join(count, "g").join(sets, "doc_id")
-    near = near.withColumn("side", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    near = near.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    near = near.select("g", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"),
-                       "side", "doc_id", "packed")
-    links = (near.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "doc_id")
-             .mapInArrow(_compare(percent), "a long, b long"))
+    links = _blocks(group.join(sets, "doc_id"), BLOCK, "packed").mapInArrow(
+        _compare(percent), "a long, b long")
     links = stored(links.unionByName(linked).unionByName(sure))
     found = components(links)
     named = stored(classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
