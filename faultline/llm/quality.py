@@ -65,8 +65,14 @@ def fit(texts: list[str], grades: list[int]) -> tuple[np.ndarray, np.ndarray, np
     """Word weights, shape weights and ordered thresholds, by full-batch Adam."""
     y = np.array(grades)
     data, offsets = T.utf8(pa.array(texts, pa.string()))
-    row, bucket, value = features(data, offsets)
-    dense = shape(data, offsets)
+    parts = []
+    for lo, hi in T.chunks(offsets, 4 << 20):
+        raw, at = data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo]
+        r, b, v = features(raw, at)
+        parts.append((r + lo, b, v, shape(raw, at)))
+    none = np.zeros(0, np.int64)
+    parts = parts or [(none, none, np.zeros(0), np.zeros((0, 6)))]
+    row, bucket, value, dense = (np.concatenate(x) for x in zip(*parts))
     params = [np.zeros(BUCKETS), np.zeros(dense.shape[1]), np.array([-1.0, *[0.5] * (GRADES - 2)])]
     if not len(y):
         share = np.arange(1, GRADES) / GRADES
