@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -25,8 +27,11 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from faultline.llm.frames import table
 from faultline.scale import cut_lineage
 
-#: The tokenizer file's own split pattern.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The tokenizer file's own split pattern, restated for the plain characters of `PLAIN`.
+SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\w\s]|_)+")
+#: Words of these characters alone keep their parts apart and lower-case one by one.
+PLAIN = re.compile(r"[\x21-\x7E¡-¬®-ÿ]+")
+CONTROLS = re.compile("[\x1c-\x1f]")
 #: Words kept with their ids by each Python worker; later words are looked up batch by batch.
 KEPT_WORDS = 1_000_000
 PIECES = ("doc_id long, piece int, start long, length long, ids_crc32 long, nth long, task int")
@@ -44,46 +49,60 @@ class WordIds:
 
             path = public_tokenizers.path(path)
         self.whole = Tokenizer.from_file(path)
-        self.model = Tokenizer.from_file(path)
-        self.model.normalizer = None
-        self.model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.pattern = regex.compile(SPLIT)
-        #: Words of these characters alone keep their parts apart and lower-case one by one.
-        self.plain = regex.compile(r"[\x21-\x7E¡-¬®-ÿ]+")
+        self.model = self.whole.model
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        #: How the model writes the bytes of a plain character that is not ASCII.
+        self.written = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0xA1, 0x100)}
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
     def learn(self, missing: set[str]) -> dict[str, bytes]:
-        out, split, wanted = {}, {}, {}
+        out, one, split, wanted = {}, [], [], set()
+        parts = self.parts
         for w in missing:
-            if self.plain.fullmatch(w) and "<|" not in w:
-                split[w] = self.pattern.findall(w.lower())
-                wanted.update((p, None) for p in split[w] if p not in self.parts)
+            if w.isalpha() and PLAIN.fullmatch(w):
+                low = w.lower()
+                one.append((w, low))
+                wanted.add(low)
+            elif PLAIN.fullmatch(w) and "<|" not in w:
+                ps = SPLIT.findall(w.lower())
+                split.append((w, ps))
+                wanted.update(ps)
             else:
-                ids = self.whole.encode(w, add_special_tokens=False).ids
-                out[w] = np.array(ids, "<u4").tobytes()
-        found = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(
-            wanted, self.model.encode_batch_fast(list(wanted), add_special_tokens=False))}
-        for w, ps in split.items():
-            out[w] = b"".join(found[p] if p in found else self.parts[p] for p in ps)
-        if len(self.parts) < KEPT_WORDS:
-            self.parts.update(found)
+                out[w] = array("I", self.whole.encode(w, add_special_tokens=False).ids).tobytes()
+        tokenize, written, found = self.model.tokenize, self.written, {}
+        for p in wanted:
+            ids = parts.get(p)
+            if ids is None:
+                tokens = tokenize(p if p.isascii() else p.translate(written))
+                ids = array("I", [t.id for t in tokens]).tobytes()
+            found[p] = ids
+        for w, p in one:
+            out[w] = found[p]
+        for w, ps in split:
+            out[w] = b"".join([found[p] for p in ps])
+        if len(parts) < KEPT_WORDS:
+            parts.update(found)
         if len(self.words) < KEPT_WORDS:
             self.words.update(out)
         return out
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         # str.split also parts at the four control characters that the tokenizer keeps
-        split = [t.split() if not any(c in t for c in "\x1c\x1d\x1e\x1f")
+        split = [t.split() if not CONTROLS.search(t)
                  else regex.split(r"\p{White_Space}+", t) for t in texts]
-        known = self.words
-        missing = {w for ws in split for w in ws if w and w not in known}
+        get = self.words.get
+        known = [list(map(get, ws)) for ws in split]
+        missing: set[str] = set()
+        for ws, got in zip(split, known):
+            if not all(got):
+                missing.update([w for w, g in zip(ws, got) if g is None])
+        missing.discard("")
         extra = self.learn(missing) if missing else {}
-        for ws in split:
-            try:
-                yield b"".join([known[w] for w in ws])
-            except KeyError:
-                yield b"".join([known[w] if w in known else extra.get(w, b"") for w in ws])
+        extra[""] = b""
+        for ws, got in zip(split, known):
+            yield b"".join(got if all(got) else
+                           [extra[w] if g is None else g for w, g in zip(ws, got)])
 
 
 _loaded: dict[str, WordIds] = {}
