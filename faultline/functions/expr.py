@@ -25,7 +25,10 @@ def rank_in(c: Column | str, ordered: tuple[str, ...]) -> Column:
 # ---------------------------------------------------------------- names and text
 def slug(c: Column | str, default: str = "candidate") -> Column:
     dashed = F.regexp_replace(F.lower(col(c)), "[^a-z0-9]+", "-")
-    cut = F.substring(F.btrim(dashed, F.lit("-")), 1, 80)
+    full = F.btrim(dashed, F.lit("-"))
+    # two long texts with the same beginning stay apart
+    cut = F.when(F.length(full) <= 80, full).otherwise(F.concat(
+        F.substring(full, 1, 71), F.lit("-"), F.substring(F.sha2(col(c), 256), 1, 8)))
     return F.coalesce(F.nullif(cut, F.lit("")), F.lit(default))
 
 

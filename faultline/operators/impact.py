@@ -377,7 +377,8 @@ def impact_verdicts(changes: DataFrame, catalog: Catalog, index: Index,
         "change_id", "catalog", "column", "op", "new_name")
     log = qlog.with_shape(catalog.queries).select(
         "catalog", "shape_id", "query_id", "team", "runs", "q_pos")
-    log = log.join(index.shapes, ["catalog", "shape_id"]).join(
+    # a statement whose shape was not scanned counts as unreadable
+    log = log.join(index.shapes, ["catalog", "shape_id"], "left").na.fill(False, ["assessable"]).join(
         first_assets(catalog.assets).drop("model_path"), ["catalog", "query_id"], "left")
     hits = shape_verdicts(target, index.usage, index.stars)
     none = F.array().cast("array<string>")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import expr as X
 
-_PART = r'(?:[A-Za-z_][A-Za-z0-9_$]*+|"[^"]++"|`[^`]++`)'
+_PART = r'(?:[\p{L}_][\p{L}\p{N}_$]*+|"[^"]++"|`[^`]++`)'
 _TOKEN = (
     r"'(?:[^'\\]++|\\.|'')*+'"                                    # string literal
     r"|--[^\n]*+|/\*(?s:.*?)\*/"                                   # comment
@@ -54,6 +54,8 @@ _UNSUPPORTED = ("pivot", "unpivot", "match_recognize", "connect", "group", "orde
 _UNIT_FUNCTIONS = ("dateadd", "datediff", "date_add", "date_diff", "date_part", "date_trunc",
                    "extract", "timestampadd", "timestampdiff", "timestamp_trunc", "timeadd",
                    "timediff", "trunc")
+# Functions that may stand for a table: their arguments are values, never table names.
+_ROW_FUNCTIONS = ("unnest", "flatten", "explode", "generate_series", "sequence", "range")
 _TYPED_LITERALS = ("date", "time", "timestamp", "timestamptz", "datetime", "interval")
 _STAR_MODIFIERS = ("exclude", "except", "rename", "replace", "ilike")
 MAX_DEPTH = 60
@@ -84,7 +86,8 @@ def plain_text(sql: Column | str) -> Column:
     left alone."""
     text = X.col(sql)
     simple = ~text.rlike(r'["`\\#]|--|/\*|//|\$\$')
-    blank = F.regexp_replace(F.regexp_replace(text, "'[^']*+'", "'?'"), r"\b[0-9]++\b", "0")
+    blank = F.regexp_replace(F.regexp_replace(text, "'[^']*+'", "'?'"),
+                             r"(?<![\p{L}\p{N}_$])[0-9]++(?![\p{L}\p{N}_$])", "0")
     return F.when(simple, blank).otherwise(text)
 
 
@@ -104,8 +107,8 @@ def distinct_shapes(shaped: DataFrame, keys: tuple[str, ...] = ("catalog",)) ->
 def _kind_expr() -> str:
     """k keyword, i name, s qualified star, l literal, n number, p anything else."""
     return ("case when t in (" + _words(KEYWORDS) + ") then 'k' "
-            "when t rlike '^[a-z_\"`].*[.] ?[*]$' then 's' "
-            "when t rlike '^([a-z_]|\"..|`..)' then 'i' "
+            "when t rlike '^[\\\\p{L}_\"`].*[.] ?[*]$' then 's' "
+            "when t rlike '^([\\\\p{L}_]|\"..|`..)' then 'i' "
             "when t = '\\'?\\'' then 'l' when t = '0' then 'n' else 'p' end")
 
 
@@ -157,7 +160,17 @@ def _lex(rows: DataFrame) -> DataFrame:
         "classes": F.expr(f"transform(low, t -> coalesce({classes}, '-'))")})
     d = d.withColumn("fold", F.expr(_fold_expr())).withColumn("tk", F.expr(_WINDOW))
     # A clause word may not be followed by another one, a closing paren or the end.
-    bad_token = f"""x.c = '!' or x.d > {MAX_DEPTH} or x.t = ';' and x.n <> ''
+    # What stands in the place of a table must be a name, a subquery, a name in parentheses or a
+    # function of values; an opening bracket must be a subscript.
+    function = f"x.t in ({_words(_ROW_FUNCTIONS)})"
+    bad_token = f"""x.c in ('f', 'n') and x.p in ('from', 'join', ',') and not (
+        x.k = 'i' and (x.n <> '(' or {function}) and x.t <> 'only'
+        or x.t = '(' and (x.n in ('select', 'with') or x.nk = 'i' and x.n2 <> '(' and x.n <> 'only')
+        or x.t = 'lateral' and (x.n = '(' and x.n2 in ('select', 'with')
+                                or x.n in ({_words(_ROW_FUNCTIONS)}) and x.n2 = '('))
+      or x.t = '[' and not (x.pk = 'i' or x.p in (')', ']'))
+      or x.t = 'apply' or x.k = 'p' and ascii(x.t) > 127
+      or x.c = '!' or x.d > {MAX_DEPTH} or x.t = ';' and x.n <> ''
       or x.t in ('{{', '}}', '\\'', '"', '`', '/*', '//', '#', '$$', '\\\\', '!',
                  {_words(_UNSUPPORTED)})
       or x.t = 'distinct' and x.n = 'on' or x.t = 'top' and x.p in {_HEAD}

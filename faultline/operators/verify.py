@@ -104,7 +104,8 @@ def count_deltas(before: DataFrame, after: DataFrame, key: str = "change_id") ->
 def asset_queries(catalog: I.Catalog, index: I.Index) -> DataFrame:
     """Log rows that some asset names, with their shape and first asset."""
     log = catalog.queries.join(I.first_assets(catalog.assets), ["catalog", "query_id"])
-    return qlog.with_shape(log).drop("tokens", "sql").join(index.shapes, ["catalog", "shape_id"])
+    return qlog.with_shape(log).drop("tokens", "sql").join(
+        index.shapes, ["catalog", "shape_id"], "left").na.fill(False, ["assessable"])
 
 
 def _classified(rows: DataFrame, hits: DataFrame) -> DataFrame:
@@ -139,7 +140,7 @@ def edited_consumers(target: DataFrame, patch: Patch, catalog: I.Catalog,
     rows = rows.drop("tokens", "sql").withColumnRenamed("shape_id", "old_shape")
     rows = cut_lineage(qlog.with_shape(rows, "new_sql").drop("new_sql"))
     old = rows.drop("tokens", "shape_id").withColumnRenamed("old_shape", "shape_id").join(
-        index.shapes, ["catalog", "shape_id"])
+        index.shapes, ["catalog", "shape_id"], "left").na.fill(False, ["assessable"])
     new = rows.drop("old_shape")
     scanned = cut_lineage(qlog.scan(qlog.distinct_shapes(new)).drop(
         "tokens", "projections", "outputs"))

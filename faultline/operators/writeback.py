@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import model as M
 from ..functions import expr as X
 
-WHOLE_QUEUE = 4096  # queue entries hashed as one text; larger queues hash by bucket first
 
 
 def assessment_properties(summary: DataFrame, verification: DataFrame | None = None,
@@ -53,12 +52,14 @@ def property_rows(props: DataFrame) -> DataFrame:
 
 def summary_sentence() -> Column:
     caveat = F.when(F.col("review_required"), F.lit(" Review required.")).otherwise("")
+    risk = F.concat(F.col("level_qualifier"), F.lit(" ("), F.col("score").cast("string"),
+                    F.lit("/100)."))
     return F.concat(
         F.col("change"), F.lit(" breaks "), F.col("breaks").cast("string"),
         F.lit(" and degrades "), F.col("degrades").cast("string"),
         F.lit(" downstream consumer(s), spanning "), F.col("runs_impacted").cast("string"),
-        F.lit(" query runs in history. Change risk: "), F.col("level_qualifier"), F.lit(" ("),
-        F.col("score").cast("string"), F.lit("/100)."), caveat)
+        F.lit(" query runs in history. Change risk: "),
+        F.when(F.col("analysed") == 0, "unable to assess.").otherwise(risk), caveat)
 
 
 def plan_mutations(summary: DataFrame, verdicts: DataFrame, verification: DataFrame | None,
@@ -155,21 +156,16 @@ def approval_queue(mutations: DataFrame, prefix: str = "impact_") -> DataFrame:
 
 
 def queue_digest(queue: DataFrame) -> DataFrame:
-    """(change_id, entries): the sorted `id::summary` texts of a queue joined with '|'.
+    """(change_id, entries): a digest of the `id::summary` texts of a queue.
 
-    Order does not matter, content does.  A queue above WHOLE_QUEUE entries is
-    hashed in buckets of equal hash prefix and the bucket digests are joined, so
-    no task holds a whole large queue.
+    Order does not matter, content does.  At every size the texts are hashed in
+    4,096 buckets of equal hash prefix and the bucket digests are joined, so no
+    task holds a whole large queue.
     """
     text = F.concat_ws("::", "mutation_id", "payload_summary")
     e = queue.select("change_id", text.alias("t"))
-    n = e.groupBy("change_id").agg(F.count("*").alias("n"))
-    e = e.join(n, "change_id").withColumn("b", F.when(
-        F.col("n") > WHOLE_QUEUE, F.substring(F.sha2("t", 256), 1, 3)).otherwise(""))
-    part = e.groupBy("change_id", "b").agg(
-        F.array_join(F.array_sort(F.collect_list("t")), "|").alias("t"))
-    part = part.withColumn("t", F.when(F.col("b") == "", F.col("t")).otherwise(
-        F.sha2("t", 256)))
+    part = e.groupBy("change_id", F.substring(F.sha2("t", 256), 1, 3).alias("b")).agg(
+        F.sha2(F.array_join(F.array_sort(F.collect_list("t")), "|"), 256).alias("t"))
     return part.groupBy("change_id").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("b", "t"))), lambda x: x["t"]), "|")
         .alias("entries"))

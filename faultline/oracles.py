@@ -610,9 +610,11 @@ SELECT change_id, count(*) AS total, count(*) FILTER (o = 'w') AS written,
   CASE WHEN count(*) FILTER (o = 'w') > 0 THEN 'auto' ELSE 'none' END AS applied_by
 FROM o GROUP BY 1"""
 SQL["approval_fingerprint"] = f"""WITH {_MUT},
-q AS (SELECT change_id, string_agg(mutation_id || '::' || payload_summary, '|'
-        ORDER BY mutation_id || '::' || payload_summary) AS entries FROM mut
-      WHERE queue_reason <> '' GROUP BY 1)
+qt AS (SELECT change_id, mutation_id || '::' || payload_summary AS t FROM mut
+      WHERE queue_reason <> ''),
+qb AS (SELECT change_id, substr(sha256(t), 1, 3) AS b,
+         sha256(string_agg(t, '|' ORDER BY t)) AS h FROM qt GROUP BY 1, 2),
+q AS (SELECT change_id, string_agg(h, '|' ORDER BY b) AS entries FROM qb GROUP BY 1)
 SELECT change_id, change, status, sha256(change || chr(0) || catalog || chr(0) ||
   coalesce('urn:sales:' || ds, 'None') || chr(0) || status || chr(0) ||
   array_to_string(list_sort(string_split(reasons, '|')), '|') || chr(0) || coalesce(entries, '')
@@ -672,8 +674,8 @@ found AS (SELECT pos, '.viewProperties.logic' AS path, sql FROM flat
             FROM ent WHERE pos % 10 = 0)"""
 SQL["json_sql_search"] = f"WITH {_FOUND} SELECT * FROM found"
 SQL["json_sql_distinct"] = f"""WITH {_FOUND}
-SELECT left(sql, 80) AS prefix, arg_min(path, pos) AS path, arg_min(sql, pos) AS sql FROM found
-GROUP BY 1"""
+SELECT left(sql, 80) AS prefix, arg_min(path, (pos, path)) AS path, sql FROM found
+GROUP BY sql"""
 SQL["change_loop"] = f"""WITH {_LOG},
 runs(change_id, catalog, ds, col, change, error, review, m) AS (VALUES
   ('r1', 'west', 'supplier', 'name', 'drop sales.supplier.name', NULL, false, 1),

@@ -92,12 +92,9 @@ def read_baseline(spark: SparkSession, paths: str | Sequence[str]) -> dict[str,
     }
 
 
-def read_serving(spark: SparkSession, path: str, infer_rows: int = 1000) -> DataFrame:
-    """A serving CSV whose types are inferred from its first rows only."""
-    head = spark.read.text(path).limit(infer_rows + 1)
-    typed = spark.read.option("header", True).option("inferSchema", True).csv(
-        head.rdd.map(lambda r: r.value))
-    return spark.read.option("header", True).schema(typed.schema).csv(path)
+def read_serving(spark: SparkSession, path: str) -> DataFrame:
+    """A serving CSV; types are inferred from all of its rows, so no value is lost to a guess."""
+    return spark.read.option("header", True).option("inferSchema", True).csv(path)
 
 
 def schema_table(df: DataFrame, entity: str, side: str) -> DataFrame:

@@ -121,7 +121,7 @@ def find_sql(payloads: DataFrame, json: str = "json") -> DataFrame:
 
 
 def distinct_sql(found: DataFrame, order: str) -> DataFrame:
-    """One hit per first 80 characters, the earliest by `order` and path."""
-    return found.groupBy(F.substring("sql", 1, 80).alias("prefix")).agg(
+    """One hit per text, the earliest by `order` and path; `prefix` shows its first 80 characters."""
+    return found.groupBy(F.sha2("sql", 256).alias("digest")).agg(
         F.min_by(F.struct("path", "sql"), F.struct(order, "path")).alias("x")).select(
-        "prefix", "x.path", "x.sql")
+        F.substring("x.sql", 1, 80).alias("prefix"), "x.path", "x.sql")

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 from pyspark.sql import functions as F
@@ -94,7 +95,7 @@ def test_number_rows_spreads_a_hot_key(spark):
         assert [r.n for r in rows] == list(range(1, len(rows) + 1))
 
 
-def test_fingerprint_ignores_order_and_holds_for_large_queues(spark, monkeypatch):
+def test_fingerprint_ignores_order_and_has_one_form(spark):
     rows = [("c", f"add_tags:u{i}", "add_tags", f"u{i}", f"tags: {i}") for i in range(50)]
     ddl = "change_id string, mutation_id string, tool string, target_urn string, payload_summary string"
     a = spark.createDataFrame(rows, ddl)
@@ -104,10 +105,17 @@ def test_fingerprint_ignores_order_and_holds_for_large_queues(spark, monkeypatch
     def entries(df):
         return WB.queue_digest(df).first().entries
 
-    assert entries(a) == entries(b) != entries(c)
-    assert entries(a) == "|".join(sorted(f"{r[1]}::{r[4]}" for r in rows))
-    monkeypatch.setattr(WB, "WHOLE_QUEUE", 10)
-    assert entries(a) == entries(b) != entries(c)
+    def plain(rows):
+        buckets = {}
+        for r in rows:
+            text = f"{r[1]}::{r[4]}"
+            buckets.setdefault(hashlib.sha256(text.encode()).hexdigest()[:3], []).append(text)
+        return "|".join(hashlib.sha256("|".join(sorted(buckets[b])).encode()).hexdigest()
+                        for b in sorted(buckets))
+
+    assert entries(a) == entries(b) == plain(rows) != entries(c)
+    many = [("c", f"add_tags:v{i}", "add_tags", f"v{i}", f"tags: {i}") for i in range(5000)]
+    assert entries(spark.createDataFrame(many, ddl)) == plain(many)
 
 
 def test_aspect_merges(spark):

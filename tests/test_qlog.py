@@ -74,6 +74,39 @@ def test_usage(found, i):
     assert (r.usage, r.confidence, ",".join(r.clauses)) == want, sql
 
 
+# statements that must not read as safe when `column` of sales.t goes
+CLOSED = [
+    ("SELECT amount$1 FROM sales.t", "amount$1", "BREAKS"),
+    ("SELECT größe FROM sales.t", "größe", "BREAKS"),
+    ("SELECT name FROM (sales.t)", "name", "BREAKS"),
+    ("SELECT name FROM ((sales.t))", "name", "UNKNOWN"),
+    ("SELECT name FROM ONLY (sales.t)", "name", "UNKNOWN"),
+    ("SELECT name FROM ONLY sales.t", "name", "UNKNOWN"),
+    ("SELECT name FROM (VALUES (1)) v JOIN LATERAL sales.t ON true", "name", "UNKNOWN"),
+    ("SELECT name FROM TABLE(sales.t)", "name", "UNKNOWN"),
+    ("SELECT name FROM IDENTIFIER('sales.t')", "name", "UNKNOWN"),
+    ("SELECT [name] FROM [sales].[t]", "name", "UNKNOWN"),
+    ("SELECT name FROM a.b CROSS APPLY sales.t", "name", "UNKNOWN"),
+    ("SELECT id, (name) FROM a.b, ONLY (sales.t)", "name", "UNKNOWN"),
+    ("SELECT id FROM sales.t, unnest(tags) u", "id", "BREAKS"),
+    ("SELECT tags[1] FROM sales.t", "id", "SAFE"),
+]
+
+
+def test_what_is_not_read_is_not_safe(spark):
+    tables = {("c", "sales.t"): {"amount$1": "INT", "größe": "INT", "name": "VARCHAR", "id": "INT",
+                                 "tags": "ARRAY"}}
+    cat = make_catalog(spark, tables, [("c", f"q{i}", s, "t", 1) for i, (s, _, _) in enumerate(CLOSED)])
+    cols = sorted({c for _, c, _ in CLOSED})
+    ch = spark.createDataFrame([(c, "c", "sales.t", c, "drop", None) for c in cols],
+                               "change_id string, catalog string, dataset string, column string,"
+                               " op string, new_name string")
+    rows = I.impact_verdicts(ch, cat, I.build_index(cat), include_safe=True).collect()
+    assert len(rows) == len(cols) * len(CLOSED)
+    got = {(r.query_id, r.change_id): r.verdict for r in rows}
+    assert [got[f"q{i}", c] for i, (_, c, _) in enumerate(CLOSED)] == [v for _, _, v in CLOSED]
+
+
 def test_constants_share_a_shape(spark):
     df = spark.createDataFrame([("SELECT a FROM t WHERE x = 1 -- one",),
                                 ("SELECT a FROM t  WHERE x = 25",),

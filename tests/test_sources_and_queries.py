@@ -39,6 +39,9 @@ def test_models_serving_baseline_and_sinks(spark, tmp_path):
     s = C.read_serving(spark, str(tmp_path / "s.csv"))
     assert dict(s.dtypes) == {"a": "int", "b": "string"}
     assert sorted(r.v for r in C.feature_values(s, "a").collect()) == [1.0, 3.0]
+    (tmp_path / "late.csv").write_text("a\n" + "1\n" * 1500 + "0.5\n" * 500)
+    late = C.feature_values(C.read_serving(spark, str(tmp_path / "late.csv")), "a").collect()
+    assert len(late) == 2000 and sum(r.v for r in late) == 1750.0
     (tmp_path / "b.json").write_text(json.dumps({
         "model_urn": "m", "schema": {"a": "int"},
         "features": {"a": {"count": 2, "mean": 1.5, "std": 0.5, "min": 1, "max": 2,
