@@ -26,12 +26,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from faultline.llm import text as T
 from faultline.llm.anchors import GRAM, anchors
-from faultline.llm.frames import having_ids, stored, table
+from faultline.llm.frames import having_ids, maybe_in, stored, table
 
 LENGTH = 400
 _U = np.uint64
 BASE = "row long, doc_id long, n_bytes long, sha string, starts array<int>, turns array<int>, names array<long>"
-ROWS = "row long, at int, len int, start int, next int, end int, name long, fresh boolean"
+ROWS = "row long, at int, len int, start int, next int, end int, name long, fresh boolean, open boolean"
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -115,7 +115,10 @@ def _groups(batches, columns: int):
 
 
 def double(active: DataFrame, length: int) -> DataFrame:
-    """Extends every run that is still short by a neighbour's, and renames it (`fresh`)."""
+    """Extends every run that is still short by a neighbour's, and renames it (`fresh`).
+
+    A text is `open` while one of its runs is short.
+    """
 
     def run(batches):
         out, size = [], 0
@@ -142,7 +145,8 @@ def double(active: DataFrame, length: int) -> DataFrame:
             new_len[i] = at[j] - at[i] + run_len[j]
             new_end[i] = end[j]
             out.append((np.full(len(keep), row), at[keep], new_len[keep], start[keep], nxt[keep],
-                        new_end[keep], name[keep].view(np.int64), alive[keep]))
+                        new_end[keep], name[keep].view(np.int64), alive[keep],
+                        np.full(len(keep), bool((new_end[keep] + GRAM < need[keep]).any()))))
             size += len(keep)
             if size > 100_000:
                 yield _rows(out)
@@ -152,7 +156,7 @@ def double(active: DataFrame, length: int) -> DataFrame:
 
     def _rows(out):
         kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(),
-                 pa.bool_())
+                 pa.bool_(), pa.bool_())
         return pa.RecordBatch.from_arrays(
             [pa.array(np.concatenate(c), k) for c, k in zip(zip(*out), kinds)],
             [f.split()[0] for f in ROWS.split(", ")])
@@ -166,15 +170,19 @@ def repeated_runs(base: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
         "row", "at", F.lit(1).alias("len"), F.expr("starts[at]").alias("start"),
         F.expr("starts[at + 1]").alias("next"), F.expr("starts[at + 1]").alias("end"), "name")
     first = active = stored(_again(pos))
+    runs = None
     while True:
         grown = stored(double(active, length))
         if grown.where("fresh").isEmpty():
             break
-        tested = _again(grown.where("fresh"))
-        active = stored(tested.select(*active.columns).unionByName(
-            grown.where("NOT fresh").select(*active.columns)))
+        tested = stored(_again(grown.where("fresh")).unionByName(grown.where("NOT fresh")))
+        # a text without a short run is as it stays; only the others are shuffled again
+        done = tested.where("NOT open").select("row", "at", "name")
+        runs = done if runs is None else runs.unionByName(done)
+        active = tested.where("open")
     # what is left after a round without growth reaches past the threshold everywhere
-    return first.select("row", "at"), grown.select("row", "at", "name")
+    left = grown.select("row", "at", "name")
+    return first.select("row", "at"), left if runs is None else runs.unionByName(left)
 
 
 def _state(starts, turns, n_bytes, seen, runs, length):
@@ -204,7 +212,10 @@ def removed(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     copies = base.groupBy("row").agg(F.count("*").alias("n"), F.first("n_bytes").alias("b"))
     all_of = stored(copies.where(f"n > 1 AND b >= {length}").select(
         "row", F.array(F.lit(0)).alias("lo"), F.array((F.col("b") - length).cast("int")).alias("hi")))
-    texts = stored(base.where(F.size("names") > 0).dropDuplicates(["row"]))
+    # only texts that may have copies are shuffled to find one of each
+    flagged = maybe_in(base.where(F.size("names") > 0), "row", stored(copies.where("n > 1").select("row")), "_maybe")
+    texts = flagged.where("NOT _maybe").drop("_maybe").unionByName(
+        stored(flagged.where("_maybe").drop("_maybe").dropDuplicates(["row"])))
     seen, runs = repeated_runs(texts, length)
     # windows of equal runs are equal: one run of each name shows them to the windows not known
     shown = runs.groupBy("name").agg(F.min(F.struct("row", "at")).alias("s")).select("s.row", "s.at")
@@ -217,15 +228,24 @@ def removed(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
         F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("at")))).alias(name)
         for k, name in enumerate(("seen", "runs", "shown"))]))
     # the texts that need a look: with a repeated run, or windows between unique stretches
-    known = texts.select("row", "doc_id", "sha", "n_bytes", "starts", "turns").join(marks, "row")
+    known = texts.select("row", "doc_id", "sha", "n_bytes", "starts", "turns", "names").join(marks, "row")
     known = stored(known.mapInArrow(_open(length), "row long, doc_id long, sha string, starts array<int>, "
                                                    "turns array<int>, seen array<int>, runs array<int>, "
-                                                   "shown array<int>"))
-    chosen = having_ids(docs, stored(known.select("doc_id").distinct()))
+                                                   "asked array<long>, places array<int>, held array<long>"))
+    # equal windows hold the same first stretch: shown are those whose first stretch is asked for
+    asked = stored(known.select(F.explode("asked").alias("name")).distinct())
+    wanted = stored(known.select("row", F.explode(F.arrays_zip("places", "held")).alias("s"))
+                    .select("row", "s.places", F.col("s.held").alias("name")).join(asked, "name", "left_semi")
+                    .groupBy("row").agg(F.collect_set("places").alias("firsts")))
+    look = stored(known.join(marks.select("row", "shown"), "row").join(wanted, "row", "left")
+                  .where("size(asked) > 0 OR firsts IS NOT NULL")
+                  .select("row", "doc_id", "sha", "starts", "turns", "seen", "runs",
+                          F.when(F.col("firsts").isNotNull(), F.col("shown")).alias("shown"), "firsts"))
+    chosen = having_ids(docs, stored(look.select("doc_id").distinct()))
     # of several rows with this id and text one is enough
     met = chosen.withColumn("_sha", F.sha2("text", 256)).join(
-        known, chosen["doc_id"].eqNullSafe(known["doc_id"]) & (F.col("_sha") == F.col("sha")))
-    tested = met.select("row", "text", "starts", "turns", "seen", "runs", "shown").mapInArrow(
+        look, chosen["doc_id"].eqNullSafe(look["doc_id"]) & (F.col("_sha") == F.col("sha")))
+    tested = met.select("row", "text", "starts", "turns", "seen", "runs", "shown", "firsts").mapInArrow(
         _windows(length), "row long, at int, hash long")
     again = tested.repartition("hash").sortWithinPartitions("hash", "row").mapInArrow(
         _recurring, "row long, at int")
@@ -263,20 +283,50 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return whole.unionByName(shortened(docs, base, cut, False))
 
 
+def _first(turns, windows):
+    """Per window, the first stretch that its own bytes determine; equal windows have equal ones."""
+    return np.searchsorted(turns, windows, side="right")
+
+
+def _within(starts, at, windows: int):
+    """Whether a window of a text starts in one of the stretches `at`."""
+    edge = np.zeros(windows + 1, np.int64)
+    np.add.at(edge, np.minimum(starts[at], windows), 1)
+    np.add.at(edge, np.minimum(starts[at + 1], windows), -1)
+    return np.cumsum(edge[:windows]) > 0
+
+
 def _open(length: int):
+    """Texts with windows that are repeated or not known; the names of the first stretches of the
+    latter (`asked`), and the first stretches (`places`, names `held`) of the windows of shown runs.
+    """
+
     def run(batches):
         for batch in batches:
-            keep = []
-            for n, starts, turns, seen, runs in zip(*(batch.column(k).to_pylist() for k in range(3, 8))):
-                state = _state(np.array(starts), np.array(turns), n, np.array(seen, int), np.array(runs, int), length)
+            keep, asked, places, held = [], [], [], []
+            cols = zip(*(batch.column(k).to_pylist() for k in range(3, 10)))
+            for n, starts, turns, names, seen, runs, shown in cols:
+                starts, turns, names = np.array(starts), np.array(turns), np.array(names, np.int64)
+                state = _state(starts, turns, n, np.array(seen, int), np.array(runs, int), length)
                 keep.append(bool((state != 0).any()))
-            yield batch.filter(pa.array(keep)).select([0, 1, 2, 4, 5, 6, 7, 8])
+                if keep[-1]:
+                    ask = _first(turns, np.flatnonzero(state < 0))
+                    show = np.flatnonzero(_within(starts, np.array(shown, int), len(state)) & (state > 0))
+                    show = np.unique(_first(turns, show))
+                    asked.append(names[np.unique(ask)])
+                    places.append(show.astype(np.int32))
+                    held.append(names[show])
+            left = batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(
+                [left.column(k) for k in (0, 1, 2, 4, 5, 7, 8)]
+                + [_lists(asked, pa.int64()), _lists(places, pa.int32()), _lists(held, pa.int64())],
+                ["row", "doc_id", "sha", "starts", "turns", "seen", "runs", "asked", "places", "held"])
 
     return run
 
 
 def _windows(length: int):
-    """Hashes of the windows whose state is not known, and of those of shown runs."""
+    """Hashes of the windows whose state is not known, and, at ~at, of those of shown runs."""
 
     def run(batches):
         for batch in batches:
@@ -284,15 +334,16 @@ def _windows(length: int):
             data, at = T.utf8(batch.column(1))
             for k in range(batch.num_rows):
                 raw = data[at[k]:at[k + 1]]
-                starts, turns, seen, runs, shown = (
-                    np.array(batch.column(c)[k].as_py(), np.int64) for c in range(2, 7))
-                ask = _state(starts, turns, len(raw), seen, runs, length) < 0
-                for i in shown:
-                    ask[starts[i]:starts[i + 1]] = True
-                s = np.flatnonzero(ask)
+                starts, turns, seen, runs, shown, firsts = (
+                    np.array(batch.column(c)[k].as_py() or [], np.int64) for c in range(2, 8))
+                state = _state(starts, turns, len(raw), seen, runs, length)
+                show = np.flatnonzero(_within(starts, shown, len(state)) & (state > 0))
+                show = show[np.isin(_first(turns, show), firsts)]
+                s = np.concatenate((np.flatnonzero(state < 0), show))
                 if not len(s):
                     continue
                 h = T.range_hash(T.prefix_hash(raw), s, s + length)
+                s[len(s) - len(show):] = ~show
                 for lo in range(0, len(s), 200_000):
                     part = s[lo:lo + 200_000]
                     yield pa.RecordBatch.from_arrays(
@@ -303,7 +354,10 @@ def _windows(length: int):
 
 
 def _recurring(batches):
-    """Of rows sorted by hash, those whose hash occurs more than once; holds one batch at a time."""
+    """Of rows sorted by hash, those whose hash occurs more than once, without shown ones (at < 0).
+
+    Holds one batch at a time.
+    """
     last = None  # the row before: (row, at, hash, already given)
     for batch in batches:
         row, at, h = (c.to_numpy() for c in batch.columns)
@@ -315,10 +369,11 @@ def _recurring(batches):
         hit[:-1] |= same
         if last is not None and last[2] == h[0]:
             hit[0] = True
-            if not last[3]:
+            if not last[3] and last[1] >= 0:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([last[0]], pa.int64()), pa.array([last[1]], pa.int32())], ["row", "at"])
         last = (row[-1], at[-1], h[-1], hit[-1])
+        hit &= at >= 0
         yield pa.RecordBatch.from_arrays([pa.array(row[hit]), pa.array(at[hit])], ["row", "at"])
 
 
