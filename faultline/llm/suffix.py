@@ -31,7 +31,7 @@ from faultline.llm.frames import having_ids, maybe_in, stored, table
 LENGTH = 400
 _U = np.uint64
 BASE = "row long, doc_id long, n_bytes long, sha string, starts array<int>, turns array<int>, names array<long>"
-ROWS = "row long, at int, len int, start int, next int, end int, name long, fresh boolean, open boolean"
+ROWS = "row long, at int, len int, next int, end int, name long, fresh boolean, open boolean"
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -122,7 +122,7 @@ def double(active: DataFrame, length: int) -> DataFrame:
 
     def run(batches):
         out, size = [], 0
-        for row, (at, run_len, start, nxt, end, name) in _groups(batches, 7):
+        for row, (at, run_len, nxt, end, name) in _groups(batches, 6):
             need = nxt.astype(np.int64) - 1 + length
             short = end.astype(np.int64) + GRAM < need
             name = name.view(np.uint64).copy()
@@ -144,7 +144,7 @@ def double(active: DataFrame, length: int) -> DataFrame:
             new_len, new_end = run_len.copy(), end.copy()
             new_len[i] = at[j] - at[i] + run_len[j]
             new_end[i] = end[j]
-            out.append((np.full(len(keep), row), at[keep], new_len[keep], start[keep], nxt[keep],
+            out.append((np.full(len(keep), row), at[keep], new_len[keep], nxt[keep],
                         new_end[keep], name[keep].view(np.int64), alive[keep],
                         np.full(len(keep), bool((new_end[keep] + GRAM < need[keep]).any()))))
             size += len(keep)
@@ -155,29 +155,28 @@ def double(active: DataFrame, length: int) -> DataFrame:
             yield _rows(out)
 
     def _rows(out):
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(),
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(),
                  pa.bool_(), pa.bool_())
         return pa.RecordBatch.from_arrays(
             [pa.array(np.concatenate(c), k) for c, k in zip(zip(*out), kinds)],
             [f.split()[0] for f in ROWS.split(", ")])
 
-    return _by_row(active.select("row", "at", "len", "start", "next", "end", "name")).mapInArrow(run, ROWS)
+    return _by_row(active.select("row", "at", "len", "next", "end", "name")).mapInArrow(run, ROWS)
 
 
 def repeated_runs(base: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     """(row, at) of the stretches that recur; (row, at, name) of runs past the threshold that do."""
     pos = base.select("row", F.posexplode("names").alias("at", "name"), "starts").select(
-        "row", "at", F.lit(1).alias("len"), F.expr("starts[at]").alias("start"),
-        F.expr("starts[at + 1]").alias("next"), F.expr("starts[at + 1]").alias("end"), "name")
+        "row", "at", F.lit(1).alias("len"), F.expr("starts[at + 1]").alias("next"), F.expr("starts[at + 1]").alias("end"), "name")
     first = active = stored(_again(pos))
     runs = None
     while True:
         grown = stored(double(active, length))
         if grown.where("fresh").isEmpty():
             break
-        tested = stored(_again(grown.where("fresh")).unionByName(grown.where("NOT fresh")))
+        tested = _again(grown.where("fresh")).unionByName(grown.where("NOT fresh"))
         # a text without a short run is as it stays; only the others are shuffled again
-        done = tested.where("NOT open").select("row", "at", "name")
+        done = stored(tested.where("NOT open").select("row", "at", "name"))
         runs = done if runs is None else runs.unionByName(done)
         active = tested.where("open")
     # what is left after a round without growth reaches past the threshold everywhere
