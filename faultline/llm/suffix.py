@@ -167,7 +167,8 @@ def double(active: DataFrame, length: int) -> DataFrame:
 def repeated_runs(base: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     """(row, at) of the stretches that recur; (row, at, name) of runs past the threshold that do."""
     pos = base.select("row", F.posexplode("names").alias("at", "name"), "starts").select(
-        "row", "at", F.lit(1).alias("len"), F.expr("starts[at + 1]").alias("next"), F.expr("starts[at + 1]").alias("end"), "name")
+        "row", "at", F.lit(1).alias("len"), F.expr("starts[at + 1]").alias("next"),
+        F.expr("starts[at + 1]").alias("end"), "name")
     first = active = stored(_again(pos))
     runs = None
     while True:
