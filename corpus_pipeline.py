@@ -21,8 +21,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the 400-byte strings that occur more than once."""
-    return suffix.without_repeats(docs)
+    """Texts without the passages of over 50 words that occur more than once."""
+    return suffix.without_repeats(docs, suffix.Words(suffix.PASSAGE))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,14 @@ def anchors(raw: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(raw) - GRAM + 1
     if n < width:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    grams = np.ndarray((n,), "<u8", np.ascontiguousarray(raw), strides=(1,))
+    return lowest(np.ndarray((n,), "<u8", np.ascontiguousarray(raw), strides=(1,)), width)
+
+
+def lowest(grams: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """`anchors` of a text that is given as its grams, 64 bits each."""
+    n = len(grams)
+    if n < width:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     h = grams * np.uint64(0x9E3779B97F4A7C15)
     bits = np.uint64(max(1, int(n).bit_length()))
     h &= ~((np.uint64(1) << bits) - np.uint64(1))

@@ -9,6 +9,10 @@ that starts there is repeated.  Equal names stand for equal ranks, as only equal
 Windows that neither hold a unique stretch nor lie in a repeated run (near the ends of a match) are
 compared byte for byte by their own hash.
 
+The same steps run over bytes (windows of 400 bytes, op6) or over words (windows of 51 words, the
+pipeline): `Bytes` and `Words` say what a position is.  Words are runs of bytes other than ASCII
+white space, and compared as they are written; how they are spaced does not matter.
+
 Equal texts are one text from the start; what has a copy and is long enough goes whole.
 
 Defined cases: a null text is empty; texts shorter than the threshold are kept whole; rows of one
@@ -25,31 +29,81 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from faultline.llm import text as T
-from faultline.llm.anchors import GRAM, anchors
+from faultline.llm.anchors import GRAM, anchors, lowest
 from faultline.llm.frames import having_ids, maybe_in, stored, table
 
 LENGTH = 400
+#: The shortest passage of over 50 words.
+PASSAGE = 51
 _U = np.uint64
-BASE = "row long, doc_id long, n_bytes long, sha string, starts array<int>, turns array<int>, names array<long>"
+BASE = "row long, doc_id long, size long, sha string, starts array<int>, turns array<int>, names array<long>"
 ROWS = "row long, at int, len int, next int, end int, name long, fresh boolean, open boolean"
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def _width(length: int) -> int:
-    """Two disjoint groups of so many grams fit into every window."""
-    return max(1, (length - GRAM + 1) // 2 - 6)
+class Bytes:
+    """Positions are bytes; grams overlap."""
+
+    gram = GRAM
+
+    def __init__(self, length: int):
+        self.length = length
+        # two disjoint groups of so many grams fit into every window
+        self.width = max(1, (length - GRAM + 1) // 2 - 6)
+
+    def read(self, raw: np.ndarray) -> tuple[int, np.ndarray, tuple]:
+        """Size of a text, its running hash, and its anchors."""
+        width = self.width if len(raw) >= self.length else len(raw) + 1
+        return len(raw), T.prefix_hash(raw), anchors(raw, width)
+
+    def hashed(self, raw: np.ndarray) -> tuple[int, np.ndarray]:
+        return len(raw), T.prefix_hash(raw)
+
+    def cuts(self, raw: bytes, lo: list[int], hi: list[int]) -> tuple[list[int], list[int]]:
+        """Spans of positions as spans of bytes."""
+        return lo, hi
+
+
+class Words:
+    """Positions are words, each its own gram."""
+
+    gram = 1
+
+    def __init__(self, length: int):
+        self.length = length
+        self.width = max(1, length // 2 - 1)
+
+    def _hashes(self, raw: np.ndarray) -> np.ndarray:
+        start, end, _ = T.words(raw, np.array([0, len(raw)]))
+        return T.range_hash(T.prefix_hash(raw), start, end)
+
+    def read(self, raw: np.ndarray) -> tuple[int, np.ndarray, tuple]:
+        h = self._hashes(raw)
+        width = self.width if len(h) >= self.length else len(h) + 1
+        return len(h), T.running(h), lowest(h, width)
+
+    def hashed(self, raw: np.ndarray) -> tuple[int, np.ndarray]:
+        h = self._hashes(raw)
+        return len(h), T.running(h)
+
+    def cuts(self, raw: bytes, lo: list[int], hi: list[int]) -> tuple[list[int], list[int]]:
+        """Words go with the white space after them; at the end of a text, with that before them."""
+        data = np.frombuffer(raw, np.uint8)
+        start, end, _ = T.words(data, np.array([0, len(data)]))
+        n = len(start)
+        a = [0 if i == 0 else int(end[i - 1] if j == n else start[i]) for i, j in zip(lo, hi)]
+        return a, [len(raw) if j == n else int(start[j]) for j in hi]
 
 
 def _pair(a: np.ndarray, b: np.ndarray, offset: np.ndarray) -> np.ndarray:
     return T.mix(a * _U(0x9E3779B97F4A7C15) + T.mix(b + offset.astype(np.uint64)))
 
 
-def positions(docs: DataFrame, length: int) -> DataFrame:
-    """(row, doc_id, n_bytes, sha, starts, names) of every text: its anchors and first names.
+def positions(docs: DataFrame, unit: Bytes | Words) -> DataFrame:
+    """(row, doc_id, size, sha, starts, names) of every text: its anchors and first names.
 
     `row` tells texts apart: 64 bits of their digest.
     """
-    width = _width(length)
 
     def run(batches):
         for batch in batches:
@@ -59,12 +113,12 @@ def positions(docs: DataFrame, length: int) -> DataFrame:
                 raw = data[at[k]:at[k + 1]]
                 whole = raw.tobytes()
                 sha = hashlib.sha256(whole).hexdigest()
-                a, turn = anchors(raw, width if len(raw) >= length else len(raw) + 1)
+                size, prefix, (a, turn) = unit.read(raw)
                 if len(a) > 1:
-                    n = T.range_hash(T.prefix_hash(raw), a[:-1], a[1:] + GRAM)
+                    n = T.range_hash(prefix, a[:-1], a[1:] + unit.gram)
                 else:
                     n = np.zeros(0, np.uint64)
-                sizes.append(len(raw))
+                sizes.append(size)
                 shas.append(sha)
                 starts.append(a.astype(np.int32))
                 turns.append(turn.astype(np.int32))
@@ -74,7 +128,7 @@ def positions(docs: DataFrame, length: int) -> DataFrame:
                 [pa.array(rows, pa.int64()), batch.column(0), pa.array(sizes, pa.int64()),
                  pa.array(shas, pa.string()), _lists(starts, pa.int32()), _lists(turns, pa.int32()),
                  _lists(names, pa.int64())],
-                ["row", "doc_id", "n_bytes", "sha", "starts", "turns", "names"])
+                ["row", "doc_id", "size", "sha", "starts", "turns", "names"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, BASE)
 
@@ -114,7 +168,7 @@ def _groups(batches, columns: int):
         yield current, [np.concatenate(p) for p in zip(*held)]
 
 
-def double(active: DataFrame, length: int) -> DataFrame:
+def double(active: DataFrame, unit: Bytes | Words) -> DataFrame:
     """Extends every run that is still short by a neighbour's, and renames it (`fresh`).
 
     A text is `open` while one of its runs is short.
@@ -123,8 +177,8 @@ def double(active: DataFrame, length: int) -> DataFrame:
     def run(batches):
         out, size = [], 0
         for row, (at, run_len, nxt, end, name) in _groups(batches, 6):
-            need = nxt.astype(np.int64) - 1 + length
-            short = end.astype(np.int64) + GRAM < need
+            need = nxt.astype(np.int64) - 1 + unit.length
+            short = end.astype(np.int64) + unit.gram < need
             name = name.view(np.uint64).copy()
             # the nearest neighbour that reaches far enough, else the farthest one
             pick, met, far = np.full(len(at), -1), ~short, end.copy()
@@ -134,7 +188,7 @@ def double(active: DataFrame, length: int) -> DataFrame:
                     break
                 i = i[end[i + d] > far[i]]
                 pick[i], far[i] = i + d, end[i + d]
-                met[i] = end[i + d] + GRAM >= need[i]
+                met[i] = end[i + d] + unit.gram >= need[i]
             alive = pick >= 0
             i = np.flatnonzero(alive)
             j = pick[i]
@@ -146,7 +200,7 @@ def double(active: DataFrame, length: int) -> DataFrame:
             new_end[i] = end[j]
             out.append((np.full(len(keep), row), at[keep], new_len[keep], nxt[keep],
                         new_end[keep], name[keep].view(np.int64), alive[keep],
-                        np.full(len(keep), bool((new_end[keep] + GRAM < need[keep]).any()))))
+                        np.full(len(keep), bool((new_end[keep] + unit.gram < need[keep]).any()))))
             size += len(keep)
             if size > 100_000:
                 yield _rows(out)
@@ -164,7 +218,7 @@ def double(active: DataFrame, length: int) -> DataFrame:
     return _by_row(active.select("row", "at", "len", "next", "end", "name")).mapInArrow(run, ROWS)
 
 
-def repeated_runs(base: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+def repeated_runs(base: DataFrame, unit: Bytes | Words) -> tuple[DataFrame, DataFrame]:
     """(row, at) of the stretches that recur; (row, at, name) of runs past the threshold that do."""
     pos = base.select("row", F.posexplode("names").alias("at", "name"), "starts").select(
         "row", "at", F.lit(1).alias("len"), F.expr("starts[at + 1]").alias("next"),
@@ -172,7 +226,7 @@ def repeated_runs(base: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     first = active = stored(_again(pos))
     runs = None
     while True:
-        grown = stored(double(active, length))
+        grown = stored(double(active, unit))
         if grown.where("fresh").isEmpty():
             break
         tested = _again(grown.where("fresh")).unionByName(grown.where("NOT fresh"))
@@ -185,15 +239,15 @@ def repeated_runs(base: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     return first.select("row", "at"), left if runs is None else runs.unionByName(left)
 
 
-def _state(starts, turns, n_bytes, seen, runs, length):
+def _state(starts, turns, size, seen, runs, unit):
     """Per window of a text: 1 repeated, 0 not, -1 not known."""
-    windows = n_bytes - length + 1
+    windows = size - unit.length + 1
     edge = np.zeros(windows + 1, np.int64)
     recurs = np.zeros(len(starts) - 1, bool)
     recurs[seen] = True
     unique = np.flatnonzero(~recurs)
     # windows whose own bytes make the two ends of a unique stretch neighbours
-    lo = np.maximum(turns[unique] - (length - GRAM + 1 - _width(length)), 0)
+    lo = np.maximum(turns[unique] - (unit.length - unit.gram + 1 - unit.width), 0)
     hi = np.minimum(turns[unique] - 1, windows - 1)
     ok = lo <= hi
     np.add.at(edge, lo[ok], 1)
@@ -206,17 +260,17 @@ def _state(starts, turns, n_bytes, seen, runs, length):
     return np.where(twice, 1, np.where(single, 0, -1))
 
 
-def removed(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+def removed(docs: DataFrame, unit: Bytes | Words) -> tuple[DataFrame, DataFrame]:
     """(base, cut): the rows of `positions`, and per text that loses bytes (row, lo, hi, n_removed)."""
-    base = stored(positions(docs, length))
-    copies = base.groupBy("row").agg(F.count("*").alias("n"), F.first("n_bytes").alias("b"))
-    all_of = stored(copies.where(f"n > 1 AND b >= {length}").select(
-        "row", F.array(F.lit(0)).alias("lo"), F.array((F.col("b") - length).cast("int")).alias("hi")))
+    base = stored(positions(docs, unit))
+    copies = base.groupBy("row").agg(F.count("*").alias("n"), F.first("size").alias("b"))
+    all_of = stored(copies.where(f"n > 1 AND b >= {unit.length}").select(
+        "row", F.array(F.lit(0)).alias("lo"), F.array((F.col("b") - unit.length).cast("int")).alias("hi")))
     # only texts that may have copies are shuffled to find one of each
     flagged = maybe_in(base.where(F.size("names") > 0), "row", stored(copies.where("n > 1").select("row")), "_maybe")
     texts = flagged.where("NOT _maybe").drop("_maybe").unionByName(
         stored(flagged.where("_maybe").drop("_maybe").dropDuplicates(["row"])))
-    seen, runs = repeated_runs(texts, length)
+    seen, runs = repeated_runs(texts, unit)
     # windows of equal runs are equal: one run of each name shows them to the windows not known
     shown = runs.groupBy("name").agg(F.min(F.struct("row", "at")).alias("s")).select("s.row", "s.at")
 
@@ -228,8 +282,8 @@ def removed(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
         F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("at")))).alias(name)
         for k, name in enumerate(("seen", "runs", "shown"))]))
     # the texts that need a look: with a repeated run, or windows between unique stretches
-    known = texts.select("row", "doc_id", "sha", "n_bytes", "starts", "turns", "names").join(marks, "row")
-    known = stored(known.mapInArrow(_open(length), "row long, doc_id long, sha string, starts array<int>, "
+    known = texts.select("row", "doc_id", "sha", "size", "starts", "turns", "names").join(marks, "row")
+    known = stored(known.mapInArrow(_open(unit), "row long, doc_id long, sha string, starts array<int>, "
                                                    "turns array<int>, seen array<int>, runs array<int>, "
                                                    "asked array<long>, places array<int>, held array<long>"))
     # equal windows hold the same first stretch: shown are those whose first stretch is asked for
@@ -246,25 +300,25 @@ def removed(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     met = chosen.withColumn("_sha", F.sha2("text", 256)).join(
         look, chosen["doc_id"].eqNullSafe(look["doc_id"]) & (F.col("_sha") == F.col("sha")))
     tested = met.select("row", "text", "starts", "turns", "seen", "runs", "shown", "firsts").mapInArrow(
-        _windows(length), "row long, at int, hash long")
+        _windows(unit), "row long, at int, hash long")
     again = tested.repartition("hash").sortWithinPartitions("hash", "row").mapInArrow(
         _recurring, "row long, at int")
     spans = _by_row(again).mapInArrow(_ranges, "row long, lo array<int>, hi array<int>")
     spans = stored(spans.join(all_of.select("row"), "row", "left_anti").unionByName(all_of))
     runs_of = known.where(F.size("runs") > 0).select("row", "starts", "runs")
     cut = stored(runs_of.join(spans, "row", "full_outer").mapInArrow(
-        _spans(length), "row long, lo array<int>, hi array<int>, n_removed long"))
+        _spans(unit.length), "row long, lo array<int>, hi array<int>, n_removed long"))
     return base, cut
 
 
-def shortened(docs: DataFrame, base: DataFrame, cut: DataFrame, texts: bool) -> DataFrame:
+def shortened(docs: DataFrame, base: DataFrame, cut: DataFrame, unit: Bytes | Words, texts: bool) -> DataFrame:
     """A row per document that loses bytes; with its old digest and new text if `texts`."""
     gone = stored(cut.join(base.select("row", "doc_id", "sha").distinct(), "row"))
     lost = having_ids(docs, stored(gone.select("doc_id").distinct()))
     lost = lost.withColumn("_sha", F.sha2("text", 256)).join(
         gone.drop("row"), lost["doc_id"].eqNullSafe(gone["doc_id"]) & (F.col("_sha") == F.col("sha"))
     ).select(lost["doc_id"], "text", "lo", "hi", "sha")
-    return lost.mapInArrow(_keep(texts), OUT + (", sha string, kept string" if texts else ""))
+    return lost.mapInArrow(_keep(unit, texts), OUT + (", sha string, kept string" if texts else ""))
 
 
 def _plain(docs: DataFrame) -> DataFrame:
@@ -274,13 +328,13 @@ def _plain(docs: DataFrame) -> DataFrame:
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    docs = _plain(docs)
-    base, cut = removed(docs, length)
+    docs, unit = _plain(docs), Bytes(length)
+    base, cut = removed(docs, unit)
     # every other text stays as it is
     whole = base.join(cut.select("row"), "row", "left_anti").select(
-        "doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"),
+        "doc_id", F.col("size").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
         F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"))
-    return whole.unionByName(shortened(docs, base, cut, False))
+    return whole.unionByName(shortened(docs, base, cut, unit, False))
 
 
 def _first(turns, windows):
@@ -296,7 +350,7 @@ def _within(starts, at, windows: int):
     return np.cumsum(edge[:windows]) > 0
 
 
-def _open(length: int):
+def _open(unit: Bytes | Words):
     """Texts with windows that are repeated or not known; the names of the first stretches of the
     latter (`asked`), and the first stretches (`places`, names `held`) of the windows of shown runs.
     """
@@ -307,7 +361,7 @@ def _open(length: int):
             cols = zip(*(batch.column(k).to_pylist() for k in range(3, 10)))
             for n, starts, turns, names, seen, runs, shown in cols:
                 starts, turns, names = np.array(starts), np.array(turns), np.array(names, np.int64)
-                state = _state(starts, turns, n, np.array(seen, int), np.array(runs, int), length)
+                state = _state(starts, turns, n, np.array(seen, int), np.array(runs, int), unit)
                 keep.append(bool((state != 0).any()))
                 if keep[-1]:
                     ask = _first(turns, np.flatnonzero(state < 0))
@@ -325,7 +379,7 @@ def _open(length: int):
     return run
 
 
-def _windows(length: int):
+def _windows(unit: Bytes | Words):
     """Hashes of the windows whose state is not known, and, at ~at, of those of shown runs."""
 
     def run(batches):
@@ -336,13 +390,14 @@ def _windows(length: int):
                 raw = data[at[k]:at[k + 1]]
                 starts, turns, seen, runs, shown, firsts = (
                     np.array(batch.column(c)[k].as_py() or [], np.int64) for c in range(2, 8))
-                state = _state(starts, turns, len(raw), seen, runs, length)
+                size, prefix = unit.hashed(raw)
+                state = _state(starts, turns, size, seen, runs, unit)
                 show = np.flatnonzero(_within(starts, shown, len(state)) & (state > 0))
                 show = show[np.isin(_first(turns, show), firsts)]
                 s = np.concatenate((np.flatnonzero(state < 0), show))
                 if not len(s):
                     continue
-                h = T.range_hash(T.prefix_hash(raw), s, s + length)
+                h = T.range_hash(prefix, s, s + unit.length)
                 s[len(s) - len(show):] = ~show
                 for lo in range(0, len(s), 200_000):
                     part = s[lo:lo + 200_000]
@@ -391,7 +446,7 @@ def _ranges(batches):
 
 
 def _spans(length: int):
-    """Maximal removed byte ranges [lo, hi) of a row, from its runs and its window ranges."""
+    """Maximal removed ranges [lo, hi) of a row, from its runs and its window ranges."""
 
     def run(batches):
         for batch in batches:
@@ -417,14 +472,14 @@ def _spans(length: int):
     return run
 
 
-def _keep(texts: bool):
+def _keep(unit: Bytes | Words, texts: bool):
     def run(batches):
         for batch in batches:
             out = []
             for doc, text, lo, hi, sha in zip(*(c.to_pylist() for c in batch.columns)):
                 raw = text.encode()
                 parts, at = [], 0
-                for a, b in zip(lo, hi):
+                for a, b in zip(*unit.cuts(raw, lo, hi)):
                     parts.append(raw[at:a])
                     at = b
                 left = b"".join([*parts, raw[at:]])
@@ -440,14 +495,15 @@ def _keep(texts: bool):
     return run
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The documents with repeated strings removed from their texts; the first copy goes too.
+def without_repeats(docs: DataFrame, unit: Bytes | Words = Bytes(LENGTH)) -> DataFrame:
+    """The documents with repeated strings (or passages) removed from their texts; the first copy
+    goes too.
 
     A text that loses everything is dropped; n_chars, if there, follows the text.
     """
     plain = _plain(docs)
-    base, cut = removed(plain, length)
-    kept = stored(shortened(plain, base, cut, True).select(
+    base, cut = removed(plain, unit)
+    kept = stored(shortened(plain, base, cut, unit, True).select(
         F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"), F.col("kept").alias("_kept")).distinct())
     met = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"])
                     & (F.sha2(docs["text"].cast("string"), 256) == kept["_sha"]), "left")

@@ -72,6 +72,13 @@ def prefix_hash(data: np.ndarray, lower: bool = False) -> np.ndarray:
     return out
 
 
+def running(codes: np.ndarray) -> np.ndarray:
+    """`prefix_hash` of a sequence of 64-bit codes."""
+    out = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(codes * powers(len(codes))[0], out=out[1:])
+    return out
+
+
 def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of byte ranges; equal bytes hash alike wherever they stand."""
     _, down = powers(len(prefix))
