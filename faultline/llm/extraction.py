@@ -5,7 +5,9 @@ down).  A branch whose content is spread evenly over few values - the same menu
 has a low entropy of content per page and so a low importance; one whose content is new on every
 page has importance 1.  Branches of low importance are cut from each page, as are those whose
 presentation (tag, class, id or role) says that they hold no article text.  A branch marked as
-article or main text is kept however often its content repeats.
+article or main text is kept however often its content repeats.  A block element whose class or id
+is the name of something else (a whole token: `sidebar`, not `no-sidebar`) is left out unless it
+holds the page's marked main text or, where no other text is marked, most of the page.
 
 Defined cases: null html gives an empty text; a null or odd url makes a host of its own; repeated
 rows give repeated rows and count as pages; an empty table gives no rows; other columns are ignored.
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import html as H
+import itertools
 import re
 
 import pyarrow as pa
@@ -34,12 +37,15 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
                   "tr ul".split())
 BOILER = frozenset("nav footer aside menu".split())
 LANDMARK = frozenset(("article", "main"))
-NOISE = re.compile(r"(?:^|[-_\s])(?:ads?|adverts?|advertisement|banner|sponsor(?:ed)?|promo|cookies?|"
-                   r"consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|signup|login|nav|"
-                   r"navbar|navigation|menu|breadcrumbs?|sidebar|side|footer|header|masthead|topbar|"
-                   r"comments?|commentlist|disqus|replies|reply|respond|related|recommended|share|"
-                   r"sharing|social|widget|toolbar|pagination|pager|legal|copyright|skip|search|"
-                   r"form|alert|toast|disclaimer)(?:$|[-_\s\d])", re.I)
+_NOISE = (r"(?:ads?|adverts?|advertisement|banner|sponsor(?:ed)?|promo|cookies?|"
+          r"consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|signup|login|nav|"
+          r"navbar|navigation|menu|breadcrumbs?|sidebar|side|footer|header|masthead|topbar|"
+          r"comments?|commentlist|disqus|replies|reply|respond|related|recommended|share|"
+          r"sharing|social|widget|toolbar|pagination|pager|legal|copyright|skip|search|"
+          r"form|alert|toast|disclaimer)")
+#: The name alone, and the name as a part of a longer one.
+NOISE = re.compile(_NOISE + r"\d*", re.I)
+PARTLY = re.compile(r"(?:^|[-_])" + _NOISE + r"(?:$|[-_\d])", re.I)
 MAIN = re.compile(r"(?:^|[-_\s])(?:article|main|content|post|entry|story)(?:$|[-_\s\d])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar "
                   "alertdialog toolbar".split())
@@ -54,7 +60,10 @@ _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "
 
 
 def _kind(tag: str, attributes: str, inside: bool) -> int:
-    """2 for a branch marked as main text, 0 for one marked as something else, 1 for neither."""
+    """2 for a branch marked as main text, 0 for one marked as something else, 1 for neither.
+
+    3: only a name says that it is something else.
+    """
     if tag in HIDDEN or tag in BOILER or (tag == "header" and not inside):
         return 0
     kind = 2 if tag in LANDMARK else 1
@@ -68,9 +77,13 @@ def _kind(tag: str, attributes: str, inside: bool) -> int:
                     return 0
                 kind = 2 if value.lower() in ("main", "article") else kind
             elif name in ("class", "id"):
-                if kind != 2 and tag not in ("body", "html") and NOISE.search(value):
-                    return 0
-                if MAIN.search(value) and kind == 1:
+                names = value.split()
+                if kind != 2 and tag not in ("body", "html") and any(map(NOISE.fullmatch, names)):
+                    if tag not in BLOCK:
+                        return 0
+                    kind = 3
+                # a wrapper named after both (content-sidebar-wrap) is neither
+                if kind == 1 and any(MAIN.search(x) and not PARTLY.search(x) for x in names):
                     kind = 2 if tag in ("div", "section", "td") else kind
             elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 return 0
@@ -79,8 +92,10 @@ def _kind(tag: str, attributes: str, inside: bool) -> int:
 
 def blocks(page: str) -> list[tuple[str, str, bool]]:
     """(branch, text, inside a marked main text) of every block that is not marked otherwise."""
-    out: list[tuple[str, str, bool]] = []
+    out: list[tuple[str, str, bool, tuple]] = []
     stack: list[list] = []  # [tag, label, kind]
+    named: list[tuple[int, int]] = []  # open branches of kind 3: number, marks around it
+    numbers = itertools.count()
     words: list[str] = []
     muted = marked = 0
     at, n = 0, len(page)
@@ -90,7 +105,8 @@ def blocks(page: str) -> list[tuple[str, str, bool]]:
             text = SPACE.sub(" ", "".join(words)).strip()
             words.clear()
             if text:
-                out.append((">".join(s[1] for s in stack if s[1]), text, marked > 0))
+                out.append((">".join(s[1] for s in stack if s[1]), text, marked > 0,
+                            tuple((k, marked > around) for k, around in named)))
 
     def leave(depth: int) -> None:
         nonlocal muted, marked
@@ -100,6 +116,8 @@ def blocks(page: str) -> list[tuple[str, str, bool]]:
             tag, _, kind = stack.pop()
             muted -= kind == 0
             marked -= kind == 2
+            if kind == 3:
+                named.pop()
 
     while at < n:
         m = TOKEN.search(page, at)
@@ -147,10 +165,12 @@ def blocks(page: str) -> list[tuple[str, str, bool]]:
         kind = _kind(tag, m[3], marked > 0)
         label = ""
         if tag in BLOCK and tag not in ("html", "p"):
-            named = re.search(r"(?:class|id|role)\s*=\s*[\"']?([\w-]+)", m[3])
-            label = f"{tag}.{re.sub(r'[0-9]+', '', named[1])}" if named else tag
+            name = re.search(r"(?:class|id|role)\s*=\s*[\"']?([\w-]+)", m[3])
+            label = f"{tag}.{re.sub(r'[0-9]+', '', name[1])}" if name else tag
         stack.append([tag, label, kind])
         muted += kind == 0
+        if kind == 3:
+            named.append((next(numbers), marked))
         marked += kind == 2
         if tag in RAW:
             end = re.compile(f"</{tag}\\s*>", re.I).search(page, at)
@@ -161,7 +181,31 @@ def blocks(page: str) -> list[tuple[str, str, bool]]:
                 leave(len(stack) - 1)
     leave(0)
     flush()
-    return out
+    return _lifted(out)
+
+
+def _lifted(found: list[tuple[str, str, bool, tuple]]) -> list[tuple[str, str, bool]]:
+    """The blocks without those in a branch whose name says that it holds no article text.
+
+    Such a branch stays if at least half of the marked text is marked inside it, or if nothing is
+    marked outside and it holds over half of the page.
+    """
+    if not any(f[3] for f in found):
+        return [f[:3] for f in found]
+    total = main = 0
+    inside: dict[int, list[int]] = {}  # words, marked words, those marked inside
+    for _, text, marked, within in found:
+        n = len(text.split())
+        total += n
+        main += n * marked
+        for k, own in within:
+            t = inside.setdefault(k, [0, 0, 0])
+            t[0] += n
+            t[1] += n * marked
+            t[2] += n * own
+    stays = {k for k, (n, marked, own) in inside.items()
+             if own and 2 * own >= main or marked == main and 2 * n > total}
+    return [f[:3] for f in found if all(k in stays for k, _ in f[3])]
 
 
 def host(url: Column) -> Column:

@@ -215,3 +215,20 @@ def test_neighbours_odd(spark):
     got = neighbours.nearest(many, many.where("vec_id = 100")).orderBy("rank").collect()
     assert [r.vec_id for r in got] == [0, 1, 2, 3, 4]
     assert neighbours.nearest(frame.limit(0), frame.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("wrap", ("content-sidebar-wrap", "layout with-sidebar", "no-sidebar", "left-side",
+                                  "sidebar", "search widget"))
+def test_layout_wrappers_keep_their_article(wrap):
+    page = ("<body><div class='{0}'><{1}><div class='post-header'><h1>Title</h1></div><p>The text of it.</p>"
+            "<div class='comments'><p>Nice</p></div></{1}><div class='sidebar'><p>Other</p></div></div>"
+            "<div class='widget'><p>Ask</p></div></body>")
+    for tag in ("main", "article"):
+        kept = [text for _, text, marked in extraction.blocks(page.format(wrap, tag)) if marked]
+        assert kept == ["Title", "The text of it."]
+    # nothing is marked: what holds most of the page stays
+    kept = [text for _, text, _ in extraction.blocks(page.format(wrap, "div"))]
+    assert kept == ["Title", "The text of it."]
+    # comments longer than the marked text are still none of it
+    kept = [b[1] for b in extraction.blocks("<article><p>A b</p></article><div id=comments><p>" + "c " * 90)]
+    assert kept == ["A b"]
