@@ -1,11 +1,16 @@
 """Main-text extraction with a site style tree.
 
 Pages of a host are merged branch by branch (the path of tags, classes and roles from the body
-down).  A branch whose content is spread evenly over few values - the same menu on every page -
-has a low entropy of content per page and so a low importance; one whose content is new on every
-page has importance 1.  Branches of low importance are cut from each page, as are those whose
-presentation (tag, class, id or role) says that they hold no article text.  A branch marked as
-article or main text is kept however often its content repeats.  A block element whose class or id
+down), marked branches too.  A branch whose content is spread evenly over few values - the same menu
+on every page - has a low entropy of content per page; one whose content is new on every page has 1.
+Its presentation (the tags of its blocks and those of the elements around them) has an entropy of
+the same kind, which counts the more the more presentations there are.  Both make the importance of
+a branch, which nears 1 on hosts of few pages, where entropy says little.
+
+What a branch is marked as is evidence beside that: a block outside the marks counts the less the
+more words of its page are inside marks, a block inside them the more.  Blocks that score too low
+are cut, marked or not.
+A block element whose class or id
 is the name of something else (a whole token: `sidebar`, not `no-sidebar`) is left out unless it
 holds the page's marked main text or, where no other text is marked, most of the page.
 
@@ -53,8 +58,12 @@ TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|"
                    r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 SPACE = re.compile(r"\s+")
-#: A branch is cut when its importance on at least this many pages of a host is below this.
-LEAST_PAGES, LEAST_IMPORTANCE = 8, 0.4
+#: A block is cut when it scores below this.
+LEAST = 0.4
+#: The importance of a branch weighs as if so many more pages had shown new content there.
+PRIOR_PAGES = 4
+#: How fast the number of presentations of a branch gives weight to their entropy.
+GAMMA = 0.9
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"),
            "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
@@ -90,9 +99,9 @@ def _kind(tag: str, attributes: str, inside: bool) -> int:
     return kind
 
 
-def blocks(page: str) -> list[tuple[str, str, bool]]:
-    """(branch, text, inside a marked main text) of every block that is not marked otherwise."""
-    out: list[tuple[str, str, bool, tuple]] = []
+def blocks(page: str) -> list[tuple[str, str, bool, str]]:
+    """(branch, text, inside a marked main text, tags around) of every block not marked otherwise."""
+    out: list[tuple[str, str, bool, str, tuple]] = []
     stack: list[list] = []  # [tag, label, kind]
     named: list[tuple[int, int]] = []  # open branches of kind 3: number, marks around it
     numbers = itertools.count()
@@ -106,7 +115,7 @@ def blocks(page: str) -> list[tuple[str, str, bool]]:
             words.clear()
             if text:
                 out.append((">".join(s[1] for s in stack if s[1]), text, marked > 0,
-                            tuple((k, marked > around) for k, around in named)))
+                            ">".join(s[0] for s in stack), tuple((k, marked > around) for k, around in named)))
 
     def leave(depth: int) -> None:
         nonlocal muted, marked
@@ -184,17 +193,17 @@ def blocks(page: str) -> list[tuple[str, str, bool]]:
     return _lifted(out)
 
 
-def _lifted(found: list[tuple[str, str, bool, tuple]]) -> list[tuple[str, str, bool]]:
+def _lifted(found: list[tuple[str, str, bool, str, tuple]]) -> list[tuple[str, str, bool, str]]:
     """The blocks without those in a branch whose name says that it holds no article text.
 
     Such a branch stays if at least half of the marked text is marked inside it, or if nothing is
     marked outside and it holds over half of the page.
     """
-    if not any(f[3] for f in found):
-        return [f[:3] for f in found]
+    if not any(f[4] for f in found):
+        return [f[:4] for f in found]
     total = main = 0
     inside: dict[int, list[int]] = {}  # words, marked words, those marked inside
-    for _, text, marked, within in found:
+    for _, text, marked, _, within in found:
         n = len(text.split())
         total += n
         main += n * marked
@@ -205,7 +214,7 @@ def _lifted(found: list[tuple[str, str, bool, tuple]]) -> list[tuple[str, str, b
             t[2] += n * own
     stays = {k for k, (n, marked, own) in inside.items()
              if own and 2 * own >= main or marked == main and 2 * n > total}
-    return [f[:3] for f in found if all(k in stays for k, _ in f[3])]
+    return [f[:4] for f in found if all(k in stays for k, _ in f[4])]
 
 
 def host(url: Column) -> Column:
@@ -213,62 +222,86 @@ def host(url: Column) -> Column:
                       F.lit(""))
 
 
+def _digest(parts: list[str]) -> str:
+    return hashlib.blake2b("\n".join(parts).encode("utf-8", "replace"), digest_size=12).hexdigest()
+
+
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, branch, pages, importance): the merged tree of each host.
+    """(host, branch, pages, content, presentation, importance): the merged tree of each host.
 
-    importance = entropy of the branch's content over its pages / log(pages): 0 when every page
-    has the same content there, 1 when none repeats.
+    content and presentation = entropy over the branch's pages / log(pages): 0 when every page has
+    the same there, 1 when none repeats.
     """
 
     def run(batches):
         for batch in batches:
-            seen: dict[tuple[str, str, str], int] = {}
+            seen: dict[tuple[str, str, bool, str], int] = {}
             for where, page in zip(*(c.to_pylist() for c in batch.columns)):
                 found: dict[str, list[str]] = {}
-                for branch, text, main in blocks(page):
-                    if not main:
-                        found.setdefault(branch, []).append(text)
-                for branch, texts in found.items():
-                    digest = hashlib.blake2b("\n".join(texts).encode("utf-8", "replace"),
-                                             digest_size=12).hexdigest()
-                    seen[where, branch, digest] = seen.get((where, branch, digest), 0) + 1
+                looks: dict[str, list[str]] = {}
+                for branch, text, _, look in blocks(page):
+                    found.setdefault(branch, []).append(text)
+                    looks.setdefault(branch, []).append(look)
+                for style, of in ((False, found), (True, looks)):
+                    for branch, parts in of.items():
+                        key = where, branch, style, _digest(parts)
+                        seen[key] = seen.get(key, 0) + 1
             keys = list(seen)
+            kinds = (pa.string(), pa.string(), pa.bool_(), pa.string())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k[i] for k in keys], pa.string()) for i in range(3)]
-                + [pa.array(list(seen.values()), pa.int64())], ["host", "branch", "content", "n"])
+                [pa.array([k[i] for k in keys], kind) for i, kind in enumerate(kinds)]
+                + [pa.array(list(seen.values()), pa.int64())], ["host", "branch", "style", "value", "n"])
 
     parts = pages.where("html IS NOT NULL").select(host(F.col("url")).alias("host"), "html").mapInArrow(
-        run, "host string, branch string, content string, n long")
-    same = parts.groupBy("host", "branch", "content").agg(F.sum("n").alias("n"))
+        run, "host string, branch string, style boolean, value string, n long")
+    same = parts.groupBy("host", "branch", "style", "value").agg(F.sum("n").alias("n"))
+    nlogn = F.col("n") * F.log("n")
     node = same.groupBy("host", "branch").agg(
-        F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
-    entropy = F.log("pages") - F.col("nlogn") / F.col("pages")
-    return node.select("host", "branch", "pages", F.when(
-        F.col("pages") > 1, entropy / F.log("pages")).otherwise(1.0).alias("importance"))
+        F.sum(F.when(F.col("style"), F.col("n"))).alias("pages"),
+        F.count_if("style").alias("styles"),
+        F.sum(F.when(~F.col("style"), nlogn)).alias("c"), F.sum(F.when(F.col("style"), nlogn)).alias("p"))
+
+    def spread(c: str) -> Column:
+        return F.when(F.col("pages") > 1, (F.log("pages") - F.col(c) / F.col("pages")) / F.log("pages")
+                      ).otherwise(1.0)
+
+    node = node.withColumns({"content": spread("c"), "presentation": spread("p")})
+    varied = (1 - F.pow(F.lit(GAMMA), F.col("styles") - 1)) * F.col("presentation")
+    own = F.col("content") + (1 - F.col("content")) * varied
+    return node.select("host", "branch", "pages", "content", "presentation", (
+        (own * F.col("pages") + PRIOR_PAGES) / (F.col("pages") + PRIOR_PAGES)).alias("importance"))
+
+
+def chosen(found: list[tuple[str, str, bool, str]], importance: dict[str, float]) -> list[str]:
+    """The texts of a page's blocks that score enough; a branch not in `importance` has 1."""
+    sizes = [len(text.split()) for _, text, _, _ in found]
+    main = sum(n for n, b in zip(sizes, found) if b[2]) / max(1, sum(sizes))
+    top = max((importance.get(b[0], 1.0) for b in found), default=1.0)
+    out = []
+    for branch, text, marked, _ in found:
+        own = importance.get(branch, 1.0)
+        # marked text is measured by the best of its page: a page that is copied whole stays
+        if (own / top * (1 + main) / 2 if marked else own * (1 - main)) >= LEAST:
+            out.append(text)
+    return out
 
 
 def extract(pages: DataFrame, keep: list[str]) -> DataFrame:
     """The columns `keep` with text and n_chars."""
-    low = (style_tree(pages).where((F.col("pages") >= LEAST_PAGES)
-                                   & (F.col("importance") < LEAST_IMPORTANCE))
-           .groupBy("host").agg(F.collect_set("branch").alias("_cut"))
-           .withColumnRenamed("host", "_host"))
-    low = cut_lineage(low)  # one row per host that has such branches, its branches only
+    # one row per host that repeats itself, its branches only
+    tree = cut_lineage(style_tree(pages).where("importance < 0.999").groupBy("host").agg(
+        F.map_from_entries(F.collect_list(F.struct("branch", "importance"))).alias("_tree"))
+        .withColumnRenamed("host", "_host"))
     rows = pages.select(*keep, F.col("html").cast("string").alias("_html"),
                         host(F.col("url")).alias("_at"))
-    rows = rows.join(low, rows["_at"] == low["_host"], "left").select(*keep, "_cut", "_html")
+    rows = rows.join(tree, rows["_at"] == tree["_host"], "left").select(*keep, "_tree", "_html")
     fields = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches):
         for batch in batches:
-            texts = []
-            for cut, page in zip(batch.column(len(keep)).to_pylist(),
-                                 batch.column(len(keep) + 1).to_pylist()):
-                found = blocks(page) if page else []
-                main = any(b[2] for b in found)
-                cut = set(cut or ())
-                texts.append("\n".join(text for branch, text, inside in found
-                                       if inside or not main and branch not in cut))
+            texts = ["\n".join(chosen(blocks(page), dict(tree or ()))) if page else ""
+                     for tree, page in zip(batch.column(len(keep)).to_pylist(),
+                                           batch.column(len(keep) + 1).to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:len(keep)], pa.array(texts, pa.string()),
                  pa.array(list(map(len, texts)), pa.int64())], [*keep, "text", "n_chars"])

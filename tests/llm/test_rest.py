@@ -224,11 +224,39 @@ def test_layout_wrappers_keep_their_article(wrap):
             "<div class='comments'><p>Nice</p></div></{1}><div class='sidebar'><p>Other</p></div></div>"
             "<div class='widget'><p>Ask</p></div></body>")
     for tag in ("main", "article"):
-        kept = [text for _, text, marked in extraction.blocks(page.format(wrap, tag)) if marked]
+        kept = [text for _, text, marked, _ in extraction.blocks(page.format(wrap, tag)) if marked]
         assert kept == ["Title", "The text of it."]
     # nothing is marked: what holds most of the page stays
-    kept = [text for _, text, _ in extraction.blocks(page.format(wrap, "div"))]
+    kept = [text for _, text, _, _ in extraction.blocks(page.format(wrap, "div"))]
     assert kept == ["Title", "The text of it."]
     # comments longer than the marked text are still none of it
     kept = [b[1] for b in extraction.blocks("<article><p>A b</p></article><div id=comments><p>" + "c " * 90)]
     assert kept == ["A b"]
+
+
+def test_importance_decides_over_marks(spark):
+    teaser = ("<body><div class=page><div class=lead><h1>Story {0}</h1><p>It was day {0}, and much was told of it.</p>"
+              "</div></div><article class=teaser><p>{1}</p></article></body>")
+    both = "<body><main><p>Told on day {0} and {0}</p><div class=x><p>Buy our goods</p></div></main></body>"
+    pages = [(i, "http://same.example/", teaser.format(i, "Read our best offers")) for i in range(20)]
+    pages += [(100 + i, "http://new.example/", teaser.format(i, f"Next to read: {i}")) for i in range(20)]
+    pages += [(200 + i, "http://main.example/", both.format(i)) for i in range(20)]
+    # a small host: seven pages of which each repeats a line
+    pages += [(300 + i, "http://few.example/", f"<div class=a><p>Call us</p></div><div class=b>Day {i}</div>")
+              for i in range(7)]
+    # the whole page again and again, all of it marked
+    pages += [(400 + i, "http://copy.example/", "<article><p>One text</p></article>") for i in range(20)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extraction.extract(frame, ["page_id"]).collect()}
+    for i in range(20):
+        story = f"Story {i}\nIt was day {i}, and much was told of it."
+        assert got[i] == story
+        assert got[100 + i] == f"{story}\nNext to read: {i}"
+        assert got[200 + i] == f"Told on day {i} and {i}"
+        assert got[400 + i] == "One text"
+    assert {got[300 + i] for i in range(7)} == {f"Day {i}" for i in range(7)}
+    tree = {(r.host, r.branch): r for r in extraction.style_tree(frame).collect()}
+    top = tree["same.example", "body>article.teaser"]
+    assert (top.pages, round(top.content, 6), round(top.presentation, 6)) == (20, 0, 0)
+    assert round(tree["same.example", "body>div.page>div.lead"].content, 6) == 1
+    assert all(0 <= r.importance <= 1 + 1e-9 for r in tree.values())
