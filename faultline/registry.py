@@ -409,8 +409,7 @@ def upstream_datasets(spark, sf):
 
 def _plan(spark, sf):
     cat, ix = _indexed(spark, sf)
-    ch = WL.changes(spark).where(F.col("change_id").isin("c4", "c5", "c7", "c9"))
-    verdicts = I.impact_verdicts(ch, cat, ix).where(F.col("asset_urn").isNotNull())
+    verdicts = I.impact_verdicts(WL.changes(spark), cat, ix)
     s = WL.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), "s_nationkey")
     k = F.col("k")
     pairs = s.where(k > 0)

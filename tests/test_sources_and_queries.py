@@ -100,3 +100,21 @@ def test_query_matches_sql(spark, name):
 def test_every_oracle_has_a_query():
     import __spark_entry__ as E
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not present")
+def test_plan_holds_every_change_and_consumer(spark):
+    duckdb = pytest.importorskip("duckdb")
+    import __spark_entry__ as E
+    con = duckdb.connect()
+    for f in os.listdir(SF):
+        con.sql(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{SF}/{f}'")
+    found = con.sql(f"SELECT change_id, query_id, asset_urn, verdict, confidence FROM "
+                    f"({E.oracle_sql()['impact_verdicts']})").fetchall()
+    want = {(c, a or q) for c, q, a, v, sure in found if v == "UNKNOWN" or sure != "low"}
+    steps = E.queries()["plan_steps"](spark, SF).collect()
+    assert len(steps) == len(want) and {(r.change_id, r.key) for r in steps} == want
+    assert any(v == "UNKNOWN" and a is None for _, _, a, v, _ in found)
+    for change in {c for c, _ in want}:
+        mine = sorted(r.step for r in steps if r.change_id == change)
+        assert mine == list(range(1, len(mine) + 1))
