@@ -3,7 +3,9 @@
 A source's target over its size is the number of copies f its documents need on average.  The whole
 part of f is certain for every document; for the rest p = f - floor(f) documents are ranked by
 their random odds u/(1-u) over their inclusion odds p/(1-p), and taken in that order until the
-words still wanted are filled (a document counts when at least half of it fits).
+words still wanted are filled (a document counts when at least half of it fits).  p is the same for
+all documents of a source and ranks are compared within a source only, so this order is that of u
+itself, and u is what the bins hold: Pareto order sampling comes down to plain random order here.
 
 Defined cases: a null text has size 0; a null source is a source of its own, sorted last; a source
 without words has target 0; rows of one source alike in id and size are taken together; an empty
