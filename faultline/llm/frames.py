@@ -51,16 +51,18 @@ def having_ids(df: DataFrame, ids: DataFrame) -> DataFrame:
                      "left_semi")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over undirected edges (a, b).
 
-    Alternates the large-star and small-star steps, so the number of rounds grows with the
-    logarithm of the longest chain.  Each round is two shuffles of the edges; the label of a
-    node is found by an aggregate that combines before the shuffle, so a hub is no hot spot.
+    Alternates the large-star and small-star steps until neither changes an edge, so the number of
+    rounds grows with the logarithm of the longest chain and has no limit of its own.  Each round
+    is two shuffles of the edges; the label of a node is found by an aggregate that combines before
+    the shuffle, so a hub is no hot spot.
     """
     e = cut_lineage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"),
                                                  F.least("a", "b").alias("b")).distinct())
-    for _ in range(rounds):
+    same = False
+    while not same:
         both = e.union(e.select("b", "a"))
         low = cut_lineage(both.groupBy("a").agg(F.min("b").alias("m"))
                           .select("a", F.least("a", "m").alias("m")))
@@ -74,7 +76,5 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = cut_lineage(small.distinct())
         same = small.count() == e.count() and small.exceptAll(e).isEmpty()
         e = small
-        if same:
-            break
     stars = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.union(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

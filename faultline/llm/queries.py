@@ -6,17 +6,20 @@ from faultline.llm.extraction import op4_site_style_tree
 from faultline.llm.fingerprints import op2_consistent_weighted
 from faultline.llm.jaccard import op3_size_aware_jaccard
 from faultline.llm.langid import op7_hyperdimensional
+from faultline.llm.lexical import op12_nra
 from faultline.llm.mixing import op8_pareto_mixing
 from faultline.llm.neighbours import op10_small_world
 from faultline.llm.packing import op1_best_fit_packing
 from faultline.llm.quality import op9_ordinal_quality
+from faultline.llm.simhash import op13_ball_hashing
+from faultline.llm.spelling import op11_fm_index
 from faultline.llm.suffix import op6_prefix_doubling
 from faultline.llm.warc import op5_salvaged_warc
 
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_consistent_weighted, op3_size_aware_jaccard, op4_site_style_tree,
     op5_salvaged_warc, op6_prefix_doubling, op7_hyperdimensional, op8_pareto_mixing,
-    op9_ordinal_quality, op10_small_world)}
+    op9_ordinal_quality, op10_small_world, op11_fm_index, op12_nra, op13_ball_hashing)}
 
 SQL: dict[str, str] = {}
 
@@ -57,3 +60,23 @@ SELECT doc_id, size, source_size, target,
   ((whole + CASE WHEN source_size > 0 AND upto + size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END) * size)::BIGINT AS taken
 FROM q
 """
+
+SQL["op12_nra"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+             regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+c AS (SELECT count(*)::BIGINT AS big_n, sum(len(ts))::BIGINT AS big_l FROM d WHERE len(ts) > 0),
+i AS (SELECT DISTINCT item_id, unnest(
+             regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+p AS (SELECT r, doc_id, len(ts) AS n, unnest(ts) AS t FROM d),
+f AS (SELECT r, doc_id, n, t, count(*)::BIGINT AS tf FROM p WHERE t IN (SELECT t FROM i) GROUP BY ALL),
+w AS (SELECT t, floor(1000::DOUBLE * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+      FROM f, c GROUP BY t, big_n),
+s AS (SELECT i.item_id, f.r, f.doc_id, sum(w.w * ((1000000000 * tf)
+             // (1000 * tf + 8 * (10 + (90 * n * big_n) // big_l))))::BIGINT AS score
+      FROM i JOIN f USING (t) JOIN w USING (t), c GROUP BY i.item_id, f.r, f.doc_id),
+o AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank,
+             doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM o WHERE rank <= 10
+""".replace("\\x", "\x")

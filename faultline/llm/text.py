@@ -86,12 +86,13 @@ def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
                + (end - start).astype(np.uint64) * _PLACE[7])
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of every run of bytes other than ASCII white space."""
+def words(data: np.ndarray, offsets: np.ndarray,
+          between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of every run of bytes other than those `between` words (ASCII white space)."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, none
-    inside = ~_SPACE[data]
+    inside = ~between[data]
     before = np.empty_like(inside)
     before[0], before[1:] = False, inside[:-1]
     heads = offsets[:-1][offsets[:-1] < offsets[-1]]
