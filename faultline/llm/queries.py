@@ -79,4 +79,4 @@ s AS (SELECT i.item_id, f.r, f.doc_id, sum(w.w * ((1000000000 * tf)
 o AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank,
              doc_id, score FROM s WHERE score > 0)
 SELECT item_id, rank::INT AS rank, doc_id, score FROM o WHERE rank <= 10
-""".replace("\\x", "\x")
+"""
