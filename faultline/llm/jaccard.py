@@ -33,7 +33,10 @@ LONG_LIST = 48
 COMMON = 1 << 16
 #: Sets above this size never list subsets, whatever the cost model says.
 MOST_SMALL = 14
-BLOCK, BITMAP_BLOCK = 256, 1024
+#: Texts and shingles of a block whose sets are compared, and texts of one whose bitmaps are.
+BLOCK, SHINGLES, BITMAP_BLOCK = 512, 1 << 19, 1024
+#: Shingles a task counts before it passes them on.
+COUNTED = 1 << 18
 SHAPE = "doc_id long, n int, s1 long, s2 long, token long, hits long"
 
 
@@ -58,6 +61,14 @@ def subset_cost(n: int, percent: int) -> int:
 def shapes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Per text its size and 128-bit set digest; per task the prefix shingles it met repeatedly."""
 
+    def counted(counts):
+        no = pa.nulls(len(counts), pa.int64())
+        out = pa.RecordBatch.from_arrays(
+            [no, no.cast(pa.int32()), no, no, pa.array(list(counts), pa.int64()),
+             pa.array(list(counts.values()), pa.int64())], ["doc_id", "n", "s1", "s2", "token", "hits"])
+        counts.clear()
+        return out
+
     def run(batches):
         counts: dict[int, int] = {}
         for batch in batches:
@@ -79,10 +90,9 @@ def shapes(docs: DataFrame, k: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(size, pa.int32()), pa.array(one, pa.int64()),
                  pa.array(two, pa.int64()), none, none], ["doc_id", "n", "s1", "s2", "token", "hits"])
-        no = pa.nulls(len(counts), pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [no, no.cast(pa.int32()), no, no, pa.array(list(counts), pa.int64()),
-             pa.array(list(counts.values()), pa.int64())], ["doc_id", "n", "s1", "s2", "token", "hits"])
+            if len(counts) > COUNTED:
+                yield counted(counts)
+        yield counted(counts)
 
     return docs.mapInArrow(run, SHAPE)
 
@@ -271,9 +281,13 @@ def _compare(percent: int):
     return run
 
 
-def _blocks(members: DataFrame, size: int, *columns: str) -> DataFrame:
-    """The members (g, doc_id, ...) of each pair of blocks of a group, sorted by group and pair."""
-    count = stored(members.groupBy("g").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks")))
+def _blocks(members: DataFrame, size: int, *columns: str, shingles: str = "0") -> DataFrame:
+    """The members (g, doc_id, ...) of each pair of blocks of a group, sorted by group and pair.
+
+    A block has about `size` members at most, and about SHINGLES of what `shingles` counts in each.
+    """
+    parts = F.greatest(F.ceil(F.count("*") / size), F.ceil(F.sum(F.expr(shingles)) / SHINGLES))
+    count = stored(members.groupBy("g").agg(parts.cast("int").alias("blocks")))
     near = members.join(count, "g").withColumn("side", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     near = near.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     near = near.select("g", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"),
@@ -440,7 +454,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
                                        F.col("packed").alias(f"packed_{side}")),
                            F.col(side) == F.col(f"doc_id_{side}"))
     linked = pairs.select("a", "b", "packed_a", "packed_b").mapInArrow(_linked(percent), "a long, b long")
-    links = _blocks(group.join(sets, "doc_id"), BLOCK, "packed").mapInArrow(
+    links = _blocks(group.join(sets, "doc_id"), BLOCK, "packed", shingles="length(packed) / 6").mapInArrow(
         _compare(percent), "a long, b long")
     links = stored(links.unionByName(linked).unionByName(sure))
     found = components(links)

@@ -80,3 +80,39 @@ o AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DES
              doc_id, score FROM s WHERE score > 0)
 SELECT item_id, rank::INT AS rank, doc_id, score FROM o WHERE rank <= 10
 """
+
+SQL["op11_fm_index"] = r"""
+WITH RECURSIVE crc AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(
+         list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384)
+           ELSE c >> 1 END) AS v FROM range(256) r(i))),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[a-z\x{C0}-\x{FF}]+')) AS w FROM documents),
+each AS (SELECT w, count(*) AS n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || w)) AS x
+         FROM runs WHERE length(w) >= 7 GROUP BY doc_id, w),
+hashed AS (SELECT w, n, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(
+             range(0, length(x), 2), lambda i: ('0x' || substr(x, i + 1, 2))::BIGINT)),
+             lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]))) AS h FROM each, crc),
+cut AS (SELECT n, CASE WHEN h % 31 = 0 THEN left(w, h % length(w)) || substr(w, h % length(w) + 2)
+          ELSE w END AS word FROM hashed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM cut WHERE length(word) >= 7 GROUP BY word
+          HAVING sum(n) >= 2),
+gaps AS (SELECT word, n, left(word, i) AS a, substr(word, i + 2) AS b
+         FROM (SELECT *, unnest(range(length(word))) AS i FROM words)),
+pairs AS (SELECT g.word AS w, v.word AS v, v.n FROM gaps g JOIN gaps v
+            ON g.a || '*' || g.b = v.a || '*' || v.b AND g.word <> v.word
+          UNION SELECT g.word, v.word, v.n FROM gaps g JOIN words v ON v.word = g.a || g.b
+          UNION SELECT v.word, g.word, g.n FROM gaps g JOIN words v ON v.word = g.a || g.b),
+best AS (SELECT w, count(*) AS n_near, max(n) AS top, arg_min(v, struct_pack(n := -n, v := v)) AS v
+         FROM pairs GROUP BY w),
+forms AS (SELECT word, words.n, coalesce(n_near, 0) AS n_near,
+            CASE WHEN top >= 10 * words.n THEN v END AS form,
+            CASE WHEN top >= 10 * words.n THEN top END AS form_n
+          FROM words LEFT JOIN best ON w = word),
+walk AS (SELECT word, form AS root FROM forms WHERE form IS NOT NULL
+         UNION ALL SELECT walk.word, f.form FROM walk JOIN forms f ON f.word = walk.root
+         WHERE f.form IS NOT NULL),
+ends AS (SELECT walk.word, root FROM walk JOIN forms f ON f.word = walk.root WHERE f.form IS NULL)
+SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n
+FROM forms LEFT JOIN ends USING (word)
+"""

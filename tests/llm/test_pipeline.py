@@ -6,7 +6,7 @@ from collections import Counter
 
 import corpus_pipeline
 from faultline.scale import cut_lineage
-from test_texts import brute_components, brute_removed
+from test_texts import brute_components
 
 
 def test_stages(spark, sf_dir):
@@ -22,10 +22,12 @@ def test_stages(spark, sf_dir):
     assert {r.doc_id for r in language} == {d for d, t in texts.items() if re.search(r"[^\W\d_]", t or "")}
     groups = brute_components([(r.doc_id, r.text) for r in language], 5, 80)
     assert {r.doc_id for r in near} == {d for d, (_, c) in groups.items() if d == c}
-    left = {k[0]: k[1] - k[2] for k in brute_removed([(r.doc_id, r.text) for r in near], 400)}
-    assert {r.doc_id: r.text for r in near if left[r.doc_id] == len(r.text.encode())}.items() <= {
+    left = brute_passages([(r.doc_id, r.text) for r in near], 51)
+    words = brute_passages([(r.doc_id, r.text) for r in near], 10**9)
+    assert {r.doc_id: r.text for r in near if left[r.doc_id] == words[r.doc_id]}.items() <= {
         r.doc_id: r.text for r in repeats}.items()
-    assert {r.doc_id for r in repeats} == {d for d, n in left.items() if n}
+    kept = brute_passages([(r.doc_id, r.text) for r in repeats], 10**9)
+    assert kept == {d: w for d, w in left.items() if w}
     times = Counter(r.doc_id for r in mixture)
     assert set(times) <= {r.doc_id for r in repeats} and max(times.values()) <= 3
     assert Counter(r.doc_id for r in packed if r.piece == 0) == times
