@@ -255,3 +255,15 @@ def payload_summary(tool="tool", payload="payload", prefix: str = "impact_") ->
                        F.when(n > 6, " …").otherwise("")))
         .otherwise(F.concat(F.size(F.map_keys(p)).cast("string"), F.lit(" field(s)")))
     )
+
+
+def payload_digest(payload="payload", prefix: str = "impact_") -> Column:
+    """sha256 of everything a write would put down, clock values aside.
+
+    Keys in order, each key and value ended by NUL, so no two payloads share a text.
+    """
+    end = F.char(F.lit(0))
+    clock = lambda k: k.startswith(prefix) & k.endswith("_at")
+    entries = F.array_sort(F.map_entries(F.map_filter(col(payload), lambda k, v: ~clock(k))))
+    return F.sha2(F.array_join(F.transform(entries, lambda e: F.concat(
+        e["key"], end, F.coalesce(e["value"], F.lit("")), end)), ""), 256)

@@ -3,25 +3,27 @@
 The distribution test works on a long table `(keys..., side, v)` with side
 `baseline` or `current`.  It is first reduced to one row per distinct value
 with a count for each side, so a hot value or a hot feature costs one row per
-map task in the shuffle.  Quantile edges and the KS statistic then come from
-the running counts over the ordered distinct values.  When the input is large
-the running counts are taken in value ranges of near-equal size and joined to
-the totals of the ranges before them, so no task ever holds a whole feature.
+map task in the shuffle.  The ordered distinct values are then cut into ranges
+of bounded size, each a row with its running counts, its totals and the
+extremes of its distance; a feature of any size is many such rows in many
+tasks.  Quantile edges, bin shares and the KS statistic all come from that
+table: totals of the ranges before one shift its counts, and only ranges that
+hold a wanted rank or an edge are opened.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import model as M
 from ..functions import expr as X
-from ..scale import MB, cut_lineage, estimated_bytes
+from ..scale import broadcast_if_small, cut_lineage, stored_table
 
-SPLIT_ABOVE = 4096 * MB     # plan size from which a feature is cut into ranges
-RANGES = 512                # most ranges a feature is cut into
-VALUES_PER_RANGE = 1 << 20  # distinct values aimed at per range
+VALUES_PER_RANGE = 1 << 13  # distinct values of a range
 
 
 def long_features(df: DataFrame, features: Sequence[str], side: Column,
@@ -39,86 +41,123 @@ def value_counts(values: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.count_if(F.col("side") == "current").alias("nc"))
 
 
-def _ranges(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Cut points per feature, materialised once so every reader sees the same ones."""
-    grid = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
-    cuts = counts.groupBy(*keys).agg(F.count("*").alias("n_values"),
-                                     F.percentile_approx("v", grid, 10000).alias("cuts"))
-    step = F.greatest(F.lit(1), F.floor(F.lit(RANGES * VALUES_PER_RANGE)
-                                        / F.col("n_values"))).cast("int")
-    kept = cuts.withColumn("step", step).select(
-        *keys, F.array_distinct(F.filter(
-            "cuts", lambda c, i: (i + 1) % F.col("step") == 0)).alias("cuts"))
-    return cut_lineage(kept)
+RANGE = ("first double, n_b long, n_c long, t_b long, t_c long, high double, low double, "
+         "v array<double>, upto_b array<long>, upto_c array<long>")
 
 
-def running_counts(counts: DataFrame, keys: Sequence[str], split: bool) -> DataFrame:
-    """Adds cb, cc: values of each side at or below v, and tb, tc: the side totals."""
-    keys = list(keys)
-    if split:
-        cuts = _ranges(counts, keys)
-        placed = counts.join(cuts, keys).withColumn(
-            "bucket", F.size(F.filter("cuts", lambda c: c < F.col("v")))).drop("cuts")
-    else:
-        placed = counts.withColumn("bucket", F.lit(0))
-    part = [*keys, "bucket"]
-    totals = placed.groupBy(*part).agg(F.sum("nb").alias("rb"), F.sum("nc").alias("rc"))
-    before = W.partitionBy(*keys).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    whole = W.partitionBy(*keys)
-    offsets = totals.select(
-        *part,
-        F.coalesce(F.sum("rb").over(before), F.lit(0)).alias("ob"),
-        F.coalesce(F.sum("rc").over(before), F.lit(0)).alias("oc"),
-        F.sum("rb").over(whole).alias("tb"), F.sum("rc").over(whole).alias("tc"))
-    upto = W.partitionBy(*part).orderBy("v").rowsBetween(W.unboundedPreceding, 0)
-    local = placed.select(*part, "v", "nb", "nc", F.sum("nb").over(upto).alias("lb"),
-                          F.sum("nc").over(upto).alias("lc"))
-    return local.join(offsets, part).select(
-        *keys, "v", "nb", "nc", (F.col("lb") + F.col("ob")).alias("cb"),
-        (F.col("lc") + F.col("oc")).alias("cc"), "tb", "tc")
-
-
-def edges_and_ks(running: DataFrame, keys: Sequence[str], buckets: int = 10) -> DataFrame:
-    """One row per feature: quantile edges of the baseline and the KS distance.
+def ranges(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per key and range of its ordered values.
+
+    `first` is the smallest value, `n_b` and `n_c` the counts of both sides, `t_b` and `t_c` those
+    of the whole key; `upto_b` and `upto_c` count the values at or below each of `v` inside the
+    range, and `high` and `low` are the extremes of `upto_b / t_b - upto_c / t_c`.
+    """
+    keys, size = list(keys), VALUES_PER_RANGE
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            turn = np.zeros(n, bool)
+            turn[0] = True
+            for k in keys:
+                same = batch.column(k).dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+                turn[1:] |= same[1:] != same[:-1]
+            key_start = np.maximum.accumulate(np.where(turn, np.arange(n), 0))
+            start = np.flatnonzero((np.arange(n) - key_start) % size == 0)
+            edge = np.append(start, n)
+            long = np.diff(edge)
+
+            def inside(side: str) -> tuple[np.ndarray, np.ndarray]:
+                one = batch.column(side).to_numpy()
+                up = np.cumsum(one)
+                up = up - np.repeat(up[start] - one[start], long)
+                return up, up[edge[1:] - 1]
+
+            (b, n_b), (c, n_c) = inside("nb"), inside("nc")
+            t_b, t_c = batch.column("t_b").to_numpy(), batch.column("t_c").to_numpy()
+            apart = b / np.maximum(t_b, 1) - c / np.maximum(t_c, 1)
+
+            def lists(x):
+                return pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(x))
+
+            v, at = batch.column("v"), pa.array(start)
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(k).take(at) for k in keys], v.take(at), pa.array(n_b), pa.array(n_c),
+                 pa.array(t_b[start]), pa.array(t_c[start]), pa.array(np.maximum.reduceat(apart, start)),
+                 pa.array(np.minimum.reduceat(apart, start)), lists(v), lists(b), lists(c)],
+                [*keys, "first", "n_b", "n_c", "t_b", "t_c", "high", "low", "v", "upto_b", "upto_c"])
+
+    totals = counts.groupBy(*keys).agg(F.sum("nb").alias("t_b"), F.sum("nc").alias("t_c"))
+    dealt = counts.join(totals, keys).repartitionByRange(*keys, "v").sortWithinPartitions(*keys, "v")
+    types = {f.name: f.dataType.simpleString() for f in counts.schema}
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", " + RANGE
+    return stored_table(dealt.mapInArrow(fold, schema))
+
+
+def placed_ranges(table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Ranges without their lists, with the counts before them and the start of the next one."""
+    order = W.partitionBy(*keys).orderBy("first")
+    before = order.rowsBetween(W.unboundedPreceding, -1)
+    return cut_lineage(table.select(
+        *keys, "first", "n_b", "n_c", "t_b", "t_c", "high", "low",
+        F.coalesce(F.sum("n_b").over(before), F.lit(0)).alias("o_b"),
+        F.coalesce(F.sum("n_c").over(before), F.lit(0)).alias("o_c"),
+        F.lead("first").over(order).alias("next")))
+
+
+def edges_and_ks(table: DataFrame, placed: DataFrame, keys: Sequence[str],
+                 buckets: int = 10) -> DataFrame:
+    """One row per key: quantile edges of the baseline and the KS distance.
 
     Edge i interpolates between the baseline values at rank floor(p) and
     floor(p)+1 with p = i/buckets*(n-1).  A feature that lacks one side gets
     null edges and distance and the error text.
     """
-    pos = [F.lit(i / buckets) * (F.col("tb") - 1) for i in range(1, buckets)]
-
-    def at_rank(rank: Column) -> Column:
-        hit = (F.col("cb") - F.col("nb") <= rank) & (rank < F.col("cb"))
-        return F.max(F.when(hit & (F.col("nb") > 0), F.col("v")))
-
-    aggs = [F.max("tb").alias("n_baseline"), F.max("tc").alias("n_current"),
-            F.min(F.when(F.col("nb") > 0, F.col("v"))).alias("lo"),
-            F.max(F.when(F.col("nb") > 0, F.col("v"))).alias("hi"),
-            F.max(F.abs(F.col("cb") / F.nullif(F.col("tb"), F.lit(0))
-                        - F.col("cc") / F.nullif(F.col("tc"), F.lit(0)))).alias("ks")]
-    for i, p in enumerate(pos):
+    keys = list(keys)
+
+    def rank(i: int, n: Column) -> tuple[Column, Column, Column]:
+        p = F.lit(i / buckets) * (n - 1)
         low = F.floor(p)
-        aggs += [at_rank(low).alias(f"a{i}"),
-                 at_rank(F.least(low + 1, F.col("tb") - 1)).alias(f"b{i}")]
-    out = running.groupBy(*keys).agg(*aggs)
+        return p, low, F.least(low + 1, n - 1)
+
+    total = F.col("t_b")
+    ranks = [r for i in range(1, buckets) for r in rank(i, total)[1:]]
+    ranks = F.array_distinct(F.array(F.lit(0).cast("long"), *ranks, total - 1))
+    here = F.filter(ranks, lambda r: (r >= F.col("o_b")) & (r < F.col("o_b") + F.col("n_b")))
+    wanted = placed.where("t_b > 0 AND t_c > 0").select(*keys, "first", "o_b", F.explode(here).alias("rank"))
+    found = table.join(broadcast_if_small(wanted), [*keys, "first"]).select(*keys, F.struct(
+        "rank", F.get("v", F.size(F.filter("upto_b", lambda n: n <= F.col("rank") - F.col("o_b"))))
+        .alias("v")).alias("at"))
+    found = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list("at")).alias("at"))
+    apart = F.col("o_b") / F.greatest("t_b", F.lit(1)) - F.col("o_c") / F.greatest("t_c", F.lit(1))
+    out = placed.groupBy(*keys).agg(
+        F.max("t_b").alias("n_baseline"), F.max("t_c").alias("n_current"),
+        F.max(F.greatest(F.abs(F.col("high") + apart), F.abs(F.col("low") + apart))).alias("ks"))
+    out = out.join(found, keys, "left")
+
+    def at(r: Column) -> Column:
+        return F.try_element_at("at", r)
+
+    n = F.col("n_baseline")
     inner = []
-    for i in range(buckets - 1):
-        p = F.lit((i + 1) / buckets) * (F.col("n_baseline") - 1)
-        frac = p - F.floor(p)
-        inner.append(F.col(f"a{i}") * (1 - frac) + F.col(f"b{i}") * frac)
-    raw = F.array(F.col("lo"), *inner, F.col("hi"))
+    for i in range(1, buckets):
+        p, low, high = rank(i, n)
+        inner.append(at(low) * (1 - (p - low)) + at(high) * (p - low))
+    raw = F.array(at(F.lit(0).cast("long")), *inner, at(n - 1))
     rising = F.aggregate(
         raw, F.array().cast("array<double>"),
         lambda acc, e: F.when((F.size(acc) == 0) | (e > F.try_element_at(acc, F.lit(-1))),
                               F.concat(acc, F.array(e))).otherwise(acc))
     edges = F.when(F.size(rising) >= 2, rising).otherwise(
-        F.array(F.col("lo"), F.col("lo") + F.lit(1e-9)))
+        F.array(F.get(raw, F.lit(0)), F.get(raw, F.lit(0)) + F.lit(1e-9)))
     both = (F.col("n_baseline") > 0) & (F.col("n_current") > 0)
-    return out.select(
+    return cut_lineage(out.select(
         *keys, "n_baseline", "n_current", F.when(both, edges).alias("edges"),
         F.when(both, F.col("ks")).alias("ks"),
         F.when(F.col("n_baseline") == 0, "baseline values are empty")
-        .when(F.col("n_current") == 0, "current values are empty").alias("error"))
+        .when(F.col("n_current") == 0, "current values are empty").alias("error")))
 
 
 def bin_index(v: Column | str, edges: Column | str) -> Column:
@@ -127,26 +166,30 @@ def bin_index(v: Column | str, edges: Column | str) -> Column:
     return F.greatest(F.lit(0), F.least(reached - 1, F.size(X.col(edges)) - 2))
 
 
-def binned(counts: DataFrame, edges: DataFrame, keys: Sequence[str],
-           buckets: int = 10) -> DataFrame:
+def binned(table: DataFrame, placed: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Adds the share of each side per bin as the arrays `expected` and `actual`.
 
     Bin i holds the values from edge i up to edge i+1, so it is the difference of
     two counts of values below an edge; the end bins take the outliers.
     """
-    cols = [c for c in edges.columns if c not in keys]
-    got = counts.join(edges, list(keys))
-    below = []
-    for side in ("nb", "nc"):
-        below += [F.sum(F.when(F.col("v") < F.get("edges", F.lit(i)), F.col(side)))
-                  .alias(f"{side}_{i}") for i in range(1, buckets)]
-    out = got.groupBy(*keys).agg(*[F.first(c).alias(c) for c in cols], *below)
+    keys = list(keys)
+    inner = F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0)))
+    each = edges.where("error IS NULL").select(*keys, F.posexplode(inner).alias("i", "edge"))
+    # an edge is looked up in the last range that starts below it
+    here = (F.col("first") < F.col("edge")) & (F.col("next").isNull() | (F.col("edge") <= F.col("next")))
+    wanted = placed.select(*keys, "first", "next", "o_b", "o_c").join(each, keys).where(here).drop("next")
+    below = F.size(F.filter("v", lambda v: v < F.col("edge"))) - 1
+    found = table.join(broadcast_if_small(wanted), [*keys, "first"]).select(*keys, F.struct(
+        "i", F.struct((F.col("o_b") + F.get("upto_b", below)).alias("nb"),
+                      (F.col("o_c") + F.get("upto_c", below)).alias("nc")).alias("n")).alias("at"))
+    found = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list("at")).alias("below"))
+    out = edges.join(found, keys, "left")
 
     def shares(side: str, total: str) -> Column:
         upto = F.concat(
             F.array(F.lit(0).cast("bigint")),
-            F.slice(F.array(*[F.coalesce(f"{side}_{i}", F.lit(0)) for i in range(1, buckets)]),
-                    F.lit(1), F.size("edges") - 2),
+            F.transform(inner, lambda e, i: F.coalesce(
+                F.try_element_at("below", i)[side], F.lit(0).cast("bigint"))),
             F.array(F.col(total)))
         return F.transform(
             F.sequence(F.lit(0), F.size("edges") - 2),
@@ -154,8 +197,7 @@ def binned(counts: DataFrame, edges: DataFrame, keys: Sequence[str],
             / F.greatest(F.col(total), F.lit(1)))
 
     ok = F.col("error").isNull()
-    return out.select(*keys, *cols,
-                      F.when(ok, shares("nb", "n_baseline")).alias("expected"),
+    return out.select(*edges.columns, F.when(ok, shares("nb", "n_baseline")).alias("expected"),
                       F.when(ok, shares("nc", "n_current")).alias("actual"))
 
 
@@ -168,15 +210,12 @@ def psi(expected: Column | str, actual: Column | str) -> Column:
                        lambda acc, x: acc + x)
 
 
-def bin_shares(values: DataFrame, keys: Sequence[str] = ("feature",), buckets: int = 10,
-               split: bool | None = None) -> DataFrame:
+def bin_shares(values: DataFrame, keys: Sequence[str] = ("feature",), buckets: int = 10) -> DataFrame:
     """One row per key with edges, shares per bin and KS."""
     keys = list(keys)
-    if split is None:
-        split = estimated_bytes(values) > SPLIT_ABOVE
-    counts = value_counts(values, keys)
-    edges = edges_and_ks(running_counts(counts, keys, split), keys, buckets)
-    return binned(counts, edges, keys, buckets)
+    table = ranges(cut_lineage(value_counts(values, keys)), keys)
+    placed = placed_ranges(table, keys)
+    return binned(table, placed, edges_and_ks(table, placed, keys, buckets), keys)
 
 
 def share_rows(binned_rows: DataFrame, keys: Sequence[str] = ("feature",)) -> DataFrame:
@@ -189,9 +228,9 @@ def share_rows(binned_rows: DataFrame, keys: Sequence[str] = ("feature",)) -> Da
 
 
 def distribution_drift(values: DataFrame, keys: Sequence[str] = ("feature",),
-                       buckets: int = 10, split: bool | None = None) -> DataFrame:
-    """PSI, KS and verdict per key.  `split` forces or forbids value ranges."""
-    return drift_verdicts(bin_shares(values, keys, buckets, split), keys)
+                       buckets: int = 10) -> DataFrame:
+    """PSI, KS and verdict per key."""
+    return drift_verdicts(bin_shares(values, keys, buckets), keys)
 
 
 def drift_verdicts(shares: DataFrame, keys: Sequence[str] = ("feature",)) -> DataFrame:

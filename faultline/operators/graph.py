@@ -1,55 +1,131 @@
-"""Lineage closures and the order of a migration plan."""
+"""Lineage closures, downstream counts and the order of a migration plan."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Callable, Sequence
 
-from ..scale import cut_lineage, number_rows
+from pyspark.sql import Column, DataFrame, functions as F
+
+from ..scale import Appended, cut_lineage, number_rows
+
+
+def follow(steps: DataFrame, keys: Sequence[str], state: Sequence[str],
+           merge: Callable[[Callable[[str], Column], Callable[[str], Column]], dict[str, Column]]
+           ) -> DataFrame:
+    """Leads every node along its only upstream node until that one is not in `steps` itself.
+
+    `steps(*keys, node, up, *state)` holds each node once.  `merge(upper, lower)` gives the state
+    of a run of nodes from the states of its two parts.  Every round doubles the length of what a
+    row stands for, so the rounds grow with the logarithm of the longest run.  Nodes of a cycle,
+    and below one, never get out; they come back with `stuck`.
+    """
+    on = [*keys, "up"]
+    now = cut_lineage(steps.withColumn("stuck", F.lit(True)))
+    rounds = now.count().bit_length() + 1  # what leaves the set has left it before the last
+    for _ in range(rounds):
+        upper = now.select(*keys, F.col("node").alias("up"), F.col("up").alias("further"),
+                           *[F.col(c).alias(f"upper_{c}") for c in state])
+        met = now.join(upper, on, "left")
+        further = F.col("further").isNotNull()
+        merged = merge(lambda c: F.col(f"upper_{c}"), F.col)
+        # under other names first: in a lambda, a name means the column of this select
+        met = met.select(*keys, "node", F.coalesce("further", "up").alias("_up"),
+                         *[F.when(further, merged[c]).otherwise(F.col(c)).alias(f"_{c}") for c in state],
+                         further.alias("stuck"))
+        now = cut_lineage(met.withColumnsRenamed({f"_{c}": c for c in ("up", *state)}))
+        if now.where("stuck").isEmpty():
+            break
+    return now
 
 
 def closure(edges: DataFrame, starts: DataFrame | None = None,
             max_hops: int | None = None) -> DataFrame:
     """(start, node, hop): everything reachable downstream, each node once at its first hop.
 
-    `edges(up, down)`; every node with an outgoing edge is a start unless given.
-    A node is expanded once per start, so cycles end.
+    `edges(up, down)`; every node with an outgoing edge is a start unless given.  A start is not
+    listed as reached from itself.
+
+    Nodes with one upstream node are first led to where their run begins (`follow`), so the search
+    only steps from one place where paths meet to the next, and long runs cost no rounds.  A path
+    found later may be shorter; only what improved is searched on from, so cycles end.
     """
-    e = edges.select("up", "down").where(F.col("up") != F.col("down")).distinct()
+    e = cut_lineage(edges.select("up", "down").where(F.col("up") != F.col("down")).distinct())
     start = (e.select(F.col("up").alias("start")) if starts is None
              else starts.select("start")).distinct()
-    if max_hops is not None and max_hops <= 2:
-        hop = start.join(e, F.col("start") == F.col("up")).select(
-            "start", F.col("down").alias("node"), F.lit(1).alias("hop"))
-        for i in range(2, max_hops + 1):
-            step = hop.where(F.col("hop") == i - 1).join(e, F.col("node") == F.col("up")).select(
-                "start", F.col("down").alias("node"), F.lit(i).alias("hop"))
-            hop = hop.unionByName(step.where(F.col("node") != F.col("start")))
-        return hop.groupBy("start", "node").agg(F.min("hop").alias("hop"))
-    e = cut_lineage(e)
-    frontier = start.select("start", F.col("start").alias("node"))
-    seen, hop, found = cut_lineage(frontier.withColumn("hop", F.lit(0))), 0, True
-    frontier = seen
-    while found and (max_hops is None or hop < max_hops):
-        hop += 1
-        frontier = cut_lineage(
-            frontier.select("start", F.col("node").alias("up")).join(e, "up")
-            .select("start", F.col("down").alias("node")).distinct()
-            .join(seen, ["start", "node"], "left_anti").withColumn("hop", F.lit(hop)))
-        found = not frontier.isEmpty()
-        if found:
-            seen = seen.unionByName(frontier)
-            if hop % 8 == 0:
-                seen = cut_lineage(seen)
-    return seen.where(F.col("hop") > 0)
-
-
-def downstream_counts(nodes: DataFrame, edges: DataFrame, max_hops: int = 2) -> DataFrame:
+    into = e.groupBy(F.col("down").alias("node")).agg(F.count("*").alias("ways"),
+                                                      F.first("up").alias("up"))
+    inner = (into.where(F.col("ways") == 1).select("node", "up", F.lit(1).alias("far"))
+             .join(start, F.col("node") == F.col("start"), "left_anti"))
+    inner = cut_lineage(follow(inner, [], ["far"], lambda upper, lower: {
+        "far": upper("far") + lower("far")}).where(~F.col("stuck")).drop("stuck"))
+    # edges into places where paths meet, from the place where the run above them begins
+    above = inner.select(F.col("node").alias("up"), F.col("up").alias("top"), "far")
+    jumps = e.join(inner.select(F.col("node").alias("down")), "down", "left_anti").join(
+        above, "up", "left").select(F.coalesce("top", "up").alias("top"), "down",
+                                    (F.coalesce("far", F.lit(0)) + 1).alias("far"))
+    jumps = cut_lineage(jumps.groupBy("top", "down").agg(F.min("far").alias("far")))
+    near = F.lit(True) if max_hops is None else F.col("hop") <= max_hops
+    seen = fresh = cut_lineage(start.select("start", F.col("start").alias("node"),
+                                            F.lit(0).alias("hop")))
+    while not fresh.isEmpty():
+        found = fresh.join(jumps, F.col("node") == F.col("top")).select(
+            "start", F.col("down").alias("node"), (F.col("hop") + F.col("far")).alias("hop"))
+        found = found.where(near).groupBy("start", "node").agg(F.min("hop").alias("hop"))
+        known = seen.withColumnRenamed("hop", "had")
+        fresh = cut_lineage(found.join(known, ["start", "node"], "left").where(
+            F.col("had").isNull() | (F.col("hop") < F.col("had"))).select("start", "node", "hop"))
+        seen = cut_lineage(seen.unionByName(fresh).groupBy("start", "node").agg(
+            F.min("hop").alias("hop")))
+    runs = inner.select(F.col("up").alias("top"), F.col("node").alias("inside"), "far")
+    inside = seen.join(runs, F.col("node") == F.col("top")).select(
+        "start", F.col("inside").alias("node"), (F.col("hop") + F.col("far")).alias("hop"))
+    return seen.unionByName(inside.where(near)).where(F.col("start") != F.col("node"))
+
+
+def downstream_counts(nodes: DataFrame, edges: DataFrame, max_hops: int) -> DataFrame:
     """Nodes with the number of distinct nodes within `max_hops` downstream.
 
     `nodes(node, known)`: a node whose lineage lookup failed (known = false) counts -1.
+
+    Nodes get numbers, close for neighbours in name order, and what a node reaches is kept as bits
+    of 64-bit words, one row per node and word in use, merged hop by hop.  (The built-in bitmaps
+    take 4 kB for every 32,768 numbers of which one is reached, far more where reach is thin.)
     """
-    n = closure(edges, max_hops=max_hops).groupBy(F.col("start").alias("node")).agg(
-        F.count("*").alias("downstream"))
+    e = edges.select("up", "down").where(F.col("up") != F.col("down")).distinct()
+    names = nodes.select("node").union(e.select("up")).union(e.select("down")).distinct()
+    # numbers of a part of the names follow each other, which is all the words need
+    ids = cut_lineage(cut_lineage(names.repartitionByRange("node").sortWithinPartitions("node"))
+                      .withColumn("id", F.monotonically_increasing_id()))
+
+    def number(of: str):
+        return ids.select(F.col("node").alias(of), F.col("id").alias(f"{of}_id"))
+
+    e = cut_lineage(e.join(number("up"), "up").join(number("down"), "down").select(
+        F.col("up_id").alias("up"), F.col("down_id").alias("down")))
+
+    def word(c: str) -> Column:
+        return F.shiftright(c, 6)
+
+    def bit(c: str) -> Column:
+        return F.expr(f"shiftleft(1L, cast({c} & 63 AS int))")
+
+    def merged(rows: DataFrame) -> DataFrame:
+        return cut_lineage(rows.groupBy("id", "word").agg(F.bit_or("bits").alias("bits")))
+
+    own = e.select(F.col("up").alias("id"), word("down").alias("word"), bit("down").alias("bits"))
+    reach, hop, before = merged(own) if max_hops else own.limit(0), 1, None
+    while hop < max_hops:
+        further = reach.select(F.col("id").alias("down"), "word", "bits").join(e, "down").select(
+            F.col("up").alias("id"), "word", "bits")
+        reach, hop = merged(own.unionByName(further)), hop + 1
+        size = reach.agg(F.sum(F.bit_count("bits"))).first()[0]
+        if size == before:
+            break  # nothing is farther away
+        before = size
+    others = F.when(F.col("word") == word("id"), F.col("bits").bitwiseAND(F.bitwise_not(bit("id")))
+                    ).otherwise(F.col("bits"))
+    n = reach.groupBy("id").agg(F.sum(F.bit_count(others)).alias("downstream"))
+    n = n.join(ids, "id").select("node", "downstream")
     return nodes.join(n, "node", "left").withColumn(
         "downstream", F.when(~F.col("known"), -1).otherwise(F.coalesce("downstream", F.lit(0))))
 
@@ -73,39 +149,70 @@ def plan_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     That order needs no queue.  Let P be the node's upstream node that is placed
     last.  The node's sort key is P's key cut to the entries above the node's own
     (tier, name), followed by that own entry: between P and the node only
-    smaller entries can be placed.  Keys are found level by level, so the work is
-    spread over all changes and nodes and takes one round per level of the
-    deepest dependency chain.
+    smaller entries can be placed.
+
+    A run of nodes with one upstream node each cuts and extends the key of the node above it by
+    what `follow` gathers.  So rounds are only taken from one level of nodes where paths meet to
+    the next.  A round joins the edges with the nodes placed by the round before; of the others
+    only those are touched whose count of placed upstream nodes grew.  Placed nodes are appended
+    to a table and not read again.
     """
     own = F.struct("tier", "name", "key")
     n = cut_lineage(nodes.withColumn("own", own))
-    ids = n.select("change_id", F.col("key").alias("down"))
-    e = edges.where(F.col("up") != F.col("down")).distinct().join(ids, "down").join(
-        n.select("change_id", F.col("key").alias("up")), ["change_id", "up"], "left_semi")
-    e = cut_lineage(e.select("change_id", "up", "down"))
-    need = e.groupBy("change_id", F.col("down").alias("key")).agg(F.count("*").alias("need"))
-    state = n.join(need, ["change_id", "key"], "left").na.fill(0, ["need"])
-    placed = cut_lineage(state.where(F.col("need") == 0).select(
+
+    def side(name: str) -> DataFrame:
+        return n.select("change_id", F.col("key").alias(name))
+
+    e = edges.select("up", "down").where(F.col("up") != F.col("down")).distinct()
+    e = cut_lineage(e.join(side("down"), "down").join(side("up"), ["change_id", "up"], "left_semi")
+                    .select("change_id", "up", "down"))
+    into = e.groupBy("change_id", F.col("down").alias("key")).agg(
+        F.count("*").alias("need"), F.first("up").alias("up"))
+    state = cut_lineage(n.join(into, ["change_id", "key"], "left").na.fill(0, ["need"]))
+    single = state.where(F.col("need") == 1).select(
+        "change_id", F.col("key").alias("node"), "up", F.col("own").alias("above"),
+        F.array("own").alias("tail"))
+    runs = follow(single, ["change_id"], ["above", "tail"], lambda upper, lower: {
+        "above": F.greatest(upper("above"), lower("above")),
+        "tail": F.concat(F.filter(upper("tail"), lambda x: x > lower("above")), lower("tail"))})
+
+    def through(path: str) -> Column:
+        """The key at the end of a run, from the key of the node above the run."""
+        return F.when(F.col("above").isNull(), F.col(path)).otherwise(
+            F.concat(F.filter(path, lambda x: x > F.col("above")), F.col("tail")))
+
+    meets = state.where(F.col("need") > 1).select("change_id", F.col("key").alias("down"), "own", "need")
+    ends = runs.select("change_id", F.col("node").alias("up"), F.col("up").alias("top"), "above",
+                       "tail", "stuck")
+    jumps = cut_lineage(e.join(meets, ["change_id", "down"]).join(ends, ["change_id", "up"], "left")
+                        .where(~F.coalesce("stuck", F.lit(False)))
+                        .select("change_id", F.coalesce("top", "up").alias("up"), "down", "own",
+                                "need", "above", "tail"))
+    placed = Appended(n.sparkSession, "placed")
+    fresh = cut_lineage(state.where(F.col("need") == 0).select(
         "change_id", "key", F.array("own").alias("path")))
-    waiting = cut_lineage(state.where(F.col("need") > 0).select(
-        "change_id", "key", "own", "need"))
-    done = placed
-    while True:
-        # `waiting` nodes whose upstream nodes are all in `done`
-        ready = (e.join(done.withColumnRenamed("key", "up"), ["change_id", "up"])
-                 .groupBy("change_id", F.col("down").alias("key"))
-                 .agg(F.count("*").alias("got"), F.max("path").alias("last")))
-        step = waiting.join(ready, ["change_id", "key"]).where(F.col("got") == F.col("need"))
-        fresh = cut_lineage(step.select("change_id", "key", F.concat(
-            F.filter("last", lambda x: x > F.col("own")), F.array("own")).alias("path")))
-        if fresh.isEmpty():
-            break
-        done = cut_lineage(done.unionByName(fresh))
-        waiting = cut_lineage(waiting.join(fresh, ["change_id", "key"], "left_anti"))
-    ordered = done.withColumn("cycle", F.lit(0)).unionByName(
-        waiting.select("change_id", "key", F.array("own").alias("path")).withColumn(
-            "cycle", F.lit(1)))
-    return n.drop("own").join(ordered, ["change_id", "key"])
+    partial = None
+    while not fresh.isEmpty():
+        placed.append(fresh)
+        met = jumps.join(fresh.withColumnRenamed("key", "up"), ["change_id", "up"]).select(
+            "change_id", "down", "own", "need", F.lit(1).cast("long").alias("got"),
+            through("path").alias("last"))
+        if partial is not None:
+            met = met.unionByName(partial)
+        counts = cut_lineage(met.groupBy("change_id", "down", "own", "need").agg(
+            F.sum("got").alias("got"), F.max("last").alias("last")))
+        partial = counts.where(F.col("got") < F.col("need"))
+        fresh = counts.where(F.col("got") == F.col("need")).select(
+            "change_id", F.col("down").alias("key"), F.concat(
+                F.filter("last", lambda x: x > F.col("own")), F.array("own")).alias("path"))
+    done = placed.read(fresh.schema)
+    runs = runs.where(~F.col("stuck")).join(
+        done.withColumnRenamed("key", "up"), ["change_id", "up"]).select(
+        "change_id", F.col("node").alias("key"), through("path").alias("path"))
+    done = cut_lineage(done.unionByName(runs))
+    ordered = n.drop("own").join(done, ["change_id", "key"], "left")
+    return ordered.withColumn("cycle", F.col("path").isNull().cast("int")).withColumn(
+        "path", F.coalesce("path", F.array(own)))
 
 
 def with_step(ordered: DataFrame) -> DataFrame:

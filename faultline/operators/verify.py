@@ -90,6 +90,14 @@ def transitions(before: DataFrame, after: DataFrame) -> DataFrame:
         F.coalesce("a_type", "b_type").alias("asset_type"))
 
 
+def manual_consumers(impacted: DataFrame, catalog: I.Catalog) -> DataFrame:
+    """(change_id, asset_name): impacted consumers whose asset no file defines, so no fix reaches."""
+    reach = catalog.assets.where(F.col("model_path").isNotNull()).select(
+        "catalog", F.col("urn").alias("asset_urn")).distinct()
+    return impacted.join(reach, ["catalog", "asset_urn"], "left_anti").select(
+        "change_id", "asset_name").distinct()
+
+
 def transition_order() -> list:
     return [F.desc("regressed"), F.col("consumer")]
 

@@ -8,7 +8,6 @@ from .. import model as M
 from ..functions import expr as X
 
 
-
 def assessment_properties(summary: DataFrame, verification: DataFrame | None = None,
                           prefix: str = "impact_", assessed_at: Column | None = None) -> DataFrame:
     """(change_id, target_urn, props MAP) describing an assessment."""
@@ -132,8 +131,8 @@ OUTCOMES = ("written_auto", "written_human_approved", "queued_for_review", "fail
             "skipped")
 
 
-def outcome_counts(rows: DataFrame) -> DataFrame:
-    got = rows.groupBy("change_id").agg(
+def outcome_counts(rows: DataFrame, key: str = "change_id") -> DataFrame:
+    got = rows.groupBy(key).agg(
         F.count("*").alias("total"),
         *[F.count_if(F.col("outcome") == o).alias(o) for o in OUTCOMES],
         F.array_sort(F.collect_set(F.nullif("queue_reason", F.lit("")))).alias("queue_reasons"))
@@ -150,19 +149,21 @@ def outcome_counts(rows: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- approval
 def approval_queue(mutations: DataFrame, prefix: str = "impact_") -> DataFrame:
+    """Writes a human is asked for: a line to read, and a digest of the whole payload to bind to."""
     return mutations.where(~F.col("auto")).select(
         "change_id", "mutation_id", "tool", "target_urn",
-        X.payload_summary(prefix=prefix).alias("payload_summary"))
+        X.payload_summary(prefix=prefix).alias("payload_summary"),
+        X.payload_digest(prefix=prefix).alias("payload_digest"))
 
 
 def queue_digest(queue: DataFrame) -> DataFrame:
-    """(change_id, entries): a digest of the `id::summary` texts of a queue.
+    """(change_id, entries): a digest of the `id::payload digest` texts of a queue.
 
     Order does not matter, content does.  At every size the texts are hashed in
     4,096 buckets of equal hash prefix and the bucket digests are joined, so no
     task holds a whole large queue.
     """
-    text = F.concat_ws("::", "mutation_id", "payload_summary")
+    text = F.concat_ws("::", "mutation_id", "payload_digest")
     e = queue.select("change_id", text.alias("t"))
     part = e.groupBy("change_id", F.substring(F.sha2("t", 256), 1, 3).alias("b")).agg(
         F.sha2(F.array_join(F.array_sort(F.collect_list("t")), "|"), 256).alias("t"))
@@ -186,14 +187,16 @@ def fingerprints(summary: DataFrame, verification: DataFrame, queue: DataFrame)
                     F.sha2(text, 256).alias("fingerprint"))
 
 
-def manifests(prints: DataFrame, queue: DataFrame, created_at: Column) -> DataFrame:
-    """An approval manifest for every REVIEW_REQUIRED change with a queue."""
+def manifests(prints: DataFrame, queue: DataFrame, created_at: str) -> DataFrame:
+    """An approval manifest for every REVIEW_REQUIRED change with a queue.
+
+    `created_at` is the moment in ISO form; equal queues of two moments are two manifests.
+    """
     some = queue.select("change_id").distinct()
-    stamp = F.date_format(created_at, "yyyy-MM-dd'T'HH:mm:ssXXX")
     return prints.where(F.col("status") == "REVIEW_REQUIRED").join(
         some, "change_id", "left_semi").select(
-        F.substring(F.sha2(F.concat("fingerprint", stamp), 256), 1, 16).alias("manifest_id"),
-        created_at.alias("created_at"), "change_id", "change", "catalog",
+        F.substring(F.sha2(F.concat("fingerprint", F.lit(created_at)), 256), 1, 16).alias("manifest_id"),
+        F.lit(created_at).alias("created_at"), "change_id", "change", "catalog",
         F.col("status").alias("verification_status"),
         F.col("reasons").alias("verification_reasons"), "fingerprint")
 
@@ -228,19 +231,25 @@ def approval_decisions(requests: DataFrame, current: DataFrame, ledger: DataFram
 
 
 def consume(decisions: DataFrame, ledger: DataFrame, at: Column) -> DataFrame:
-    """New ledger rows: every accepted manifest once, whoever presents it first by name."""
+    """New ledger rows: every accepted manifest once, for whoever presented it first.
+
+    Where decisions carry `requested_at` the earliest wins, equal moments by name.
+    """
+    moment = F.col("requested_at") if "requested_at" in decisions.columns else F.lit(None).cast("string")
+    first = F.min(F.struct(moment.alias("requested_at"), "approver"))
     ok = decisions.where(F.col("refusal_code").isNull()).groupBy("manifest_id").agg(
-        F.min("approver").alias("approver")).withColumn("consumed_at", at)
+        first["approver"].alias("approver")).withColumn("consumed_at", at)
     return ok.join(ledger.select("manifest_id"), "manifest_id", "left_anti")
 
 
 def approval_audit(counts: DataFrame, approvals: DataFrame, prefix: str = "impact_") -> DataFrame:
     """Who approved what and how it went, as properties; nothing without an approver.
 
-    approvals(change_id, target_urn, manifest_id, approver, approved_at STRING, status)
+    counts      outcomes per manifest_id
+    approvals   change_id, target_urn, manifest_id, approver, approved_at STRING, status
     """
     d = approvals.where(F.length(F.trim(F.coalesce("approver", F.lit("")))) > 0).join(
-        counts.select("change_id", "written_human_approved", "failed"), "change_id", "left")
+        counts.select("manifest_id", "written_human_approved", "failed"), "manifest_id", "left")
     pairs = {"approved_by": F.col("approver"), "approved_at": F.col("approved_at"),
              "manifest_id": F.col("manifest_id"),
              "verification_status_at_approval": F.col("status"),

@@ -92,9 +92,9 @@ SELECT feature, event_id, v FROM (SELECT event_type AS feature, event_id, value
   row_number() OVER (PARTITION BY event_type ORDER BY md5('42:' || event_id), event_id) AS r
   FROM events) WHERE r <= 300"""
 _SCHEMAS = """
-sch AS (SELECT user_id::VARCHAR AS entity, event_type AS col, CASE WHEN ts < TIMESTAMP '2024-01-15'
-          THEN 'b' ELSE 'c' END AS side, count(*) AS n FROM events GROUP BY ALL
-        HAVING count(*) % 5 <> 0),
+sch AS (SELECT user_id::VARCHAR AS entity, event_type || '_' || (event_id % 8) AS col,
+          CASE WHEN ts < TIMESTAMP '2024-01-15' THEN 'b' ELSE 'c' END AS side, count(*) AS n
+        FROM events GROUP BY ALL),
 sb AS (SELECT entity, col, CASE WHEN n % 2 = 1 THEN 'BIGINT' ELSE 'Double' END AS t
        FROM sch WHERE side = 'b'),
 sc AS (SELECT entity, col, CASE WHEN n % 2 = 1 THEN ' bigint ' ELSE 'double' END AS t
@@ -113,6 +113,27 @@ schema_sev AS (SELECT *, CASE WHEN removed + changed > 0 THEN 'high' WHEN added
 SQL["schema_changes"] = f"WITH {_SCHEMAS} SELECT * FROM chg WHERE change IS NOT NULL"
 SQL["schema_drift"] = f"""WITH {_SCHEMAS}
 SELECT *, severity <> 'none' AS has_drift FROM schema_sev"""
+SQL["column_types"] = r"""
+WITH t AS (SELECT *, event_id AS i, event_id % 997 = 500 AS late FROM events),
+u AS (SELECT event_type, 'id' AS "column", i::VARCHAR AS x FROM t
+  UNION ALL SELECT event_type, 'scaled', CASE WHEN late THEN '1e300' ELSE i::VARCHAR END FROM t
+  UNION ALL SELECT event_type, 'coded', CASE WHEN late THEN 'n/a' ELSE (i * 3000000)::VARCHAR END FROM t
+  UNION ALL SELECT event_type, 'wide', CASE WHEN i % 9 <> 0 THEN (i * 3000000)::VARCHAR END FROM t
+  UNION ALL SELECT event_type, 'day', CASE WHEN late THEN 'no day' ELSE '2024-02-28' END FROM t
+  UNION ALL SELECT event_type, 'moment', CASE WHEN i % 2 = 0 THEN '2024-02-29' END FROM t
+  UNION ALL SELECT event_type, 'empty', NULL FROM t
+  UNION ALL SELECT event_type, 'props', props FROM t),
+k AS (SELECT *, CASE WHEN x IS NULL OR trim(x) = '' THEN NULL WHEN try_cast(x AS DATE) IS NOT NULL
+        THEN 'time' WHEN x = '1e300' THEN 'decimal' WHEN try_cast(x AS INT) IS NOT NULL THEN 'int'
+        WHEN try_cast(x AS BIGINT) IS NOT NULL THEN 'whole' ELSE 'text' END AS kind FROM u),
+c AS (SELECT event_type, "column", count(*) AS rows, count(*) - count(kind) AS missing,
+        count(*) FILTER (kind = 'int') AS n_int, count(*) FILTER (kind = 'whole') AS n_whole,
+        count(*) FILTER (kind = 'decimal') AS n_decimal, count(*) FILTER (kind = 'time') AS n_time,
+        count(*) FILTER (kind = 'text') AS n_text FROM k GROUP BY ALL)
+SELECT *, CASE WHEN rows = missing THEN 'void' WHEN n_text > 0 THEN 'string'
+    WHEN n_time > 0 THEN 'timestamp_ntz' WHEN n_decimal > 0 THEN 'double' WHEN n_whole > 0 THEN 'bigint'
+    ELSE 'int' END AS type,
+  rows - missing - greatest(n_text, n_time, n_int + n_whole + n_decimal) AS misfits FROM c"""
 _FRESH = """
 lastu AS (SELECT user_id, max(epoch_us(ts)) AS us FROM events GROUP BY 1),
 age AS (SELECT user_id::VARCHAR AS entity,
@@ -414,9 +435,8 @@ SELECT change_id, query_id, verdict, usage, clauses, conf AS confidence, team, r
 FROM v"""
 SQL["impact_all_consumers"] = f"""WITH {_VERDICTS}
 SELECT change_id, query_id, verdict, conf AS confidence, runs FROM v
-WHERE change_id IN ('c3', 'c5')
 UNION ALL SELECT change_id, query_id, 'SAFE', 'high', runs FROM changes h JOIN log l USING (catalog)
-WHERE change_id IN ('c3', 'c5') AND tmpl NOT IN (6, 12)
+WHERE h.ds IS NOT NULL AND tmpl NOT IN (6, 12)
   AND NOT EXISTS (SELECT 1 FROM uses u WHERE u.tmpl = l.tmpl AND u.ds = h.ds AND u.col = h.col)"""
 SQL["no_definition_assets"] = f"""WITH {_LOG}
 SELECT catalog, urn, type, coalesce(def, 'no_definition:' || urn) AS query_id,
@@ -458,9 +478,10 @@ _NEW = (
               " sales.supplier\nWHERE nationkey >= 0\n", 0, "minimal"),
     ("c9", 0, "SELECT\n    s.suppkey\nFROM sales.supplier s\n", 0, "minimal"),
 )
-_FIX = (f"{_LOG}, newtexts(change_id, m, new_sql, reviews, method) AS ({_values(_NEW)}),\n"
+_FIXES = (f"newtexts(change_id, m, new_sql, reviews, method) AS ({_values(_NEW)}),\n"
         "fix AS (SELECT change_id, s_suppkey AS k, 'models/m' || s_suppkey || '.sql' AS path,"
         " new_sql, reviews, method FROM supplier JOIN newtexts ON m = s_suppkey % 3)")
+_FIX = f"{_LOG}, {_FIXES}"
 SQL["model_fixes"] = f"""WITH {_FIX}
 SELECT change_id, path, new_sql, true AS applicable, true AS changed, reviews, method FROM fix"""
 SQL["residual_lines"] = f"""WITH {_FIX}
@@ -569,6 +590,71 @@ h2 AS (SELECT DISTINCT a.up AS n, b.down AS m FROM edges a JOIN edges b ON a.dow
 h3 AS (SELECT DISTINCT a.up AS n, h2.m FROM edges a JOIN h2 ON a.down = h2.n)
 SELECT m AS model, n AS dataset, 2 AS hop FROM h2 UNION ALL SELECT m, n, 3 FROM h3"""
 
+# The plan by a queue: of the connected nodes the smallest ready one goes next, step by step; the
+# others, always ready, go before the first connected node that all before it leave as the largest.
+_PLAN = f"""{_VERDICTS}, {_FIXES},
+nd AS (SELECT change_id, coalesce(urn, query_id) AS key, query_id, verdict, usage, conf, team, urn,
+         name, type, struct_pack(t := CASE type WHEN 'looker_dashboard' THEN 2 WHEN 'warehouse_view'
+           THEN 1 ELSE 0 END, n := coalesce(name, query_id), k := coalesce(urn, query_id)) AS o
+       FROM v WHERE verdict = 'UNKNOWN' OR conf <> 'low'),
+pk(p) AS (VALUES ('urn:asset:'), ('urn:model:')),
+pe AS (SELECT p || ((k * 7) % 10 + k // 10 * 10 - 10) AS up, p || k AS down FROM
+         (SELECT s_suppkey AS k FROM supplier), pk
+       UNION SELECT p || (k - 10 - k % 3), p || k FROM (SELECT s_suppkey AS k FROM supplier), pk
+         WHERE k % 4 = 0
+       UNION SELECT p || (k + 1), p || k FROM (SELECT s_suppkey AS k FROM supplier), pk
+         WHERE k % 50 = 48
+       UNION SELECT p || (k - 1), p || k FROM (SELECT s_suppkey AS k FROM supplier), pk
+         WHERE k % 50 = 49),
+ne AS (SELECT change_id, up, down FROM pe JOIN nd ON nd.key = pe.down
+       JOIN (SELECT change_id, key AS up FROM nd) USING (change_id, up)),
+ups AS (SELECT change_id, down AS key, list(up) AS us FROM ne GROUP BY ALL),
+cn AS (SELECT change_id, key, o, coalesce(us, []) AS us FROM nd LEFT JOIN ups USING (change_id, key)
+       WHERE us IS NOT NULL OR EXISTS (SELECT 1 FROM ne WHERE ne.change_id = nd.change_id
+         AND ne.up = nd.key)),
+seq AS (SELECT DISTINCT change_id, []::VARCHAR[] AS placed, NULL::VARCHAR AS key, 0 AS j FROM cn
+        UNION ALL SELECT seq.change_id, list_append(any_value(placed), arg_min(cn.key, o)),
+          arg_min(cn.key, o), any_value(j) + 1 FROM seq JOIN cn USING (change_id)
+        WHERE NOT list_contains(placed, cn.key) AND list_has_all(placed, us)
+        GROUP BY seq.change_id),
+run AS (SELECT change_id, key, j, max(o) OVER (PARTITION BY change_id ORDER BY j) AS m
+        FROM seq JOIN cn USING (change_id, key)),
+spot AS (SELECT change_id, key, 0 AS cyc, m, 1 AS c, j FROM run
+         UNION ALL SELECT change_id, key, CASE WHEN EXISTS (SELECT 1 FROM cn WHERE
+             cn.change_id = nd.change_id AND cn.key = nd.key) THEN 1 ELSE 0 END, o, 0, 0
+         FROM nd WHERE NOT EXISTS (SELECT 1 FROM run WHERE run.change_id = nd.change_id
+           AND run.key = nd.key)),
+placed AS (SELECT change_id, key, row_number() OVER (PARTITION BY change_id ORDER BY cyc, m, c, j)
+             AS step FROM spot),
+own AS (SELECT p || s_suppkey AS key, CASE WHEN s_suppkey % 6 = 0 THEN 'own' || (s_suppkey % 4) ||
+          ', desk' ELSE 'own' || (s_suppkey % 4) END AS named FROM supplier, pk
+        WHERE s_suppkey % 3 = 0
+        UNION ALL SELECT 'q' || event_id, 'reader' || (event_id % 9) FROM events
+        WHERE event_id % 50 = 0),
+steps AS (
+  SELECT nd.change_id, step, nd.key, coalesce(nd.name, nd.query_id) AS asset_name,
+    coalesce(nd.type, 'query') AS asset_type, verdict,
+    coalesce(oa.named, oq.named, team, '⟨human to decide⟩ (unassigned owner)') AS owner,
+    CASE WHEN verdict = 'UNKNOWN' THEN 'manual review — could not be assessed automatically (' ||
+      usage || '); determine impact by hand' WHEN f.path IS NOT NULL THEN 'apply generated fix: ' ||
+      f.path ELSE 'manual review — no mechanical fix generated' END AS action,
+    conf AS parser_confidence,
+    CASE WHEN verdict = 'UNKNOWN' THEN 'unassessed — verification cannot clear it'
+      WHEN nd.urn LIKE 'urn:asset:%' THEN 'still impacted after fix — manual review'
+      WHEN f.path IS NOT NULL AND f.change_id <> 'c4' THEN
+        'verified-clean after fix (BREAKS -> SAFE)'
+      ELSE 'unchanged after fix — manual review' END AS verified
+  FROM nd JOIN placed USING (change_id, key)
+  LEFT JOIN fix f ON f.change_id = nd.change_id AND 'urn:model:' || f.k = nd.urn
+  LEFT JOIN own oa ON oa.key = nd.urn LEFT JOIN own oq ON oq.key = nd.query_id)"""
+SQL["plan_steps"] = f"WITH RECURSIVE {_PLAN} SELECT * FROM steps"
+SQL["plan_teams"] = f"""WITH RECURSIVE {_PLAN},
+tm AS (SELECT change_id, step, unnest(string_split(owner, ', ')) AS team,
+         generate_subscripts(string_split(owner, ', '), 1) AS i FROM steps
+       WHERE owner NOT LIKE '⟨%'),
+ft AS (SELECT change_id, team, min(struct_pack(s := step, i := i)) AS pl FROM tm GROUP BY 1, 2)
+SELECT change_id, string_agg(team, '|' ORDER BY pl) AS teams FROM ft GROUP BY 1"""
+
 # ---------------------------------------------------------------- write-back
 _MUT = f"""{_VER}, hits AS (SELECT change_id, h.catalog, h.ds, a.urn, usage FROM changes h
   JOIN uses USING (ds, col) JOIN log l ON l.catalog = h.catalog AND l.tmpl = uses.tmpl
@@ -585,20 +671,34 @@ mut AS (
     '18 structured properties: impact_ambiguous=' || amb || ', impact_breaks=' || breaks ||
     ', impact_coverage=' || (total - unk) || ' of ' || total || ' analysed, impact_degrades=' ||
     degrades || ', impact_review_required=' || (unk > 0 OR amb > 0) || ', impact_risk=' || level ||
-    ' …' AS payload_summary FROM mh
-  UNION ALL SELECT change_id, 'add_tags:' || urn, queue_reason, 'tags: pending-schema-change' FROM mh
+    ' …' AS payload_summary,
+    ['impact_ambiguous', amb::VARCHAR, 'impact_breaks', breaks::VARCHAR, 'impact_coverage',
+     (total - unk) || ' of ' || total || ' analysed', 'impact_degrades', degrades::VARCHAR,
+     'impact_review_required', (unk > 0 OR amb > 0)::VARCHAR, 'impact_risk', level, 'impact_score',
+     score::VARCHAR, 'impact_status', 'pending-change', 'impact_teams', teams::VARCHAR,
+     'impact_unassessed', unk::VARCHAR, 'impact_verification_ambiguous_after', amb::VARCHAR,
+     'impact_verification_breaks_after', ba::VARCHAR, 'impact_verification_breaks_before',
+     bb::VARCHAR, 'impact_verification_coverage', (total - unk) || ' of ' || total || ' analysed',
+     'impact_verification_degrades_after', dg::VARCHAR, 'impact_verification_method', 'static',
+     'impact_verification_status', status, 'impact_verification_unmapped_files', '0'] AS payload
+  FROM mh
+  UNION ALL SELECT change_id, 'add_tags:' || urn, queue_reason, 'tags: pending-schema-change',
+    ['tags', 'pending-schema-change'] FROM mh
   UNION ALL SELECT change_id, 'save_document:' || urn, queue_reason,
-    'institutional-memory link -> ' || url FROM mh
-  UNION ALL SELECT change_id, 'update_description:' || urn, queue_reason, 'append footer: ' ||
-    left('⚠️ ' || change || ' breaks ' || breaks || ' and degrades ' || degrades ||
+    'institutional-memory link -> ' || url,
+    ['description', 'Change assessment: ' || change, 'url', url] FROM mh
+  UNION ALL SELECT change_id, 'update_description:' || urn, queue_reason,
+    'append footer: ' || left(footer, 160), ['footer', footer]
+    FROM (SELECT *, '⚠️ ' || change || ' breaks ' || breaks || ' and degrades ' || degrades ||
     ' downstream consumer(s), spanning ' || runs_impacted ||
     ' query runs in history. Change risk: ' || level || CASE WHEN unk > 0 THEN ' among assessed'
       WHEN amb > 0 THEN ' with ' || amb || ' unresolved reference(s)' ELSE '' END || ' (' ||
-    score || '/100).' || CASE WHEN unk > 0 OR amb > 0 THEN ' Review required.' ELSE '' END, 160)
-    FROM mh
+    score || '/100).' || CASE WHEN unk > 0 OR amb > 0 THEN ' Review required.' ELSE '' END AS footer
+    FROM mh)
   UNION ALL SELECT hits.change_id, 'add_tags:' || hits.urn, queue_reason,
     'tags: impacted-by-upstream-change, impact-' || CASE usage WHEN 'star' THEN 'degrades'
-      ELSE 'breaks' END FROM hits JOIN mh USING (change_id))"""
+      ELSE 'breaks' END, ['tags', 'impacted-by-upstream-change, impact-' || CASE usage WHEN 'star'
+      THEN 'degrades' ELSE 'breaks' END] FROM hits JOIN mh USING (change_id))"""
 SQL["mutation_plan"] = f"""WITH {_MUT}
 SELECT change_id, mutation_id, queue_reason = '' AS auto, queue_reason, payload_summary FROM mut"""
 SQL["writeback_counts"] = f"""WITH {_MUT},
@@ -609,16 +709,46 @@ SELECT change_id, count(*) AS total, count(*) FILTER (o = 'w') AS written,
   0 AS planned, 0 AS skipped, any_value(queue_reason) AS queue_reasons, true AS reconciles,
   CASE WHEN count(*) FILTER (o = 'w') > 0 THEN 'auto' ELSE 'none' END AS applied_by
 FROM o GROUP BY 1"""
-SQL["approval_fingerprint"] = f"""WITH {_MUT},
-qt AS (SELECT change_id, mutation_id || '::' || payload_summary AS t FROM mut
-      WHERE queue_reason <> ''),
+_APPROVAL = f"""{_MUT},
+qt AS (SELECT change_id, mutation_id || '::' || sha256(array_to_string(payload, chr(0)) || chr(0)) AS t
+       FROM mut WHERE queue_reason <> ''),
 qb AS (SELECT change_id, substr(sha256(t), 1, 3) AS b,
          sha256(string_agg(t, '|' ORDER BY t)) AS h FROM qt GROUP BY 1, 2),
-q AS (SELECT change_id, string_agg(h, '|' ORDER BY b) AS entries FROM qb GROUP BY 1)
-SELECT change_id, change, status, sha256(change || chr(0) || catalog || chr(0) ||
-  coalesce('urn:sales:' || ds, 'None') || chr(0) || status || chr(0) ||
-  array_to_string(list_sort(string_split(reasons, '|')), '|') || chr(0) || coalesce(entries, '')
-  || chr(0)) AS fingerprint FROM chk LEFT JOIN q USING (change_id)"""
+q AS (SELECT change_id, string_agg(h, '|' ORDER BY b) AS entries FROM qb GROUP BY 1),
+prints AS (SELECT change_id, change, status, entries, 'urn:sales:' || ds AS target_urn,
+    sha256(change || chr(0) || catalog || chr(0) ||
+    coalesce('urn:sales:' || ds, 'None') || chr(0) || status || chr(0) ||
+    array_to_string(list_sort(string_split(reasons, '|')), '|') || chr(0) || coalesce(entries, '')
+    || chr(0)) AS fingerprint FROM chk LEFT JOIN q USING (change_id)),
+mans AS (SELECT *, left(sha256(fingerprint || '2024-02-0' || d || 'T00:00:00Z'), 16) AS manifest_id
+         FROM prints, range(1, 6) t(d) WHERE entries IS NOT NULL),
+asked AS (SELECT manifest_id, change_id, target_urn, CASE WHEN c_custkey % 7 <> 0 THEN c_name ELSE ' ' END
+            AS approver, '2024-02-08T' || lpad(((c_custkey * 37) % 1000)::VARCHAR, 5, '0') AS requested_at,
+            CASE WHEN status = 'FAIL' THEN 'fail_not_approvable' WHEN c_custkey % 7 = 0 THEN 'no_approver'
+              WHEN d = 4 THEN 'already_consumed' WHEN c_custkey % 13 = 0 OR status <> 'REVIEW_REQUIRED'
+              OR c_custkey % 11 = 0 OR d = 3 THEN 'stale' END AS code
+          FROM mans JOIN customer ON d = c_custkey % 5 + 1 AND change_id = CASE WHEN c_custkey % 4 = 0
+            THEN 'c' || (c_custkey % 9 + 1) ELSE 'c1' END),
+turn AS (SELECT *, row_number() OVER (PARTITION BY manifest_id, code ORDER BY requested_at, approver)
+           AS nth FROM asked),
+won AS (SELECT * FROM turn WHERE code IS NULL AND nth = 1),
+wrote AS (SELECT manifest_id, change_id, mutation_id, CASE WHEN mutation_id LIKE 'save_document:%'
+            THEN 'failed' ELSE 'written_human_approved' END AS outcome FROM won JOIN mut USING (change_id))"""
+SQL["approval_fingerprint"] = f"""WITH {_APPROVAL}
+SELECT change_id, change, status, fingerprint FROM prints"""
+SQL["approval_requests"] = f"""WITH {_APPROVAL}
+SELECT manifest_id, change_id, approver, requested_at, CASE WHEN code IS NULL AND nth > 1 THEN
+  'already_consumed' ELSE code END AS refusal_code FROM turn"""
+SQL["approved_writes"] = f"WITH {_APPROVAL} SELECT * FROM wrote"
+SQL["approval_audit"] = f"""WITH {_APPROVAL},
+done AS (SELECT manifest_id, count(*) FILTER (outcome <> 'failed') AS ok,
+           count(*) FILTER (outcome = 'failed') AS bad FROM wrote GROUP BY 1),
+facts AS (SELECT target_urn AS urn, unnest(['impact_approved_by', 'impact_approved_at',
+            'impact_manifest_id', 'impact_verification_status_at_approval',
+            'impact_approved_writes', 'impact_approved_failures']) AS key,
+            unnest([approver, '2024-02-09T00:00:00Z', manifest_id, 'REVIEW_REQUIRED', ok::VARCHAR,
+            bad::VARCHAR]) AS "value" FROM won JOIN done USING (manifest_id))
+SELECT urn, key, "value" FROM facts UNION ALL SELECT manifest_id, 'ledger', approver FROM won"""
 SQL["approval_decision"] = """
 WITH s AS (SELECT c_custkey AS k, (['REVIEW_REQUIRED', 'FAIL', 'PASS', 'REVIEW_REQUIRED'])[
   c_custkey % 4 + 1] AS st FROM customer)

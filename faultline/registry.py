@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from . import workload as WL
 from .functions import expr as X
 from .operators import (drift as D, evidence as E, fixes as FX, graph as G, impact as I,
-                        profile as P, qlog as Q, verify as V, writeback as WB)
-from .plans import loop as L, migration as MG, sweep as S
+                        infer as IN, profile as P, qlog as Q, verify as V, writeback as WB)
+from .plans import approval as AP, loop as L, migration as MG, sweep as S
 from .scale import cut_lineage
 from .sources import entities as EN
 
@@ -90,12 +90,13 @@ def baseline_sample(spark, sf):
 
 def _user_schemas(spark, sf) -> DataFrame:
     n = WL.table(spark, sf, "events").groupBy(
-        F.col("user_id").cast("string").alias("entity"), F.col("event_type").alias("column"),
+        F.col("user_id").cast("string").alias("entity"),
+        F.concat_ws("_", "event_type", (F.col("event_id") % 8).cast("string")).alias("column"),
         _before("ts", "2024-01-15").alias("side")).count()
     odd = F.col("count") % 2 == 1
     kind = F.when(F.col("side") == "baseline", F.when(odd, "BIGINT").otherwise("Double"))
     kind = F.coalesce(kind, F.when(odd, " bigint ").otherwise("double"))
-    return n.where(F.col("count") % 5 != 0).select("entity", "side", "column", kind.alias("type"))
+    return n.select("entity", "side", "column", kind.alias("type"))
 
 
 @query
@@ -108,6 +109,22 @@ def schema_drift(spark, sf):
     return D.schema_summary(_user_schemas(spark, sf))
 
 
+@query
+def column_types(spark, sf):
+    """Types of event columns written as text, where late rows do not fit what came before."""
+    e, i = WL.table(spark, sf, "events"), F.col("event_id")
+    late = i % 997 == 500
+    text = e.select(
+        "event_type", i.cast("string").alias("id"),
+        F.when(late, "1e300").otherwise(i.cast("string")).alias("scaled"),
+        F.when(late, "n/a").otherwise((i * 3000000).cast("string")).alias("coded"),
+        F.when(i % 9 == 0, " ").otherwise((i * 3000000).cast("string")).alias("wide"),
+        F.concat(F.when(late, "2024-02-30").otherwise("2024-02-28"), F.lit(" 10:00:00")).alias("day"),
+        F.when(i % 2 == 0, "2024-02-29T23:59:59.5Z").alias("moment"),
+        F.when(i < 0, "x").alias("empty"), "props")
+    return IN.column_types(IN.text_values(text, keys=["event_type"]), ["event_type"])
+
+
 def _epoch(c: str) -> Column:
     return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {c})")
 
@@ -242,8 +259,7 @@ def impact_verdicts(spark, sf):
 @query
 def impact_all_consumers(spark, sf):
     cat, ix = _indexed(spark, sf)
-    ch = WL.changes(spark).where(F.col("change_id").isin("c3", "c5"))
-    return I.impact_verdicts(ch, cat, ix, include_safe=True).select(
+    return I.impact_verdicts(WL.changes(spark), cat, ix, include_safe=True).select(
         "change_id", "query_id", "verdict", "confidence", "runs")
 
 
@@ -393,7 +409,7 @@ def downstream_rank(spark, sf):
     e = WL.edges(spark, sf)
     nodes = e.select(F.explode(F.array("up", "down")).alias("node")).distinct().withColumn(
         "known", ~F.col("node").endswith("7"))
-    return G.downstream_counts(nodes, e).select("node", "downstream").orderBy(
+    return G.downstream_counts(nodes, e, max_hops=2).select("node", "downstream").orderBy(
         F.desc("downstream"), "node")
 
 
@@ -407,30 +423,55 @@ def upstream_datasets(spark, sf):
     return G.upstream_datasets(models, e, types)
 
 
-def _plan(spark, sf):
-    cat, ix = _indexed(spark, sf)
-    verdicts = I.impact_verdicts(WL.changes(spark), cat, ix)
-    s = WL.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), "s_nationkey")
+def _by_kind(keys: DataFrame, up: Column | None = None) -> DataFrame:
+    """Both kinds of asset of supplier keys `k`: (up, down), or (key) without `up`."""
+    kinds = F.explode(F.array(F.lit("urn:asset:"), F.lit("urn:model:"))).alias("kind")
+    down = F.concat("kind", F.col("k").cast("string"))
+    if up is None:
+        return keys.select("*", kinds).withColumn("key", down)
+    return keys.select("k", up.cast("bigint").cast("string").alias("u"), kinds).select(
+        F.concat("kind", "u").alias("up"), down.alias("down"))
+
+
+def _plan_edges(spark, sf) -> DataFrame:
+    """Two ways down from ten suppliers to the next ten, and a cycle in every fifty."""
+    s = WL.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"))
     k = F.col("k")
-    pairs = s.where(k > 0)
-    e = None
-    for p in ("urn:asset:", "urn:model:"):
-        x = pairs.select(F.concat(F.lit(p), ((k * 7) % 10 + F.floor(k / 10) * 10 - 10)
-                                  .cast("bigint").cast("string")).alias("up"),
-                         F.concat(F.lit(p), k.cast("string")).alias("down"))
-        e = x if e is None else e.unionByName(x)
-    return verdicts, e
+    return (_by_kind(s, (k * 7) % 10 + F.floor(k / 10) * 10 - 10)
+            .unionByName(_by_kind(s.where(k % 4 == 0), k - 10 - k % 3))
+            .unionByName(_by_kind(s.where(k % 50 == 48), k + 1))
+            .unionByName(_by_kind(s.where(k % 50 == 49), k - 1)))
+
+
+def _plan_owners(spark, sf) -> DataFrame:
+    k = F.col("k")
+    s = WL.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k")).where(k % 3 == 0)
+    first = F.concat(F.lit("own"), (k % 4).cast("string"))
+    named = F.when(k % 6 == 0, F.array(first, F.lit(""), F.lit("desk"))).otherwise(F.array(first))
+    i = F.col("event_id")
+    readers = WL.table(spark, sf, "events").where(i % 50 == 0).select(
+        F.concat(F.lit("q"), i.cast("string")).alias("key"),
+        F.array(F.concat(F.lit("reader"), (i % 9).cast("string"))).alias("owners"))
+    return _by_kind(s).select("key", named.alias("owners")).unionByName(readers)
 
 
 @query
 def plan_steps(spark, sf):
-    verdicts, e = _plan(spark, sf)
-    return MG.plan_steps(verdicts, e)
+    """Steps of all changes, with fixes, owners and what verification saw of each consumer."""
+    cat, ix = _indexed(spark, sf)
+    target = cut_lineage(I.resolve_changes(WL.changes(spark), cat))
+    hit = cut_lineage(S.impacted_assets(target, cat, ix))
+    fix = cut_lineage(S.fixes_for(target, hit, WL.models(spark, sf), cat))
+    _, old, new = V.edited_consumers(target, _patch(fix), cat, ix)
+    return MG.plan_steps(
+        I.impact_verdicts(WL.changes(spark), cat, ix), _plan_edges(spark, sf),
+        fixes=fix.where("applicable AND changed"), owners=_plan_owners(spark, sf),
+        transitions=V.transitions(old, new), manual=V.manual_consumers(hit, cat))
 
 
 @query
 def plan_teams(spark, sf):
-    return MG.teams_to_involve(plan_steps(spark, sf)).select("change_id", _text("teams"))
+    return MG.teams_to_involve(cut_lineage(plan_steps(spark, sf))).select("change_id", _text("teams"))
 
 
 # ---------------------------------------------------------------- write-back
@@ -496,6 +537,60 @@ def approval_decision(spark, sf):
     return d.select("manifest_id", "refusal_code")
 
 
+DECIDED = "2024-02-09T00:00:00Z"
+
+
+def _approved(spark, sf) -> AP.Approved:
+    """Every customer presents one of five manifests of a change, made day by day.
+
+    They were made when all verdicts were REVIEW_REQUIRED; some have failed since.
+    """
+    summary, check, muts = _mutations(spark, sf)
+    queue = cut_lineage(WB.approval_queue(muts))
+    then = WB.fingerprints(summary, check, queue).withColumn("status", F.lit("REVIEW_REQUIRED"))
+    mans = None
+    for day in range(1, 6):
+        made = WB.manifests(then, queue, f"2024-02-0{day}T00:00:00Z").withColumn("day", F.lit(day))
+        mans = made if mans is None else mans.unionByName(made)
+    mans = cut_lineage(mans)
+    k = F.col("c_custkey")
+    cust = WL.table(spark, sf, "customer").select(
+        k, "c_name", (k % 5 + 1).cast("int").alias("day"),
+        F.when(k % 4 == 0, F.concat(F.lit("c"), (k % 9 + 1).cast("string"))).otherwise("c1").alias("change_id"))
+    asked = mans.join(cust, ["change_id", "day"]).select(
+        *[c for c in mans.columns if c not in ("change", "fingerprint", "day")],
+        F.concat("change", F.when(k % 13 == 0, " later").otherwise("")).alias("change"),
+        F.when(k % 11 == 0, "old").otherwise(F.col("fingerprint")).alias("fingerprint"),
+        F.when(k % 7 != 0, F.col("c_name")).otherwise(" ").alias("approver"),
+        F.format_string("2024-02-08T%05d", (k * 37) % 1000).alias("requested_at"))
+    # those of day 4 were consumed before, and those of day 3 were edited
+    ledger = mans.where("day = 4").select("manifest_id")
+    listed = AP.manifest_queue(mans.where("day <> 3"), queue).unionByName(
+        AP.manifest_queue(mans.where("day = 3"), queue.where("tool <> 'save_document'")))
+    bad = muts.where("tool = 'save_document'").select("change_id", "mutation_id")
+    return AP.approve(cut_lineage(asked), listed, summary, check, muts, ledger, DECIDED, failed=bad)
+
+
+@query
+def approval_requests(spark, sf):
+    return _approved(spark, sf).decisions.select("manifest_id", "change_id", "approver",
+                                                 "requested_at", "refusal_code")
+
+
+@query
+def approved_writes(spark, sf):
+    return _approved(spark, sf).outcomes.select("manifest_id", "change_id", "mutation_id", "outcome")
+
+
+@query
+def approval_audit(spark, sf):
+    done = _approved(spark, sf)
+    facts = WB.property_rows(done.audit)
+    spent = done.consumed.select("manifest_id", F.col("approver").alias("value"))
+    return facts.unionByName(spent.select(F.col("manifest_id").alias("urn"),
+                                          F.lit("ledger").alias("key"), "value"))
+
+
 @query
 def aspect_merge(spark, sf):
     """Tags, descriptions, links and properties of every customer asset after its events."""

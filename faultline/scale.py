@@ -1,19 +1,14 @@
-"""Size checks and lineage cuts shared by the operators."""
+"""Lineage cuts, stored tables and positions shared by the operators."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
-
-MB = 1 << 20
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan.  It costs no job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
+from pyspark.sql.types import StructType
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder the cluster names; only a local session may make its own."""
@@ -35,6 +30,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored_table(df: DataFrame) -> DataFrame:
+    """`df` written by column in the shared checkpoint folder, so that readers take what they need."""
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows that may be sent to every task.
+SMALL = 100_000
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """`df`, materialised and counted; sent to every task if it has at most SMALL rows."""
+    df = cut_lineage(df)
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
                 name: str) -> DataFrame:
     """Adds the 1-based position of each row within its key, however large the key is.
@@ -52,3 +65,21 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str
     inside = F.row_number().over(W.partitionBy(*keys, "_part").orderBy(*cols))
     return (placed.withColumn(name, inside).join(sizes, [*keys, "_part"])
             .withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_before"))
+
+
+class Appended:
+    """A table in the shared checkpoint folder that rounds add rows to, each row written once."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        ensure_checkpoint_dir(spark)
+        self.spark = spark
+        self.path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+    def append(self, rows: DataFrame) -> None:
+        rows.write.mode("append").parquet(self.path)
+
+    def read(self, schema: StructType) -> DataFrame:
+        try:
+            return self.spark.read.schema(schema).parquet(self.path)
+        except AnalysisException:  # nothing was appended
+            return self.spark.createDataFrame([], schema)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import model as M
 from ..functions import expr as X
+from ..operators import infer
 from ..operators.impact import Catalog
 
 LOG_OFFSET = 1 << 40  # keeps log rows behind the inline ones
@@ -93,8 +94,14 @@ def read_baseline(spark: SparkSession, paths: str | Sequence[str]) -> dict[str,
 
 
 def read_serving(spark: SparkSession, path: str) -> DataFrame:
-    """A serving CSV; types are inferred from all of its rows, so no value is lost to a guess."""
-    return spark.read.option("header", True).option("inferSchema", True).csv(path)
+    """A serving CSV with types that hold all of its rows (`infer.column_types`).
+
+    The rows are read once to fold the types, and again by whoever uses them; no value is lost to
+    a guess from the first ones.
+    """
+    raw = spark.read.option("header", True).csv(path)
+    found = infer.column_types(infer.text_values(raw)).select("column", "type").collect()
+    return infer.typed(raw, {r["column"]: r["type"] for r in found})  # one row a column
 
 
 def schema_table(df: DataFrame, entity: str, side: str) -> DataFrame:
@@ -128,6 +135,5 @@ def read_models(spark: SparkSession, root: str, catalog: str,
     raw = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
            .text(root, wholetext=True))
     path = F.regexp_replace(F.col("_metadata.file_path"), r"^file:/*", "/")
-    below = F.expr(f"replace(path, '{root.rstrip('/')}/', '')")
-    return (raw.select(F.lit(catalog).alias("catalog"), path.alias("path"),
-                       F.col("value").alias("sql")).withColumn("path", below))
+    below = F.replace(path, F.lit(root.rstrip("/") + "/"), F.lit(""))
+    return raw.select(F.lit(catalog).alias("catalog"), below.alias("path"), F.col("value").alias("sql"))

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from faultline import scale
 from faultline.operators import drift as D, profile as P
 
 
@@ -57,10 +58,11 @@ def long(spark, samples):
     return spark.createDataFrame(rows, "feature string, side string, v double")
 
 
-@pytest.mark.parametrize("split", [False, True])
-def test_against_brute_force(spark, samples, split, monkeypatch):
-    monkeypatch.setattr(D, "VALUES_PER_RANGE", 20)
-    got = {r.feature: r for r in D.distribution_drift(long(spark, samples), split=split).collect()}
+@pytest.mark.parametrize("size,small", [(1, 0), (7, 0), (20, 100), (1 << 13, 100)])
+def test_against_brute_force(spark, samples, size, small, monkeypatch):
+    monkeypatch.setattr(D, "VALUES_PER_RANGE", size)
+    monkeypatch.setattr(scale, "SMALL", small)
+    got = {r.feature: r for r in D.distribution_drift(long(spark, samples)).collect()}
     for f, (b, c) in samples.items():
         psi, ks = brute(b, c)
         assert got[f].psi == pytest.approx(psi, abs=1e-9), f

@@ -97,7 +97,7 @@ def test_number_rows_spreads_a_hot_key(spark):
 
 def test_fingerprint_ignores_order_and_has_one_form(spark):
     rows = [("c", f"add_tags:u{i}", "add_tags", f"u{i}", f"tags: {i}") for i in range(50)]
-    ddl = "change_id string, mutation_id string, tool string, target_urn string, payload_summary string"
+    ddl = "change_id string, mutation_id string, tool string, target_urn string, payload_digest string"
     a = spark.createDataFrame(rows, ddl)
     b = spark.createDataFrame(rows[::-1], ddl).repartition(3)
     c = spark.createDataFrame(rows[:-1] + [("c", "add_tags:u49", "add_tags", "u49", "tags: x")], ddl)

@@ -3,7 +3,9 @@ import os
 
 import pytest
 
-from faultline.operators import impact as I
+from pyspark.sql import functions as F
+
+from faultline.operators import impact as I, infer
 from faultline.sources import catalog as C, sinks
 from helpers import by
 
@@ -52,6 +54,37 @@ def test_models_serving_baseline_and_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out")).count() == 3
 
 
+def test_types_hold_every_row(spark):
+    cols = {"int": ["1", "-7", "+3", ""], "bigint": ["1", "3000000000", None], "double": ["1", ".5", "1e9", "99999999999999999999"],
+            "timestamp_ntz": ["2024-02-29", "2024-01-01T10:00", "2024-01-01 10:00:00.123+02:00"],
+            "string": ["1"] * 50 + ["x"], "void": ["", None, "  "]}
+    more = {"a": ["2024-02-30"], "b": ["2024-01-01", "1"], "c": ["1.", "-", "e5"], "d": ["2024-01-01 25:00"]}
+    rows = [(c, t) for c, ts in (cols | more).items() for t in ts]
+    got = by(infer.column_types(spark.createDataFrame(rows, "column string, text string")), "column")
+    assert {c: got[c].type for c in cols} == {c: c for c in cols}
+    assert {c: got[c].type for c in more} == dict.fromkeys(more, "string")
+    assert (got["string"].misfits, got["string"].n_int, got["b"].misfits, got["double"].misfits) == (1, 50, 1, 0)
+    assert (got["void"].missing, got["void"].rows, got["int"].missing) == (3, 3, 1)
+    parts = [infer.column_types(spark.createDataFrame(rows[i::3], "column string, text string")) for i in range(3)]
+    added = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("column").agg(F.sum("n_text").alias("n"))
+    assert {r["column"]: r.n for r in added.collect()} == {c: r.n_text for c, r in got.items()}
+    assert infer.column_types(spark.createDataFrame([], "column string, text string")).isEmpty()
+
+
+def test_serving_rows_keep_their_values(spark, tmp_path):
+    (tmp_path / "s.csv").write_text("a.b,when,n\n1,2024-01-02T03:04:05Z,7\n,,\n2.5, 2024-01-03 ,x\n")
+    s = C.read_serving(spark, str(tmp_path / "s.csv"))
+    assert dict(s.dtypes) == {"a.b": "double", "when": "timestamp_ntz", "n": "string"}
+    assert [[str(v) for v in r] for r in s.collect()] == [
+        ["1.0", "2024-01-02 03:04:05", "7"], ["None", "None", "None"], ["2.5", "2024-01-03 00:00:00", "x"]]
+
+
+def test_models_below_a_folder_with_a_quote(spark, tmp_path):
+    (tmp_path / "it's" / "x").mkdir(parents=True)
+    (tmp_path / "it's" / "x" / "a.sql").write_text("SELECT 1")
+    assert [r.path for r in C.read_models(spark, str(tmp_path / "it's"), "c").collect()] == ["x/a.sql"]
+
+
 def test_parse_changes(spark):
     rows = ["drop a.b.c", "rename x.y new", "rename x.y", "add x.y", "drop nodot", ""]
     d = I.parse_changes(spark.createDataFrame([(r,) for r in rows], "change string"))
