@@ -27,6 +27,7 @@ import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from faultline.llm.frames import table
 from faultline.scale import cut_lineage
@@ -287,26 +288,26 @@ def chosen(found: list[tuple[str, str, bool, str]], importance: dict[str, float]
 
 
 def extract(pages: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns `keep` with text and n_chars."""
+    """The columns `keep` with text and n_chars, which replace columns of these names."""
     # one row per host that repeats itself, its branches only
     tree = cut_lineage(style_tree(pages).where("importance < 0.999").groupBy("host").agg(
         F.map_from_entries(F.collect_list(F.struct("branch", "importance"))).alias("_tree"))
         .withColumnRenamed("host", "_host"))
-    rows = pages.select(*keep, F.col("html").cast("string").alias("_html"),
-                        host(F.col("url")).alias("_at"))
-    rows = rows.join(tree, rows["_at"] == tree["_host"], "left").select(*keep, "_tree", "_html")
-    fields = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep)
+    keep = [c for c in keep if c not in ("text", "n_chars")]
+    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"),
+                        F.col("html").cast("string").alias("_html"), host(F.col("url")).alias("_at"))
+    rows = rows.join(tree, rows["_at"] == tree["_host"], "left").select("_row", "_tree", "_html")
+    fields = StructType([rows.schema["_row"], StructField("text", StringType()), StructField("n_chars", LongType())])
 
     def run(batches):
         for batch in batches:
             texts = ["\n".join(chosen(blocks(page), dict(tree or ()))) if page else ""
-                     for tree, page in zip(batch.column(len(keep)).to_pylist(),
-                                           batch.column(len(keep) + 1).to_pylist())]
+                     for tree, page in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:len(keep)], pa.array(texts, pa.string()),
-                 pa.array(list(map(len, texts)), pa.int64())], [*keep, "text", "n_chars"])
+                [batch.column(0), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())],
+                ["_row", "text", "n_chars"])
 
-    return rows.mapInArrow(run, f"{fields}, text string, n_chars long")
+    return rows.mapInArrow(run, fields).select("_row.*", "text", "n_chars")
 
 
 def op4_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,6 +21,20 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_caches: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """What a Python worker keeps between the tasks of an operator.
+
+    Workers serve one operator after the other; what others kept goes, so that their tables do not
+    add up.
+    """
+    for other in [k for k in _caches if k != owner]:
+        del _caches[other]
+    return _caches.setdefault(owner, {})
+
+
 #: Bits of the filter on keys; its size is fixed, a larger corpus only gets more false hits.
 KEY_BITS = 1 << 23
 

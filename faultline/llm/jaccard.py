@@ -7,7 +7,8 @@ inverted lists of the few shingles among which every link must show (a prefix of
 common order), and the lists are scanned; bitmaps rule out most pairs before whole sets are compared.
 The boundary between small and large is where listing
 subsets starts to cost more than scanning.  Shingles that many texts hold come last in the order;
-lists that are long all the same make a group, and the sets of a group are compared block by block.
+lists that are long all the same make a group, and the sets of a group are compared block by block,
+where sizes allow a link.
 
 Defined cases: null and wordless texts have an empty set and link with nothing; rows with a null id
 link with nothing and have a null component; rows that share an id are one node; an empty table
@@ -17,14 +18,14 @@ gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from itertools import combinations
-from math import ceil, comb
+from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from faultline.llm import text as T
-from faultline.llm.frames import components, having_ids, stored, table
+from faultline.llm.frames import components, having_ids, stored, table, worker_cache
 
 _U = np.uint64
 #: Lists longer than this are compared as a group, not pair by pair.
@@ -35,6 +36,8 @@ COMMON = 1 << 16
 MOST_SMALL = 14
 #: Texts and shingles of a block whose sets are compared, and texts of one whose bitmaps are.
 BLOCK, SHINGLES, BITMAP_BLOCK = 512, 1 << 19, 1024
+#: Bits of a block's number below its level.
+BLOCK_BITS = 24
 #: Shingles a task counts before it passes them on.
 COUNTED = 1 << 18
 SHAPE = "doc_id long, n int, s1 long, s2 long, token long, hits long"
@@ -70,6 +73,7 @@ def shapes(docs: DataFrame, k: int, percent: int) -> DataFrame:
         return out
 
     def run(batches):
+        worker_cache("jaccard")
         counts: dict[int, int] = {}
         for batch in batches:
             data, at = T.utf8(batch.column(1))
@@ -281,15 +285,36 @@ def _compare(percent: int):
     return run
 
 
-def _blocks(members: DataFrame, size: int, *columns: str, shingles: str = "0") -> DataFrame:
+def _blocks(members: DataFrame, percent: int, size: int, shingles: int, n: str, *columns: str) -> DataFrame:
     """The members (g, doc_id, ...) of each pair of blocks of a group, sorted by group and pair.
 
-    A block has about `size` members at most, and about SHINGLES of what `shingles` counts in each.
+    `n` gives the size of a member's set.  A group is cut into levels of set size such that linked
+    sets are on one level or on neighbouring ones, and a level into blocks of about `size` members
+    and `shingles` shingles at most; a block meets those of its own level and of the next ones.  A
+    group that is no larger than a block is one.
     """
-    parts = F.greatest(F.ceil(F.count("*") / size), F.ceil(F.sum(F.expr(shingles)) / SHINGLES))
-    count = stored(members.groupBy("g").agg(parts.cast("int").alias("blocks")))
-    near = members.join(count, "g").withColumn("side", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    near = near.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    step = log(100 / percent) * (1 + 1e-9)  # two linked sets are less than one level apart
+    members = members.withColumn("level", F.floor(F.log(F.greatest(F.expr(n), F.lit(1))) / step).cast("int"))
+
+    def parts(count, mass):
+        return F.greatest(F.ceil(count / size), F.ceil(mass / shingles)).cast("int")
+
+    levels = members.groupBy("g", "level").agg(F.count("*").alias("c"), F.sum(F.expr(n)).alias("s"))
+    groups = levels.groupBy("g").agg(
+        parts(F.sum("c"), F.sum("s")).alias("whole"), F.map_from_entries(F.collect_list(
+            F.struct("level", parts(F.col("c"), F.col("s"))))).alias("levels"))
+    one = F.col("whole") <= 1
+    groups = stored(groups.select("g", one.alias("one"), F.when(one, F.create_map(F.lit(0), F.lit(1)))
+                                  .otherwise(F.col("levels")).alias("levels")))
+    near = members.join(groups, "g").withColumn("level", F.when(F.col("one"), 0).otherwise(F.col("level")))
+    side = F.pmod(F.xxhash64("doc_id"), F.try_element_at("levels", F.col("level")))
+    near = near.withColumn("side", F.shiftleft(F.col("level").cast("long"), BLOCK_BITS) + side)
+    others = F.flatten(F.transform(
+        F.filter(F.array(F.col("level") - 1, F.col("level"), F.col("level") + 1),
+                 lambda v: F.map_contains_key("levels", v)),
+        lambda v: F.sequence(F.shiftleft(v.cast("long"), BLOCK_BITS),
+                             F.shiftleft(v.cast("long"), BLOCK_BITS) + F.try_element_at("levels", v) - 1)))
+    near = near.withColumn("other", F.explode(others))
     near = near.select("g", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"),
                        "side", "doc_id", *columns)
     return near.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "doc_id")
@@ -437,7 +462,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     group = stored(components(stars).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "g"))
     bits = rows.select("doc_id", "n", "bits")
     # a group that bitmaps take apart is compared as the groups that remain
-    near = _blocks(group.join(bits, "doc_id"), BITMAP_BLOCK, "n", "bits")
+    near = _blocks(group.join(bits, "doc_id"), percent, BITMAP_BLOCK, 1 << 62, "n", "n", "bits")
     group = stored(components(stored(near.mapInArrow(_similar(percent), "a long, b long")))
                    .withColumnRenamed("node", "doc_id").withColumnRenamed("component", "g"))
     # pairs of short lists whose bitmaps do not rule out a link
@@ -454,7 +479,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
                                        F.col("packed").alias(f"packed_{side}")),
                            F.col(side) == F.col(f"doc_id_{side}"))
     linked = pairs.select("a", "b", "packed_a", "packed_b").mapInArrow(_linked(percent), "a long, b long")
-    links = _blocks(group.join(sets, "doc_id"), BLOCK, "packed", shingles="length(packed) / 6").mapInArrow(
+    links = _blocks(group.join(sets, "doc_id"), percent, BLOCK, SHINGLES, "length(packed) / 6", "packed").mapInArrow(
         _compare(percent), "a long, b long")
     links = stored(links.unionByName(linked).unionByName(sure))
     found = components(links)
@@ -472,7 +497,8 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The documents without those that link, directly or through others, to a smaller doc_id."""
     gone = jaccard_components(docs, k, percent).where("component_id <> doc_id").select(
         F.col("doc_id").alias("_id")).distinct()
-    return docs.join(stored(gone), F.col("doc_id") == F.col("_id"), "left_anti")
+    gone = stored(gone)
+    return docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")
 
 
 def op3_size_aware_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

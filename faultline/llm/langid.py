@@ -11,53 +11,51 @@ often as they occur; ties go to the language first by code point; other columns
 
 from __future__ import annotations
 
-import sys
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from faultline.llm.frames import table
+from faultline.llm.frames import table, worker_cache
 
 DIMENSIONS = 1024
-SYMBOLS = 64
 UNIT = 4096  # a text's vector is rounded to this length, so sums do not depend on their order
-_rng = np.random.default_rng(7)
-_LETTER = _rng.choice(np.array([-1, 1], np.int8), (SYMBOLS, DIMENSIONS))
-_FIRST, _SECOND = np.roll(_LETTER, 2, axis=1), np.roll(_LETTER, 1, axis=1)
-_symbols: list[np.ndarray] = []
 
 
-def _table() -> np.ndarray:
-    """Code point -> symbol: 0 for anything but letters, then a-z, then the rest by rule."""
-    if not _symbols:
-        points = np.arange(sys.maxunicode + 1)
-        letter = np.fromiter((chr(p).isalpha() for p in points), bool, len(points))
-        out = np.where(letter, 27 + points * 7 % (SYMBOLS - 27), 0).astype(np.uint8)
-        out[97:123] = np.arange(1, 27)
-        _symbols.append(out)
-    return _symbols[0]
+def letter(point: int) -> np.ndarray:
+    """The vector of a code point, seeded by it; 0 stands for all that is no letter."""
+    kept = worker_cache("langid")
+    if point not in kept:
+        kept[point] = np.random.default_rng((7, point)).choice(np.array([-1, 1], np.int8), DIMENSIONS)
+    return kept[point]
 
 
 def vector(text: str) -> np.ndarray | None:
     """The bundle of the trigrams of a text, at length 1; None without a letter."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    s = _table()[points].astype(np.int64)
-    if not s.any():
+    kinds, at = np.unique(points, return_inverse=True)
+    kinds = [int(p) if chr(p).isalpha() else 0 for p in kinds.tolist()]
+    own = sorted({0, *kinds})  # the symbols of this text
+    if len(own) == 1:
         return None
+    place = {p: k for k, p in enumerate(own)}
+    s = np.array([place[p] for p in kinds], np.int64)[at]
     s = np.concatenate(([0], s, [0]))
-    tri = (s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:]
+    size = len(own)
+    tri = (s[:-2] * size + s[1:-1]) * size + s[2:]
     tri = tri[s[1:-1] > 0]  # centred on a letter
-    if len(tri) > 20_000:
-        n = np.bincount(tri, minlength=SYMBOLS ** 3)
+    if size ** 3 < 8 * len(tri):
+        n = np.bincount(tri, minlength=size ** 3)
         tri = np.flatnonzero(n)
         n = n[tri]
     else:
         tri, n = np.unique(tri, return_counts=True)
+    third = np.stack([letter(p) for p in own])
+    first, second = np.roll(third, 2, axis=1), np.roll(third, 1, axis=1)
     out = np.zeros(DIMENSIONS, np.float32)
     for lo in range(0, len(tri), 2048):
         t = tri[lo:lo + 2048]
-        bound = _FIRST[t // SYMBOLS ** 2] * _SECOND[t // SYMBOLS % SYMBOLS] * _LETTER[t % SYMBOLS]
+        bound = first[t // size ** 2] * second[t // size % size] * third[t % size]
         out += n[lo:lo + 2048].astype(np.float32) @ bound.astype(np.float32)
     size = np.linalg.norm(out)
     return out / size if size else None
@@ -67,6 +65,7 @@ def learn(docs: DataFrame) -> DataFrame:
     """(lang, place, total): one prototype per language, summed where the texts lie."""
 
     def run(batches):
+        worker_cache("langid")
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for t, lang in zip(*(c.to_pylist() for c in batch.columns)):
@@ -97,7 +96,8 @@ def prototypes(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 
 def predict(docs: DataFrame, names: list[str], vectors: np.ndarray, keep: list[str]) -> DataFrame:
     """The columns `keep` with lang_pred and score."""
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    fields = StructType([*(docs.schema[c] for c in keep), StructField("lang_pred", StringType()),
+                         StructField("score", DoubleType())])
 
     def run(batches):
         for batch in batches:
@@ -117,7 +117,7 @@ def predict(docs: DataFrame, names: list[str], vectors: np.ndarray, keep: list[s
                 [*keep, "lang_pred", "score"])
 
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(
-        run, f"{fields}, lang_pred string, score double")
+        run, fields)
 
 
 def held_out() -> Column:
@@ -125,9 +125,13 @@ def held_out() -> Column:
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """The documents in a known language, columns as they came: those read as `und` go."""
-    names, vectors = prototypes(docs.where(~held_out()))
-    return predict(docs, names, vectors, docs.columns).where("lang_pred <> 'und'").select(*docs.columns)
+    """The documents in a known language, columns as they came: those read as `und` go.
+
+    The columns travel as one value, so they may have any names.
+    """
+    rows = docs.select("doc_id", "text", "lang", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    names, vectors = prototypes(rows.where(~held_out()))
+    return predict(rows, names, vectors, ["_row"]).where("lang_pred <> 'und'").select("_row.*")
 
 
 def op7_hyperdimensional(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,6 +26,12 @@ DEGREE, BEAM = 24, 96
 FOUND = "query_id long, vec_id long, score double"
 
 
+def _scaled(v: np.ndarray) -> np.ndarray:
+    """Each vector times a power of two: products stay finite, and its cosines stay what they are."""
+    _, power = np.frexp(np.abs(v).max(axis=1, keepdims=True))
+    return np.ldexp(v, -power)
+
+
 def _unit(v: np.ndarray) -> np.ndarray:
     v = v / np.abs(v).max(axis=1, keepdims=True)
     return v / np.linalg.norm(v, axis=1, keepdims=True)
@@ -205,7 +211,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, beam: int = BEAM) -
         out = []
         for row in shard.to_pylist():
             dims = row["dims"]
-            raw = np.frombuffer(row["raw"], np.float64).reshape(-1, dims)
+            raw = _scaled(np.frombuffer(row["raw"], np.float64).reshape(-1, dims))
             x = _unit(raw)
             fast = x.astype(np.float32)
             links = [np.frombuffer(b, np.int32) for b in row["links"]]
@@ -216,7 +222,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, beam: int = BEAM) -
                     if len(q) == 8 * dims]
             for lo in range(0, len(asks), 512):
                 part = asks[lo:lo + 512]
-                qraw = np.frombuffer(b"".join(q for _, q in part), np.float64).reshape(-1, dims)
+                qraw = _scaled(np.frombuffer(b"".join(q for _, q in part), np.float64).reshape(-1, dims))
                 q = _unit(qraw)
                 found = search(fast, levels, q.astype(np.float32), beam)
                 for r, (i, _) in enumerate(part):

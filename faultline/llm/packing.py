@@ -24,7 +24,7 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from faultline.llm.frames import table
+from faultline.llm.frames import table, worker_cache
 from faultline.scale import cut_lineage
 
 #: The tokenizer file's own split pattern, restated for the plain characters of `PLAIN`.
@@ -105,9 +105,6 @@ class WordIds:
                            [extra[w] if g is None else g for w, g in zip(ws, got)])
 
 
-_loaded: dict[str, WordIds] = {}
-
-
 def tokenised(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int = 4096,
               closing: int = 1) -> DataFrame:
     """A row per piece: whole documents, or cuts of `capacity` ids of longer ones.
@@ -116,9 +113,10 @@ def tokenised(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: i
     """
 
     def run(batches):
-        if tokenizer not in _loaded:
-            _loaded[tokenizer] = WordIds(tokenizer)
-        reader, end = _loaded[tokenizer], np.array([closing], "<u4").tobytes()
+        loaded = worker_cache("packing")
+        if tokenizer not in loaded:
+            loaded[tokenizer] = WordIds(tokenizer)
+        reader, end = loaded[tokenizer], np.array([closing], "<u4").tobytes()
         task = TaskContext.get().partitionId()
         counts: dict[int, int] = {}
         for batch in batches:

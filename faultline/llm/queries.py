@@ -52,10 +52,21 @@ t AS (SELECT f.source, f.source_size, CASE WHEN f.source_size = 0 THEN 0.0
         ELSE (g.over_ * f.w)::DOUBLE / g.lw::DOUBLE END AS target FROM f LEFT JOIN g ON true),
 x AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::INT ELSE 0 END AS whole FROM t),
 y AS (SELECT *, target - whole * source_size AS rest FROM x),
-q AS (SELECT d.doc_id, d.size, y.source_size, y.target, y.whole, y.rest,
-        coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.u, d.doc_id, d.size
-          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS upto
-      FROM d JOIN y ON d.source IS NOT DISTINCT FROM y.source)
+z AS (SELECT source, size, sum(n * size) OVER (PARTITION BY source ORDER BY size DESC
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS certain,
+        sum(n * size * size) OVER (PARTITION BY source ORDER BY size) AS squares
+      FROM (SELECT source, size, count(*) AS n FROM d WHERE size > 0 GROUP BY 1, 2)),
+i AS (SELECT z.source, z.size AS lim, (rest - coalesce(certain, 0)::DOUBLE) / squares::DOUBLE AS c
+      FROM z JOIN y ON z.source IS NOT DISTINCT FROM y.source
+      WHERE (rest - coalesce(certain, 0)::DOUBLE) / squares::DOUBLE * z.size < 1
+      QUALIFY row_number() OVER (PARTITION BY z.source ORDER BY z.size DESC) = 1),
+p AS (SELECT d.*, y.source_size, y.target, y.whole, y.rest, coalesce(i.lim, 0) AS lim,
+        least(greatest(coalesce(i.c, 0) * d.size, 1e-12::DOUBLE), 1 - 1e-12::DOUBLE) AS p
+      FROM d JOIN y ON d.source IS NOT DISTINCT FROM y.source
+      LEFT JOIN i ON d.source IS NOT DISTINCT FROM i.source),
+q AS (SELECT doc_id, size, source_size, target, whole, rest, coalesce(sum(size) OVER (PARTITION BY source
+          ORDER BY CASE WHEN size > lim THEN 0 ELSE (u / (1 - u)) / (p / (1 - p)) END, doc_id, size
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS upto FROM p)
 SELECT doc_id, size, source_size, target,
   ((whole + CASE WHEN source_size > 0 AND upto + size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END) * size)::BIGINT AS taken
 FROM q

@@ -507,11 +507,12 @@ def without_repeats(docs: DataFrame, unit: Bytes | Words = Bytes(LENGTH)) -> Dat
         F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"), F.col("kept").alias("_kept")).distinct())
     met = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"])
                     & (F.sha2(docs["text"].cast("string"), 256) == kept["_sha"]), "left")
-    met = met.where("_kept IS NULL OR _kept <> ''").withColumn("text", F.coalesce("_kept", docs["text"]))
+    met = met.where(kept["_kept"].isNull() | (kept["_kept"] != ""))
+    text = F.coalesce(kept["_kept"], docs["text"])
+    changed = {"text": text}
     if "n_chars" in docs.columns:
-        met = met.withColumn("n_chars", F.when(F.col("_kept").isNotNull(), F.length("text").cast("long"))
-                             .otherwise(F.col("n_chars")))
-    return met.select(*docs.columns)
+        changed["n_chars"] = F.when(kept["_kept"].isNotNull(), F.length(text).cast("long")).otherwise(docs["n_chars"])
+    return met.select(*[changed.get(c, docs[f"`{c}`"]).alias(c) for c in docs.columns])
 
 
 def op6_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:

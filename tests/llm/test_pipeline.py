@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from faultline.scale import cut_lineage
 from test_texts import brute_components
@@ -77,3 +79,27 @@ def test_passages_of_51_short_words_go(spark, rows):
         d: w for d, w in left.items() if w}
     assert {d for d, t in got.items() if d < 1000} == {d for d, w in left.items() if w and d < 1000} | {23}
     assert all(t == " ".join(t.split()) for d, t in got.items() if 20 <= d < 1000)
+
+
+def test_stages_of_odd_rows_with_clashing_columns(spark, odd):
+    """Nulls, empty and long texts, repeated rows and columns named like those the stages use."""
+    for name in ("_id", "_kept", "_sha", "_text", "_size", "_u", "_row", "score", "target", "whole", "lang_pred"):
+        odd = odd.withColumn(name, F.lit(name))
+    docs = odd.withColumnRenamed("size", "copies").withColumn("a.b", F.lit("x"))
+    steps = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = cut_lineage(stage(spark, docs, ""))
+        steps.append(docs.collect())
+        assert docs.columns[-1] == "a.b" and docs.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"]
+        assert all(r["_kept"] == "_kept" and r["a.b"] == "x" for r in steps[-1])
+    language, near, repeats, mixture = ({r.doc_id for r in s} for s in steps)
+    assert language == {3, 4, None, 6, 7, 8}
+    # equal texts leave the smallest id; rows without an id stay
+    assert near == {3, None, 6, 8}
+    # a text that only repeats itself is one long repeated passage
+    assert repeats == {3, None, 8} and mixture <= repeats
+    assert {r.doc_id for r in corpus_pipeline.packed(spark, docs, "").collect()} == mixture
+    none = odd.where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        none = stage(spark, none, "")
+    assert none.collect() == []

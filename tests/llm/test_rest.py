@@ -1,15 +1,20 @@
 """Extraction, archives, language, mixing, quality and neighbours against plain versions."""
 
 import gzip
+import hashlib
 import html
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from faultline.llm import text as T
 from faultline.llm import extraction, langid, mixing, neighbours, quality, queries, warc
 
 
@@ -64,6 +69,10 @@ def test_extraction_cuts_what_a_site_repeats(spark):
     assert got[103] == "a\nb\nc\nd\ne <f> gh j"
     assert got[104] == "A\nB\nc\nd"
     assert extraction.extract(frame.limit(0), ["page_id", "url"]).collect() == []
+    clash = frame.withColumn("_html", F.lit("x")).withColumn("_tree", F.lit(1)).withColumn("text", F.lit("y"))
+    again = extraction.extract(clash, ["page_id", "_html", "_tree", "text"])
+    assert again.columns == ["page_id", "_html", "_tree", "text", "n_chars"]
+    assert {r.page_id: r.text for r in again.collect()} == got
 
 
 def test_archives_odd(spark, tmp_path):
@@ -114,13 +123,45 @@ def test_language(spark, sf_dir, rows):
     assert sum(r.lang_pred == lang[r.doc_id] for r in held) >= 0.9 * len(held)
 
 
-def test_language_vector_is_the_bundle_of_bound_trigrams():
-    t = langid._table()
-    want = np.zeros(langid.DIMENSIONS)
-    for a, b, c in ((" ", "a", "b"), ("a", "b", "a"), ("b", "a", " ")):
-        x, y, z = (langid._LETTER[t[ord(k)]].astype(float) for k in (a, b, c))
-        want += np.roll(x, 2) * np.roll(y, 1) * z
-    assert np.allclose(langid.vector("AbA"), want / np.linalg.norm(want))
+def plain_vector(text):
+    """The bundle of bound trigrams, one by one."""
+    low = [langid.letter(ord(c) if c.isalpha() else 0).astype(float) for c in f" {text.lower()} "]
+    mids = [c.isalpha() for c in f" {text.lower()} "]
+    out = np.zeros(langid.DIMENSIONS)
+    for i in range(1, len(low) - 1):
+        if mids[i]:
+            out += np.roll(low[i - 1], 2) * np.roll(low[i], 1) * low[i + 1]
+    return out / np.linalg.norm(out) if any(mids) else None
+
+
+@pytest.mark.parametrize("text", ["AbA", "a", "été naïve", "漢字 漢字漢", "Σίσυφος\tОдин", "x1y" * 4000])
+def test_language_vector_is_the_bundle_of_bound_trigrams(text):
+    assert np.allclose(langid.vector(text), plain_vector(text), atol=1e-5)
+    assert langid.vector("12 !") is None
+
+
+def test_languages_that_share_no_letter_with_latin(spark):
+    rng = random.Random(8)
+    scripts = {"ru": "абвгдежзиклмнопрстуя", "bg": "абвгдежзийклмнопрстъ", "el": "αβγδεζηθικλμνξοπρστυ", "ja": "日本語学校先生東京都市山川"}
+    docs = []
+    for k, (lang, letters) in enumerate(scripts.items()):
+        weights = [rng.random() ** 3 for _ in letters]
+        for i in range(40):
+            text = " ".join("".join(rng.choices(letters, weights, k=rng.randint(2, 8))) for _ in range(60))
+            docs.append((1000 * k + i, text, lang))
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    names, vectors = langid.prototypes(frame.where(~langid.held_out()))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(frame, names, vectors, ["doc_id"]).collect()}
+    # the same by hand
+    sums = {}
+    for d, text, lang in docs:
+        if zlib.crc32(str(d).encode()) % 5:
+            sums[lang] = sums.get(lang, 0) + np.rint(plain_vector(text) * langid.UNIT)
+    for d, text, lang in docs:
+        v = plain_vector(text)
+        cosine = {k: float(x @ v / np.linalg.norm(x)) for k, x in sums.items()}
+        assert got[d][0] == max(cosine, key=cosine.get) == lang
+        assert got[d][1] == pytest.approx(cosine[lang], abs=1e-3)
 
 
 def test_language_odd(spark, odd):
@@ -130,6 +171,10 @@ def test_language_odd(spark, odd):
     und = {r.doc_id for r in got if r.lang_pred == "und"}
     assert und == {1, 2, 5, 9}
     assert langid.identified(odd).columns == odd.columns
+    clash = odd.withColumnsRenamed({"size": "score"}).withColumn("_text", F.lit("x")).withColumn("lang_pred", F.lit(1))
+    kept = langid.identified(clash.withColumn("a b.c", F.lit(2)))
+    assert kept.columns[-3:] == ["_text", "lang_pred", "a b.c"] and kept.first()["a b.c"] == 2
+    assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in odd.collect()} - und
     names, vectors = langid.prototypes(odd.limit(0))
     assert {r.lang_pred for r in langid.predict(odd, names, vectors, ["doc_id"]).collect()} == {"und"}
 
@@ -148,6 +193,67 @@ def test_mixing_reaches_its_targets(spark, sf_dir):
     assert abs(sum(target.values()) - sum(r.size for r in got)) < 1
 
 
+def brute_mix(docs):
+    """Taken words per row of (doc_id, size, source), ranks and all, for one round of weights."""
+    size = defaultdict(int)
+    for _, n, source in docs:
+        size[source] += n
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    weight = {s: i % 3 + 1 for i, s in enumerate(order)}
+    target, open_, left = {}, [s for s in order if size[s]], sum(size.values())
+    while True:
+        over = [s for s in open_ if left * weight[s] > 3 * size[s] * sum(weight[x] for x in open_)]
+        if not over:
+            break
+        for s in over:
+            target[s] = 3 * size[s]
+        left -= sum(3 * size[s] for s in over)
+        open_ = [s for s in open_ if s not in over]
+    for s in open_:
+        target[s] = left * weight[s] / sum(weight[x] for x in open_)
+    out = []
+    for s in order:
+        rows = [(d, n) for d, n, x in docs if x == s]
+        if not size[s]:
+            out += [(d, 0) for d, _ in rows]
+            continue
+        whole = int(target[s] // size[s])
+        rest = target[s] - whole * size[s]
+        # c by bisection: the expected words of p = min(1, c * size) are the rest
+        lo, hi = 0.0, 1e9
+        for _ in range(300):
+            c = (lo + hi) / 2
+            lo, hi = (c, hi) if sum(min(1.0, c * n) * n for _, n in rows) < rest else (lo, c)
+
+        def rank(d, n):
+            p = min(max(lo * n, 1e-12), 1 - 1e-12)
+            u = (int(hashlib.md5(f"mix|{d}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+            return 0.0 if lo * n >= 1 else u / (1 - u) / (p / (1 - p))
+
+        at = 0
+        for d, n in sorted(rows, key=lambda r: (rank(*r), r[0], r[1])):
+            out.append((d, (whole + (at + n / 2 <= rest)) * n))
+            at += n
+    return sorted(out)
+
+
+def test_mixing_ranks_by_random_odds_over_inclusion_odds(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BIN_ROWS", 3)
+    rng = random.Random(6)
+    docs = [(i, rng.choice([1, 2, 3, 5, 8, 40, 200]) if i % 50 else 3000, rng.choice(["a", "b", "b", "b", "c", None]))
+            for i in range(1500)] + [(2000, 0, "a"), (2001, 0, "d"), (2002, 9, "e")]
+    frame = spark.createDataFrame([(d, "w " * n, s) for d, n, s in docs], "doc_id long, text string, source string")
+    rows = mixing.sized(frame, "mix").cache()
+    mixed = mixing.mix(rows, mixing.cuts(rows)).collect()
+    got = sorted((r.doc_id, r.copies * r["_size"]) for r in mixed)
+    assert got == brute_mix(docs)
+    # a source of which a part is taken: large documents are in more often than small ones
+    part = [r for r in mixed if r.source == "b"]
+    whole = min(r.copies for r in part)
+    share = {n: np.mean([r.copies - whole for r in part if r["_size"] == n]) for n in (1, 200, 3000)}
+    assert share[1] < share[200] and share[1] < share[3000]
+
+
 def test_mixing_odd(spark, odd):
     rows = mixing.sized(odd, "s")
     got = mixing.mix(rows, mixing.cuts(rows.select("doc_id", "source", "_size", "_u"))).collect()
@@ -172,6 +278,61 @@ def test_quality(spark, sf_dir, rows):
         assert np.mean([g > p for g in good for p in poor]) > 0.7
 
 
+def plain_grades(text, model):
+    """Expected grade and the probability of each grade, word by word."""
+    w, d, theta = model
+    words = [x for x in re.split(r"[ \t-\r]+", text) if x]
+    low = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x) for x in words]
+    hashed = {x: int(text_hash(x)) for x in low}
+    n = Counter((hashed[x] >> 48) % quality.BUCKETS for x in low)
+    value = {b: 1 + np.log(c) for b, c in n.items()}
+    size = np.sqrt(sum(v * v for v in value.values())) or 1.0
+    raw = text.encode()
+    letters = sum(chr(b | 32).isalpha() and b < 128 or b >= 128 for b in raw)
+    digits, space = sum(48 <= b <= 57 for b in raw), sum(b in b" \t\n\v\f\r" for b in raw)
+    total = max(len(raw), 1)
+    shape = [letters / total, digits / total, (len(raw) - letters - digits - space) / total,
+             len(set(low)) / max(len(low), 1), np.log1p(len(low)) / 10, total / max(len(low), 1) / 20]
+    s = sum(w[b] * v / size for b, v in value.items()) + np.dot(shape, d)
+    over = [1.0, *(1 / (1 + np.exp(t - s)) for t in theta), 0.0]
+    return sum(over[1:-1]), [a - b for a, b in zip(over, over[1:])]
+
+
+def text_hash(word):
+    data, offsets = T.utf8(pa.array([word]))
+    return T.word_hashes(data, offsets)[3][0]
+
+
+def test_quality_scores_follow_the_model(spark):
+    rng, nrng = random.Random(4), np.random.default_rng(4)
+    texts = ["", "One two ONE", "abc 123 !!! abc", "été naïve 漢字 x", *(" ".join(
+        rng.choices(["good", "bad", "Fine", "so", "7", "--"], k=rng.randint(1, 80))) for _ in range(20))]
+    model = (nrng.normal(size=quality.BUCKETS), nrng.normal(size=6), np.array([-0.4, 0.9]))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in quality.score(frame, model, ["doc_id"]).collect():
+        grade, each = plain_grades(texts[r.doc_id], model)
+        assert r.expected_grade == pytest.approx(grade) and r.p_good == pytest.approx(each[2])
+        assert r.p_toxic == pytest.approx(each[0]) and r.grade_pred == int(np.argmax(each))
+
+
+def test_quality_learns_graded_words(spark):
+    rng = random.Random(12)
+    pools = [["spam", "ugh", "bad"], ["plain", "some", "so"], ["clear", "deep", "proof"]]
+    docs = []
+    for i in range(600):
+        g = rng.randrange(3)
+        words = [rng.choice(rng.choices(pools, [3 if k == g else 1 for k in range(3)])[0]) for _ in range(40)]
+        docs.append((i, " ".join(words), g))
+    frame = spark.createDataFrame(docs, "doc_id long, text string, grade int")
+    model = quality.learn(frame.select("doc_id", "text"), frame.where("doc_id < 450").select("doc_id", "grade"))
+    assert model[2][0] < model[2][1]
+    rows = quality.score(frame.where("doc_id >= 450"), model, ["doc_id"]).collect()
+    held = {d: g for d, _, g in docs}
+    assert np.mean([r.grade_pred == held[r.doc_id] for r in rows]) >= 0.85
+    pairs = [(held[a.doc_id], held[b.doc_id], a.expected_grade > b.expected_grade) for a in rows for b in rows]
+    assert np.mean([more for x, y, more in pairs if x > y]) >= 0.95
+
+
 def test_quality_odd(spark, odd):
     graded = spark.createDataFrame([(3, 2), (8, 2), (9, 0), (6, 1), (99, 1)], "doc_id long, grade int")
     got = quality.score(odd, quality.learn(odd, graded), ["doc_id", "size"]).collect()
@@ -204,6 +365,38 @@ def test_neighbours(spark, sf_dir, rows):
     assert np.mean([len(set(got[q]) & set(w)) / 5 for q, w in want.items()]) >= 0.95
 
 
+def test_vectors_of_any_finite_size(spark):
+    for scale in (1e200, 1e-200, 1e-310, 1e300):
+        some = [(0, [scale, 0.0]), (1, [scale, scale]), (2, [-scale, scale]), (3, [scale / 2, 0.0])]
+        frame = spark.createDataFrame(some, "vec_id long, embedding array<double>")
+        got = neighbours.nearest(frame, frame.where("vec_id = 0")).orderBy("rank").collect()
+        assert [(r.vec_id, round(r.score, 12)) for r in got] == [
+            (3, 1.0), (1, round(0.5 ** 0.5, 12)), (2, round(-0.5 ** 0.5, 12))]
+    mixed = [(0, [1e200, 1e200]), (1, [1e-200, 1e-200]), (2, [1.0, 0.0])]
+    frame = spark.createDataFrame(mixed, "vec_id long, embedding array<double>")
+    got = neighbours.nearest(frame, frame.where("vec_id = 0")).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [1, 2]
+
+
+def test_recall_over_shards_with_a_tight_cluster(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SHARD", 600)
+    rng = np.random.default_rng(10)
+    spread, centre = rng.normal(size=(1200, 24)), rng.normal(size=24)
+    x = np.concatenate((spread, centre + 0.01 * rng.normal(size=(600, 24))))
+    rng.shuffle(x)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in neighbours.nearest(frame, frame.where("vec_id % 50 = 0")).collect():
+        got[r.query_id].add(r.vec_id)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = []
+    for q in range(0, len(x), 50):
+        sims = unit @ unit[q]
+        sims[q] = -2
+        hits.append(len(got[q] & set(np.argsort(-sims)[:5].tolist())) / 5)
+    assert np.mean(hits) >= 0.9
+
+
 def test_neighbours_odd(spark):
     some = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, None), (5, [0.0, 0.0]),
             (6, [1.0, None]), (7, [float("nan"), 1.0]), (8, [-1.0, 0.0]), (50, None), (None, [1.0, 0.0])]
