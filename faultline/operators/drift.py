@@ -218,6 +218,32 @@ def bin_shares(values: DataFrame, keys: Sequence[str] = ("feature",), buckets: i
     return binned(table, placed, edges_and_ks(table, placed, keys, buckets), keys)
 
 
+def against_snapshot(snapshot: DataFrame, current: DataFrame, buckets: int = 10) -> DataFrame:
+    """PSI, KS and verdict of the features that a stored baseline and the current rows share.
+
+    snapshot  (feature, v, nb, h) as `sinks.Snapshot` keeps it, bucketed by (feature, h)
+    current   (feature, v); nulls and NaN do not count
+    """
+    both = cut_lineage(_meet_snapshot(snapshot, current))
+    table = ranges(both, ["feature"])
+    placed = placed_ranges(table, ["feature"])
+    return drift_verdicts(binned(table, placed, edges_and_ks(table, placed, ["feature"], buckets), ["feature"]))
+
+
+def _meet_snapshot(snapshot: DataFrame, current: DataFrame) -> DataFrame:
+    """(feature, v, nb, nc) of the shared features; only the current side is shuffled."""
+    now = current.where("v IS NOT NULL AND NOT isnan(v)").groupBy("feature", "v").agg(
+        F.count("*").alias("nc")).withColumn("h", F.xxhash64("v"))
+    old = shared_features(snapshot, now.select(F.col("feature").alias("column")))
+    # a feature that is new has no baseline to differ from
+    known = broadcast_if_small(snapshot.select("feature").distinct())
+    a, b = old.alias("a"), now.join(known, "feature", "left_semi").alias("b")
+    same = F.expr("a.feature = b.feature AND a.h = b.h AND a.v >= b.v AND a.v <= b.v")
+    return a.join(b, same, "full").select(
+        F.coalesce("a.feature", "b.feature").alias("feature"), F.coalesce("a.v", "b.v").alias("v"),
+        F.coalesce("nb", F.lit(0)).alias("nb"), F.coalesce("nc", F.lit(0)).alias("nc"))
+
+
 def share_rows(binned_rows: DataFrame, keys: Sequence[str] = ("feature",)) -> DataFrame:
     """One row per bin."""
     return binned_rows.where(F.col("error").isNull()).select(
@@ -243,8 +269,8 @@ def drift_verdicts(shares: DataFrame, keys: Sequence[str] = ("feature",)) -> Dat
 
 def shared_features(baseline: DataFrame, current_columns: DataFrame) -> DataFrame:
     """Baseline features that the current schema still has."""
-    return baseline.join(current_columns.select(F.col("column").alias("feature")).distinct(),
-                         "feature", "left_semi")
+    names = broadcast_if_small(current_columns.select(F.col("column").alias("feature")).distinct())
+    return baseline.join(names, "feature", "left_semi")
 
 
 # ---------------------------------------------------------------- schema

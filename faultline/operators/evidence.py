@@ -130,10 +130,6 @@ def health(investigated: DataFrame) -> DataFrame:
     return investigated.withColumns({"status": status, "reasons": reasons})
 
 
-def leaderboard_order(pos: str = "pos") -> list:
-    return [X.rank_in("status", M.HEALTH), F.col(pos)]
-
-
 def health_coverage(rows: DataFrame) -> DataFrame:
     healthy = F.count_if(F.col("status") == "HEALTHY")
     n = F.count("*")

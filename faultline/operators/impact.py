@@ -162,12 +162,52 @@ filter(transform(
 """
 
 
+# What a write needs of its target: the columns it lists, else all of them.  A table that the
+# statement makes has none to lose.
+_WRITES = """
+flatten(transform(filter(targets, t -> not t.made), t -> flatten(transform(
+  filter(wrote, s -> s.ds_urn is not null), s -> transform(t.listed, c ->
+    named_struct('ds_urn', s.ds_urn, 'column', c, 'clause', 'insert', 'conf', 0))))))
+"""
+_FILLS = """
+flatten(transform(filter(targets, t -> not t.made and size(t.listed) = 0), t -> transform(
+  filter(wrote, s -> s.ds_urn is not null), s -> named_struct('ds_urn', s.ds_urn, 'star',
+    named_struct('depth', 0, 'pos', 0, 'qualifier', t.bare)))))
+"""
+
+
 def attribute(scanned: DataFrame, catalog: Catalog,
               keys: tuple[str, ...] = ("catalog", "shape_id")) -> DataFrame:
     """One row per readable statement with arrays `uses` and `star_of`."""
-    readable = scanned.where(F.col("assessable") & (F.size("sources") > 0))
-    src = attach_sources(readable.select(*keys, "sources", "refs", "stars"), catalog, keys)
-    return src.select(*keys, F.expr(_USES).alias("uses"), F.expr(_STARS).alias("star_of"))
+    target = F.transform("targets", lambda t: F.struct(
+        F.lit(0).alias("depth"), F.lit(0).alias("pos"), t["bare"].alias("name"), F.lit("").alias("alias")))
+    readable = scanned.where("assessable").select(
+        *keys, F.concat("sources", target).alias("sources"), F.size("sources").alias("read"),
+        F.concat("refs", "readings").alias("refs"), "stars", "targets").where(F.size("sources") > 0)
+    src = attach_sources(readable, catalog, keys)
+    src = src.withColumn("wrote", F.filter("src", lambda s: s["ord"] >= F.col("read"))).withColumn(
+        "src", F.filter("src", lambda s: s["ord"] < F.col("read")))
+    return src.select(*keys, F.expr(f"concat({_USES}, {_WRITES})").alias("uses"),
+                      F.expr(f"concat({_STARS}, {_FILLS})").alias("star_of"))
+
+
+def write_edges(log: DataFrame, catalog: Catalog) -> DataFrame:
+    """(catalog, up, down, statements, runs): datasets that statements read to write others.
+
+    A dataset of the catalog goes by its urn, a target outside it by its name as written.
+    """
+    shaped = cut_lineage(qlog.with_shape(log).groupBy("catalog", "shape_id").agg(
+        F.first("tokens").alias("tokens"), F.count("*").alias("statements"), F.sum("runs").alias("runs")))
+    found = qlog.scan(shaped).select("catalog", "shape_id", "statements", "runs", "sources",
+                                     F.inline("targets"))
+    urns = dataset_by_bare_name(catalog.datasets).select("catalog", "bare", "ds_urn")
+    down = found.join(urns, ["catalog", "bare"], "left").select(
+        "catalog", "shape_id", "statements", "runs", F.coalesce("ds_urn", "name").alias("down"),
+        F.explode(F.array_distinct(F.transform("sources", lambda s: s["name"]))).alias("bare"))
+    edges = down.join(urns, ["catalog", "bare"]).select(
+        "catalog", "shape_id", F.col("ds_urn").alias("up"), "down", "statements", "runs").distinct()
+    return edges.groupBy("catalog", "up", "down").agg(F.sum("statements").alias("statements"),
+                                                      F.sum("runs").alias("runs"))
 
 
 def usage_rows(attributed: DataFrame, keys: tuple[str, ...] = ("catalog", "shape_id"),

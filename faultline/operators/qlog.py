@@ -8,6 +8,9 @@ governing clause come from one fold over the token classes, table references,
 column references and projections from the tokens next to them.  No token is
 ever shuffled.
 
+A statement that writes (`INSERT ... SELECT`, `CREATE TABLE / VIEW ... AS SELECT`)
+is its head, which gives a target, and a query that is scanned like any other.
+
 Text outside the supported grammar is marked `assessable = false`; nothing is
 then claimed about it.
 """
@@ -57,6 +60,13 @@ _UNIT_FUNCTIONS = ("dateadd", "datediff", "date_add", "date_diff", "date_part",
 # Functions that may stand for a table: their arguments are values, never table names.
 _ROW_FUNCTIONS = ("unnest", "flatten", "explode", "generate_series", "sequence", "range")
 _TYPED_LITERALS = ("date", "time", "timestamp", "timestamptz", "datetime", "interval")
+# Heads of statements that write what a query reads, over tokens joined by spaces.
+_NAME = r"([^\s(),;]+)"
+_LISTED = r"( \( [^\s(),;]+(?: , [^\s(),;]+)* \))?"
+_QUERY = r" (?=(?:select|with|\() )"
+_INSERT = r"^insert (?:into|overwrite)(?: table)? " + _NAME + _LISTED + _QUERY
+_CREATE = (r"^create(?: or replace)?(?: temp| temporary| transient)?(?: materialized| recursive)?"
+           r"(?: table| view)(?: if not exists)? " + _NAME + _LISTED + r" as" + _QUERY)
 _STAR_MODIFIERS = ("exclude", "except", "rename", "replace", "ilike")
 MAX_DEPTH = 60
 
@@ -155,6 +165,11 @@ def _lex(rows: DataFrame) -> DataFrame:
     classes = "try_element_at(map({}), t)".format(
         ", ".join(f"'{k}', '{v}'" for k, v in _CLASSES.items()))
     d = rows.withColumn("low", F.transform("tokens", F.lower))
+    d = d.withColumn("said", F.when(F.get("low", F.lit(0)).isin("insert", "create"), F.array_join("low", " ")))
+    head = F.coalesce(F.nullif(F.regexp_extract("said", _INSERT, 0), F.lit("")),
+                      F.regexp_extract("said", _CREATE, 0), F.lit(""))
+    d = d.withColumn("head", F.when(head == "", 0).otherwise(F.size(F.split(F.btrim(head), " "))))
+    d = d.withColumn("low", F.slice("low", F.col("head") + 1, F.size("low")))
     d = d.withColumns({
         "kinds": F.expr(f"array_join(transform(low, t -> {_kind_expr()}), '')"),
         "classes": F.expr(f"transform(low, t -> coalesce({classes}, '-'))")})
@@ -175,6 +190,9 @@ def _lex(rows: DataFrame) -> DataFrame:
                  {_words(_UNSUPPORTED)})
       or x.t = 'distinct' and x.n = 'on' or x.t = 'top' and x.p in {_HEAD}
       or x.t = 'start' and x.n = 'with'
+      or x.t in ('natural', '$') or x.t = 'table' and x.nk = 'i'
+      or x.t = 'in' and x.nk = 'i' and x.n2 <> '('
+      or x.t = 'columns' and x.n = '(' or x.t = 'u' and x.n = '&' and startswith(x.n2, '"')
       or x.t in ('select', 'from', 'join', 'on', 'using', 'where', 'group by', 'having',
                  'order by', 'qualify')
          and x.n in ('', ')', 'from', 'where', 'group by', 'having', 'order by', 'qualify',
@@ -196,13 +214,17 @@ def readable(rows: DataFrame, tokens: Column, name: str) -> DataFrame:
 
 
 def scan(shapes: DataFrame) -> DataFrame:
-    """Adds to rows with `tokens`: assessable, sources, refs, stars, projections, outputs.
+    """Adds to rows with `tokens`: assessable, sources, refs, readings, stars, projections, outputs,
+    targets.
 
     sources      array<struct<depth, pos, name, alias>>  in resolution order
     refs         array<struct<pos, qualifier, name, clause>>
-    stars        array<struct<depth, pos, qualifier>>    '' for a bare star
+    readings     like refs: what else a dotted name may mean, as `a.b.c` may be field c of a.b
+    stars        array<struct<depth, pos, qualifier>>    '' for a bare star; a name that is a
+                 source itself stands for its whole row
     projections  array<struct<pos, len, depth, qualifier, name, output, sole>>
     outputs      array<string>: output names of the outermost first SELECT
+    targets      array<struct<name, bare, listed, made>>: what the statement writes, at most one
     """
     keep = list(shapes.columns)
     d = _lex(shapes)
@@ -230,21 +252,31 @@ def scan(shapes: DataFrame) -> DataFrame:
                 f" (acc, q) -> {body}))")
 
     d = d.withColumn("sources", F.expr("array_sort(" + with_parts(
-        f"filter(tk, x -> {is_table})", "named_struct('depth', x.d, 'pos', x.i, 'name', element_at(q, -1), 'alias', "
+        f"filter(tk, x -> {is_table})", "named_struct('depth', x.d, 'pos', x.i + head, 'name', element_at(q, -1), 'alias', "
         f"{_unquoted(alias)})").format("struct<depth: int, pos: int, name: string, alias: string>")
         + ")"))
     d = d.withColumn("refs", F.expr(with_parts(
-        f"filter(tk, x -> {is_name})", f"named_struct('pos', x.i, 'qualifier', {qualifier}, 'name', element_at(q, -1),"
+        f"filter(tk, x -> {is_name})", f"named_struct('pos', x.i + head, 'qualifier', {qualifier}, 'name', element_at(q, -1),"
         f" 'clause', coalesce({clauses}, 'select'))").format(
         "struct<pos: int, qualifier: string, name: string, clause: string>")))
-    d = d.withColumn("stars", F.expr("array_sort(" + with_parts(
+    source = "exists(sources, s -> s.alias = {0} or s.name = {0})"
+    reading = (f"named_struct('pos', x.i + head, 'qualifier', case when j = 0 then '' else q[j - 1] end,"
+               f" 'name', q[j], 'clause', coalesce({clauses}, 'select'))")
+    d = d.withColumn("readings", F.expr("flatten(" + with_parts(
+        f"filter(tk, x -> {is_name} and contains(x.t, '.'))",
+        f"transform(filter(sequence(0, greatest(size(q) - 2, 0)), j -> j < size(q) - 1 and (j > 0 or"
+        f" not {source.format('q[0]')})), j -> {reading})").format(
+        "array<struct<pos: int, qualifier: string, name: string, clause: string>>") + ")"))
+    star = "struct<depth: int, pos: int, qualifier: string>"
+    d = d.withColumn("stars", F.expr("array_sort(concat(" + with_parts(
         f"filter(tk, x -> x.c = 's' and x.p in {_STARTS} and (x.k = 's' or x.t = '*'))",
-        "named_struct('depth', x.d, 'pos', x.i, 'qualifier',"
-        f" case when x.t = '*' then '' else {qualifier} end)").format(
-        "struct<depth: int, pos: int, qualifier: string>") + ")"))
+        "named_struct('depth', x.d, 'pos', x.i + head, 'qualifier',"
+        f" case when x.t = '*' then '' else {qualifier} end)").format(star) + ", " + with_parts(
+        f"filter(tk, x -> {is_name} and {source.format(_unquoted('x.t'))})",
+        "named_struct('depth', x.d, 'pos', x.i + head, 'qualifier', element_at(q, -1))").format(star) + "))"))
     d = d.withColumn("projections", F.expr(with_parts(
         f"filter(tk, x -> x.k = 'i' and x.c = 's' and x.p in {_STARTS} and {width} > 0)",
-        f"named_struct('pos', x.i, 'len', {width}, 'depth', x.d, 'qualifier', {qualifier},"
+        f"named_struct('pos', x.i + head, 'len', {width}, 'depth', x.d, 'qualifier', {qualifier},"
         " 'name', element_at(q, -1), 'output', case when x.n = 'as' then "
         f"{_unquoted('x.n2')} when x.nk = 'i' then {_unquoted('x.n')} else element_at(q, -1) end,"
         f" 'sole', x.p <> ',' and coalesce(get(low, x.i + {width}), '') <> ',')").format(
@@ -259,7 +291,16 @@ def scan(shapes: DataFrame) -> DataFrame:
           and x.d = heads[0].d and x.i > heads[0].i
           and not exists(heads, h -> h.d = heads[0].d and h.i > heads[0].i and h.i < x.i))""",
         "element_at(q, -1)").format("string")))
-    found = ("sources", "refs", "stars", "projections", "outputs")
+    def of_head(group: int) -> Column:
+        both = (F.nullif(F.regexp_extract("said", p, group), F.lit("")) for p in (_INSERT, _CREATE))
+        return F.regexp_replace(F.coalesce(*both, F.lit("")), '["`]', "")
+
+    listed = F.filter(F.split(of_head(2), r"[ (),]+"), lambda c: c != "")
+    target = F.struct(of_head(1).alias("name"), F.element_at(F.split(of_head(1), r"\."), -1).alias("bare"),
+                      listed.alias("listed"), F.startswith("said", F.lit("create")).alias("made"))
+    d = d.withColumn("targets", F.when(F.col("head") > 0, F.array(target)).otherwise(
+        F.slice(F.array(target), 1, 0)))
+    found = ("sources", "refs", "readings", "stars", "projections", "outputs", "targets")
     none = [F.when(F.col("assessable"), F.col(c)).otherwise(F.slice(F.col(c), 1, 0)).alias(c)
             for c in found]
     return d.select(*keep, "assessable", *none)

@@ -70,7 +70,7 @@ def path_queries(catalog: I.Catalog) -> DataFrame:
 def transitions(before: DataFrame, after: DataFrame) -> DataFrame:
     """Verdict moves between two verdict tables; a consumer on one side only is ABSENT.
 
-    Regressions sort first with `transition_order`.
+    `order.transitions` puts regressions first.
     """
     def side(df: DataFrame, p: str) -> DataFrame:
         return df.select("change_id", "query_id", F.col("verdict").alias(p),
@@ -98,10 +98,6 @@ def manual_consumers(impacted: DataFrame, catalog: I.Catalog) -> DataFrame:
         "change_id", "asset_name").distinct()
 
 
-def transition_order() -> list:
-    return [F.desc("regressed"), F.col("consumer")]
-
-
 def count_deltas(before: DataFrame, after: DataFrame, key: str = "change_id") -> DataFrame:
     """after - before per (key, name) of two long count tables, names of both sides kept."""
     j = before.withColumnRenamed("value", "b").join(
@@ -197,8 +193,8 @@ def verify(target: DataFrame, patch: Patch, catalog: I.Catalog, index: I.Index)
     names = ["breaks", "break_runs", "ambiguous", "degrades", "degrade_runs"]
     zero = F.lit(0).cast("bigint")
     base = I.team_cells(wanted, index).withColumn("unknown", zero).withColumn("fixable", zero)
-    aq = flag(asset_queries(catalog, index)).join(target.select("change_id", "catalog"), "catalog")
-    asset_hit = flag_hits(aq, I.shape_verdicts(target, index.usage, index.stars))
+    asset_hit = flag_hits(flag(asset_queries(catalog, index)),
+                          I.shape_verdicts(target, index.usage, index.stars))
     fix_before = asset_hit.groupBy("change_id").agg(F.count_if("fixable").alias("fixable_b"))
     delta = _signed_cells(old, -1).unionByName(_signed_cells(new, 1))
     after = base.unionByName(delta).groupBy("id", "team").agg(
@@ -275,10 +271,11 @@ def gather(parts: list[DataFrame], key: str = "change_id") -> DataFrame:
 
 
 def flag_hits(asset_rows: DataFrame, hits: DataFrame) -> DataFrame:
-    """Asset-defined consumers a change breaks or degrades with confidence."""
+    """Asset-defined consumers a change breaks or degrades with confidence: a statement meets the
+    changes that touch its shape, not all changes of its catalog."""
     return asset_rows.where("assessable").join(
         hits.select("change_id", "catalog", "shape_id", "usage", "confidence"),
-        ["change_id", "catalog", "shape_id"]).withColumn(
+        ["catalog", "shape_id"]).withColumn(
         "verdict", X.verdict_of("usage")).where(F.col("confidence") != "low")
 
 

@@ -78,6 +78,18 @@ _OUT = ("n_baseline, n_current, round(psi, 6) AS psi, round(ks, 6) AS ks, verdic
 SQL["drift_psi_ks"] = f"WITH {_drift(_LINE, ('feature',))} SELECT feature, {_OUT}"
 SQL["drift_by_segment"] = (f"WITH {_drift(_SEGMENT, ('segment', 'feature'))}"
                            f" SELECT segment, feature, {_OUT}")
+SQL["drift_by_psi"] = f"""WITH {_drift(_SEGMENT, ('segment', 'feature'))}
+SELECT feature, row_number() OVER (PARTITION BY feature ORDER BY round(psi, 6) DESC NULLS LAST, segment)
+  AS position, segment, round(psi, 6) AS psi FROM drift"""
+SQL["drift_against_snapshot"] = f"WITH {_drift(_LINE, ('feature',))} SELECT feature, {_OUT} WHERE feature <> 'l_tax'"
+SQL["baseline_tables"] = " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, count({c}) AS n, round(avg({c}), 4) AS total FROM lineitem"
+    for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")) + """
+UNION ALL SELECT 'click', count(*), round(sum(value), 4) FROM (SELECT value, row_number() OVER (
+  ORDER BY md5('42:' || event_id), event_id) AS r FROM events WHERE event_type = 'click') WHERE r <= 300"""
+SQL["events_in_order"] = """
+SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY min(event_id)) AS position, event_type,
+  min(event_id) AS first, count(*) AS times FROM events GROUP BY user_id, event_type"""
 SQL["drift_bin_shares"] = f"""WITH {_drift(_LINE, ('feature',))}
 SELECT feature, bin, round(low, 6) AS low, round(high, 6) AS high, round(e, 6) AS expected,
   round(a, 6) AS actual FROM shares"""
@@ -245,6 +257,9 @@ SELECT urn, status, CASE status
   WHEN 'FORGOTTEN' THEN 'undocumented; ' || CASE WHEN action <> 'abstain' THEN 'reconstructable'
     ELSE 'evidence too thin to reconstruct' END
   ELSE 'documented and consistent with evidence' END AS reasons FROM hl"""
+SQL["asset_leaderboard"] = f"""WITH {_EVIDENCE}
+SELECT row_number() OVER (ORDER BY CASE status WHEN 'CRITICAL' THEN 0 WHEN 'NEEDS_REVIEW' THEN 1
+  WHEN 'FORGOTTEN' THEN 2 ELSE 3 END, substr(urn, 10)::BIGINT) AS position, urn, status FROM hl"""
 SQL["health_coverage"] = f"""WITH {_EVIDENCE}
 SELECT count(*) AS assets, round(100.0 * count(*) FILTER (status = 'HEALTHY')
   / greatest(count(*), 1), 1) AS healthy_pct, count(*) FILTER (status = 'CRITICAL') AS critical,
@@ -438,6 +453,35 @@ SELECT change_id, query_id, verdict, conf AS confidence, runs FROM v
 UNION ALL SELECT change_id, query_id, 'SAFE', 'high', runs FROM changes h JOIN log l USING (catalog)
 WHERE h.ds IS NOT NULL AND tmpl NOT IN (6, 12)
   AND NOT EXISTS (SELECT 1 FROM uses u WHERE u.tmpl = l.tmpl AND u.ds = h.ds AND u.col = h.col)"""
+SQL["impacted_in_order"] = f"""WITH {_VERDICTS}
+SELECT change_id, row_number() OVER (PARTITION BY change_id ORDER BY verdict, runs DESC,
+    CASE WHEN query_id LIKE 'mq%' THEN 1099511627776 + substr(query_id, 3)::BIGINT
+    ELSE substr(query_id, 2)::BIGINT END) AS position, query_id, verdict, runs
+FROM v WHERE verdict IN ('BREAKS', 'DEGRADES') AND conf <> 'low'"""
+# What each statement of `workload.WRITES` reads and fills, labelled by reading it.
+_WRITE_EDGES = ((0, "lineitem", "urn:sales:orders"), (1, "supplier", "urn:sales:customer"),
+                (2, "orders", "mart.daily"), (2, "lineitem", "mart.daily"), (3, "orders", "mart.big"),
+                (3, "customer", "mart.big"))
+_WRITE_LABELS = (
+    (0, "lineitem", "orderkey", "select", "select", False), (0, "orders", "orderkey", "filter", "insert", False),
+    (0, "orders", "custkey", "filter", "insert", False), (1, "supplier", "suppkey", "filter", "where", True),
+    (2, "orders", "orderdate", "select", "group|select", False), (2, "lineitem", "tax", "select", "select", False),
+    (2, "orders", "orderkey", "filter", "join", False), (2, "lineitem", "orderkey", "filter", "join", False),
+    (2, "orders", "custkey", "filter", "where", False), (3, "orders", "custkey", "select", "select", False),
+    (3, "orders", "totalprice", "filter", "where", False), (3, "customer", "name", "select", "select", False),
+    (3, "customer", "custkey", "filter", "join", False))
+_WROTE = """wlog AS (SELECT CASE WHEN event_id % 2 = 1 THEN 'west' ELSE 'east' END AS catalog,
+  event_id % 5 AS tmpl, 1 + event_id % 3 AS runs FROM events)"""
+SQL["write_lineage"] = f"""WITH {_WROTE}, we(tmpl, up, down) AS ({_values(_WRITE_EDGES)})
+SELECT catalog, 'urn:sales:' || up AS up, down, count(*) AS statements, sum(runs)::BIGINT AS runs
+FROM wlog JOIN we USING (tmpl) GROUP BY ALL"""
+SQL["write_usage"] = f"""WITH {_WROTE}, wl(tmpl, ds, col, usage, clauses, star) AS ({_values(_WRITE_LABELS)})
+SELECT catalog, 'urn:sales:' || ds AS ds_urn, col AS "column", usage, 'high' AS confidence, clauses, star,
+  count(*) AS statements, sum(runs)::BIGINT AS runs FROM wlog JOIN wl USING (tmpl) GROUP BY ALL"""
+SQL["impact_report"] = f"""WITH {_LOG}
+SELECT h.catalog, change_id, change, 'urn:sales:' || h.ds AS target_urn, breaks, safe, unknown, score, level,
+  (total - unknown) || ' of ' || total || ' analysed' AS coverage, teams_impacted
+FROM described h JOIN lvl USING (catalog, ds, col) WHERE h.catalog = 'west'"""
 SQL["no_definition_assets"] = f"""WITH {_LOG}
 SELECT catalog, urn, type, coalesce(def, 'no_definition:' || urn) AS query_id,
   CASE type WHEN 'looker_dashboard' THEN 2 WHEN 'warehouse_view' THEN 1 ELSE 0 END AS tier
@@ -490,6 +534,9 @@ WHERE change_id = 'c4'"""
 SQL["verify_transitions"] = f"""WITH {_FIX}
 SELECT change_id, 'mq' || k AS query_id, 'm' || k AS consumer, 'BREAKS' AS "before",
   'SAFE' AS "after", false AS regressed, true AS improved FROM fix WHERE change_id <> 'c4'"""
+SQL["transitions_in_order"] = f"""WITH {_FIX}
+SELECT change_id, row_number() OVER (PARTITION BY change_id ORDER BY 'm' || k) AS position,
+  'm' || k AS consumer, 'BREAKS' AS "before", 'SAFE' AS "after" FROM fix WHERE change_id <> 'c4'"""
 _VER = f"""{_FIX},
 fixed AS (SELECT change_id, count(*) AS nf, count(*) FILTER (change_id <> 'c4') AS ok FROM fix
           GROUP BY 1),
@@ -554,6 +601,10 @@ SELECT catalog, position AS place, ds AS dataset_name, col AS "column",
   CASE WHEN nm > 0 THEN ba END AS breaks_after, bucket,
   CASE WHEN bucket <> 'verified_safe' THEN '' WHEN nm > 0 THEN 'verified_patch'
     ELSE 'no_references' END AS basis FROM ledger"""
+SQL["sweep_in_order"] = f"""WITH {_SWEEP}
+SELECT row_number() OVER (ORDER BY CASE bucket WHEN 'landmine' THEN 0 WHEN 'unassessed' THEN 1
+    WHEN 'needs_review' THEN 2 WHEN 'verified_safe' THEN 3 ELSE 4 END, catalog, position) AS position,
+  bucket, catalog, 'drop sales.' || ds || '.' || col AS change FROM ledger"""
 SQL["sweep_totals"] = f"""WITH {_SWEEP},
 t AS (SELECT catalog, count(*) AS columns_assessed, count(DISTINCT ds) AS datasets_scanned,
         count(*) FILTER (unknown = 0) AS fully_assessed,

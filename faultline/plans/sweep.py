@@ -148,10 +148,6 @@ def classify(rows: DataFrame) -> DataFrame:
         "breaks_before", "breaks_after", "bucket", basis.alias("basis"), "error")
 
 
-def ledger_order() -> list:
-    return [X.rank_in("bucket", M.BUCKETS), F.col("catalog"), F.col("place")]
-
-
 def bucket_totals(ledger: DataFrame) -> DataFrame:
     """Every bucket of every catalog, zero when empty."""
     grid = ledger.select("catalog").distinct().select(

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import workload as WL
 from .functions import expr as X
 from .operators import (drift as D, evidence as E, fixes as FX, graph as G, impact as I,
-                        infer as IN, profile as P, qlog as Q, verify as V, writeback as WB)
+                        infer as IN, order as O, profile as P, qlog as Q, verify as V, writeback as WB)
 from .plans import approval as AP, loop as L, migration as MG, sweep as S
-from .scale import cut_lineage
-from .sources import entities as EN
+from .scale import cut_lineage, shared_path
+from .sources import catalog as C, entities as EN, sinks as SK
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -64,6 +65,41 @@ def drift_by_segment(spark, sf):
     return _rounded(D.distribution_drift(_segment_values(spark, sf), ["segment", "feature"]))
 
 
+@query
+def drift_by_psi(spark, sf):
+    """Features of each segment kind by falling PSI."""
+    d = D.distribution_drift(_segment_values(spark, sf), ["segment", "feature"])
+    return O.by_psi(_rounded(d), ["feature"], "segment").select("feature", "position", "segment", "psi")
+
+
+@query
+def drift_against_snapshot(spark, sf):
+    """A stored baseline of four features against current rows that have three of them, and a new one."""
+    values = _line_values(spark, sf)
+    base = values.where("side = 'baseline'").select("feature", "v")
+    path = shared_path(spark, "snapshot")
+    snap = SK.Snapshot(spark, path.rsplit("/", 1)[-1].replace("-", "_"), path, 8).write(base)
+    now = values.where("side = 'current' AND feature <> 'l_tax'").select("feature", "v")
+    new = now.where("feature = 'l_quantity'").withColumn("feature", F.lit("l_new"))
+    return _rounded(D.against_snapshot(snap.counts(), now.unionByName(new)))
+
+
+@query
+def baseline_tables(spark, sf):
+    """A baseline snapshot written and one feature of its sample read back."""
+    e = WL.table(spark, sf, "events").select(F.col("event_type").alias("feature"),
+                                             F.col("value").alias("v"), "event_id")
+    path = shared_path(spark, "baseline")
+    line = WL.table(spark, sf, "lineitem").select(*LINE_FEATURES)
+    SK.write_baseline(P.feature_profile(line, LINE_FEATURES), P.baseline_sample(e, "event_id", k=300),
+                      C.schema_table(line, "m", "baseline"), path)
+    back = SK.read_baseline_tables(spark, path)
+    sample = back["sample"].where("feature = 'click'").groupBy("feature").agg(
+        F.count("*").alias("n"), F.round(F.sum("v"), 4).alias("total"))
+    return back["schema"].join(back["features"], F.col("column") == F.col("feature")).select(
+        "feature", "n", F.round("mean", 4).alias("total")).unionByName(sample)
+
+
 @query
 def drift_bin_shares(spark, sf):
     rows = D.share_rows(D.bin_shares(_line_values(spark, sf)))
@@ -171,6 +207,14 @@ def drift_flags(spark, sf):
     return flags.select("entity", "aspect", "key", "value")
 
 
+@query
+def events_in_order(spark, sf):
+    """Kinds of event of each user in the order they first occur."""
+    e = WL.table(spark, sf, "events").select("user_id", "event_type", "event_id")
+    return O.first_occurrences(e, ["user_id"], "event_type", "event_id").select(
+        "user_id", "position", "event_type", "first", "times")
+
+
 # ---------------------------------------------------------------- health
 def _evidence(spark, sf) -> DataFrame:
     return WL.evidence(spark, sf)
@@ -191,8 +235,13 @@ def asset_investigation(spark, sf):
 @query
 def asset_health(spark, sf):
     d = E.health(E.investigate(_evidence(spark, sf), keywords=WL.EVIDENCE_KEYWORDS))
-    return d.select("urn", "status", _text("reasons")).orderBy(*[
-        X.rank_in("status", ("CRITICAL", "NEEDS_REVIEW", "FORGOTTEN", "HEALTHY")), "urn"])
+    return d.select("urn", "status", _text("reasons"))
+
+
+@query
+def asset_leaderboard(spark, sf):
+    d = E.health(E.investigate(_evidence(spark, sf), keywords=WL.EVIDENCE_KEYWORDS))
+    return O.leaderboard(d.select("pos", "urn", "status")).select("position", "urn", "status")
 
 
 @query
@@ -286,6 +335,45 @@ def fragility_top(spark, sf):
                                               "score")
 
 
+@query
+def impacted_in_order(spark, sf):
+    cat, ix = _indexed(spark, sf)
+    d = O.impacted(I.impact_verdicts(WL.changes(spark), cat, ix))
+    return d.select("change_id", "position", "query_id", "verdict", "runs")
+
+
+@query
+def write_lineage(spark, sf):
+    """What the statements of a log that writes read, as edges between datasets."""
+    cat = WL.catalog(spark, sf)
+    return I.write_edges(WL.writes(spark, sf), cat)
+
+
+@query
+def write_usage(spark, sf):
+    cat = replace(WL.catalog(spark, sf), queries=WL.writes(spark, sf))
+    ix = I.build_index(cat)
+    return ix.usage.join(ix.cells, ["catalog", "shape_id"]).groupBy(
+        "catalog", "ds_urn", "column", "usage", "confidence",
+        F.array_join("clauses", "|").alias("clauses"), "star").agg(
+        F.sum("n").alias("statements"), F.sum("runs").alias("runs"))
+
+
+@query
+def impact_report(spark, sf):
+    """The nested report written as JSON, a folder per catalog, and one catalog read back."""
+    cat, ix = _indexed(spark, sf)
+    ch = WL.changes(spark)
+    report = cut_lineage(SK.nested_impact(I.impact_summary(ch, cat, ix)))
+    path = shared_path(spark, "report")
+    SK.write_table(report, path, "json", "catalog", sort_by=["change_id"])
+    # a second write of one catalog leaves the other in place
+    SK.write_table(report.where("catalog = 'west'"), path, "json", "catalog", sort_by=["change_id"])
+    back = spark.read.schema(report.schema).json(path).where("catalog = 'west'")
+    return back.select("catalog", "change_id", "change", "target_urn", "counts.breaks", "counts.safe",
+                       "counts.unknown", "risk.score", "risk.level", "risk.coverage", _text("teams_impacted"))
+
+
 @query
 def most_referenced_columns(spark, sf):
     return I.most_referenced_columns(WL.catalog(spark, sf))
@@ -363,6 +451,14 @@ def verify_transitions(spark, sf):
                                           "regressed", "improved")
 
 
+@query
+def transitions_in_order(spark, sf):
+    cat, ix = _indexed(spark, sf)
+    target, fix = _target_and_fixes(spark, sf, cat, ix)
+    _, old, new = V.edited_consumers(target, _patch(fix), cat, ix)
+    return O.transitions(V.transitions(old, new)).select("change_id", "position", "consumer", "before", "after")
+
+
 @query
 def definition_diff(spark, sf):
     m = WL.models(spark, sf).withColumn("k", F.regexp_extract("path", r"m(\d+)", 1).cast("int"))
@@ -393,6 +489,11 @@ def sweep_ledger(spark, sf):
                     "unknown", "fixes", "blocking", "verdict", "breaks_after", "bucket", "basis")
 
 
+@query
+def sweep_in_order(spark, sf):
+    return O.ledger(_ledger(spark, sf)).select("position", "bucket", "catalog", "change")
+
+
 @query
 def sweep_totals(spark, sf):
     return S.sweep_totals(cut_lineage(_ledger(spark, sf)))

@@ -30,10 +30,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def stored_table(df: DataFrame) -> DataFrame:
     """`df` written by column in the shared checkpoint folder, so that readers take what they need."""
-    ensure_checkpoint_dir(df.sparkSession)
-    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -71,9 +76,7 @@ class Appended:
     """A table in the shared checkpoint folder that rounds add rows to, each row written once."""
 
     def __init__(self, spark: SparkSession, name: str):
-        ensure_checkpoint_dir(spark)
-        self.spark = spark
-        self.path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+        self.spark, self.path = spark, shared_path(spark, name)
 
     def append(self, rows: DataFrame) -> None:
         rows.write.mode("append").parquet(self.path)

@@ -44,6 +44,16 @@ MODELS = (
     "WHERE nationkey >= 0\n",
     "SELECT\n    orderkey,\n    custkey\nFROM sales.orders\n",
 )
+# Statements that write, by event id modulo 5; {id} becomes the event id.
+WRITES = (
+    "INSERT INTO sales.orders (orderkey, custkey) SELECT l.orderkey, {id} FROM sales.lineitem l",
+    "INSERT OVERWRITE TABLE sales.customer SELECT * FROM sales.supplier WHERE suppkey > {id}",
+    "CREATE OR REPLACE VIEW mart.daily AS SELECT o.orderdate, SUM(l.tax) AS tax FROM sales.orders o"
+    " JOIN sales.lineitem l ON o.orderkey = l.orderkey WHERE o.custkey <> {id} GROUP BY o.orderdate",
+    "CREATE TABLE mart.big AS WITH b AS (SELECT o.custkey FROM sales.orders o WHERE o.totalprice >"
+    " {id}) SELECT c.name FROM b JOIN sales.customer c ON b.custkey = c.custkey",
+    "INSERT INTO sales.supplier VALUES ({id})",
+)
 TABLES = ("orders", "customer", "lineitem", "supplier")
 CATALOGS = ("east", "west")
 CHANGES = (
@@ -95,6 +105,13 @@ def log(spark: SparkSession, sf: str) -> DataFrame:
     return events.unionByName(models)
 
 
+def writes(spark: SparkSession, sf: str) -> DataFrame:
+    """The log's events as statements that write."""
+    i = F.col("q_pos")
+    log_ = log(spark, sf).where(F.col("team").isNull() | (F.col("team") != "models"))
+    return log_.withColumn("sql", F.replace(_pick(WRITES, i % 5), F.lit("{id}"), i.cast("string")))
+
+
 def assets(spark: SparkSession, sf: str) -> DataFrame:
     s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"))
     key = F.col("k").cast("string")

@@ -90,6 +90,37 @@ CLOSED = [
     ("SELECT id, (name) FROM a.b, ONLY (sales.t)", "name", "UNKNOWN"),
     ("SELECT id FROM sales.t, unnest(tags) u", "id", "BREAKS"),
     ("SELECT tags[1] FROM sales.t", "id", "SAFE"),
+    ("SELECT id FROM a.b NATURAL JOIN sales.t", "name", "UNKNOWN"),
+    ("SELECT id FROM a.b UNION ALL TABLE sales.t", "name", "UNKNOWN"),
+    ("SELECT id FROM a.b WHERE EXISTS (TABLE sales.t)", "name", "UNKNOWN"),
+    ("SELECT id FROM a.b WHERE id IN sales.t", "name", "UNKNOWN"),
+    ("SELECT id FROM a.b WHERE id IN (SELECT name FROM sales.t)", "name", "BREAKS"),
+    ("SELECT x.name.first FROM sales.t x", "name", "BREAKS"),
+    ("SELECT name.first FROM sales.t", "name", "BREAKS"),
+    ("SELECT sales.t.name.first FROM sales.t", "name", "BREAKS"),
+    ("SELECT x.id FROM sales.t x", "name", "SAFE"),
+    ("SELECT sales.t.id FROM sales.t", "name", "SAFE"),
+    ("SELECT t FROM sales.t t", "name", "DEGRADES"),
+    ("SELECT row_to_json(t) FROM sales.t t", "name", "DEGRADES"),
+    ("SELECT id FROM sales.t WHERE t IS NOT NULL", "name", "DEGRADES"),
+    ('SELECT "T" FROM sales.t', "name", "DEGRADES"),
+    ("SELECT $3 FROM sales.t", "name", "UNKNOWN"),
+    ("SELECT COLUMNS('na.*') FROM sales.t", "name", "UNKNOWN"),
+    ('SELECT U&"n\\0061me" FROM sales.t', "name", "UNKNOWN"),
+    ("INSERT INTO mart.x SELECT name FROM sales.t", "name", "BREAKS"),
+    ("INSERT INTO mart.x SELECT id FROM sales.t", "name", "SAFE"),
+    ("INSERT OVERWRITE TABLE mart.x (SELECT * FROM sales.t)", "name", "DEGRADES"),
+    ("INSERT INTO sales.t SELECT a, b FROM a.b", "name", "DEGRADES"),
+    ("INSERT INTO sales.t (id, name) SELECT a, b FROM a.b", "name", "BREAKS"),
+    ('INSERT INTO "sales"."t" ("name") WITH q AS (SELECT a FROM a.b) SELECT a FROM q', "name", "BREAKS"),
+    ("INSERT INTO sales.t (id) SELECT a FROM a.b", "name", "SAFE"),
+    ("INSERT INTO sales.t (id) VALUES (1)", "name", "UNKNOWN"),
+    ("INSERT INTO mart.x SELECT id FROM a.b ON CONFLICT DO NOTHING", "name", "UNKNOWN"),
+    ("CREATE OR REPLACE VIEW mart.v AS SELECT name FROM sales.t", "name", "BREAKS"),
+    ("create table if not exists mart.v (k, n) as (select id, name from sales.t)", "name", "BREAKS"),
+    ("CREATE TABLE sales.t AS SELECT a AS name FROM a.b", "name", "SAFE"),
+    ("CREATE TABLE mart.v USING parquet AS SELECT id FROM sales.t", "name", "UNKNOWN"),
+    ("CREATE TABLE sales.t (name INT)", "name", "UNKNOWN"),
 ]
 
 
@@ -107,6 +138,17 @@ def test_what_is_not_read_is_not_safe(spark):
     assert [got[f"q{i}", c] for i, (_, c, _) in enumerate(CLOSED)] == [v for _, _, v in CLOSED]
 
 
+def test_write_edges(spark):
+    tables = {("c", "sales.t"): {"id": "INT"}, ("c", "sales.u"): {"id": "INT"}}
+    log = ["INSERT INTO sales.u SELECT id FROM sales.t WHERE id > 1", "INSERT INTO sales.u SELECT id FROM sales.t WHERE id > 2",
+           "CREATE VIEW Mart.V AS WITH t2 AS (SELECT id FROM sales.t) SELECT u.id FROM sales.u u JOIN t2 ON u.id = t2.id",
+           "SELECT id FROM sales.t", "INSERT INTO sales.u VALUES (1)", "CREATE TABLE x AS SELECT a FROM elsewhere.y"]
+    cat = make_catalog(spark, tables, [("c", f"q{i}", s, "t", i + 1) for i, s in enumerate(log)])
+    got = {tuple(r) for r in I.write_edges(cat.queries, cat).collect()}
+    assert got == {("c", "urn:c:sales.t", "urn:c:sales.u", 2, 3), ("c", "urn:c:sales.t", "mart.v", 1, 3),
+                   ("c", "urn:c:sales.u", "mart.v", 1, 3)}
+
+
 def test_constants_share_a_shape(spark):
     df = spark.createDataFrame([("SELECT a FROM t WHERE x = 1 -- one",),
                                 ("SELECT a FROM t  WHERE x = 25",),
