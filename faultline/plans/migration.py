@@ -94,18 +94,3 @@ def teams_to_involve(steps: DataFrame) -> DataFrame:
         F.min(F.struct("step", "i")).alias("at"))
     return first.groupBy("change_id").agg(F.transform(
         F.array_sort(F.collect_list(F.struct("at", "team"))), lambda x: x["team"]).alias("teams"))
-
-
-def rollback_steps(changes: DataFrame, fixes: DataFrame) -> DataFrame:
-    """What undoes a change: the schema statement, then one row per fixed file."""
-    tick = "`"
-    undo = (F.when(F.col("op") == "rename", F.concat(
-        F.lit("Revert the schema change: rename `"), F.col("new_name"), F.lit("` back to `"),
-        F.col("column"), F.lit("` on `"), F.col("dataset"), F.lit("`.")))
-        .otherwise(F.concat(F.lit("Revert the schema change: re-add column `"), F.col("column"),
-                            F.lit("` to `"), F.col("dataset"), F.lit("`."))))
-    head = changes.select("change_id", F.lit(1).alias("part"), undo.alias("text"))
-    files = fixes.select("change_id", F.lit(2).alias("part"), F.concat(
-        F.lit(f"Revert {tick}"), F.col("path"), F.lit(f"{tick} to its version before the change."))
-        .alias("text"))
-    return head.unionByName(files)

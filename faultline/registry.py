@@ -339,7 +339,7 @@ def fragility_top(spark, sf):
 def impacted_in_order(spark, sf):
     cat, ix = _indexed(spark, sf)
     d = O.impacted(I.impact_verdicts(WL.changes(spark), cat, ix))
-    return d.select("change_id", "position", "query_id", "verdict", "runs")
+    return d.select("change_id", "position", "query_id", "verdict", "runs", X.verdict_color("verdict").alias("color"))
 
 
 @query
@@ -442,6 +442,21 @@ def verify_status(spark, sf):
                     "regressed", "manual_work", "residual")
 
 
+@query
+def verify_deltas(spark, sf):
+    """What the edits of each change do to its counts."""
+    cat, ix = _indexed(spark, sf)
+    target, fix = _target_and_fixes(spark, sf, cat, ix)
+    d = cut_lineage(V.verify(target, _patch(fix), cat, ix))
+
+    def side(c: str) -> DataFrame:
+        pairs = [x for k in ("breaks", "degrades", "runs_impacted", "teams")
+                 for x in (F.lit(k), F.col(c)[k].cast("long"))]
+        return d.select("change_id", F.explode(F.create_map(*pairs)).alias("name", "value"))
+
+    return V.count_deltas(side("before"), side("after"))
+
+
 @query
 def verify_transitions(spark, sf):
     cat, ix = _indexed(spark, sf)

@@ -64,12 +64,6 @@ def flatten_entities(entities: DataFrame, pos: str = "pos", prefix: str = "view"
         F.length(sql).alias("sql_chars"))
 
 
-def flattened_queries(consumers: DataFrame) -> DataFrame:
-    return consumers.where(F.col("sql").isNotNull()).select(
-        F.col("pos").alias("q_pos"), F.col("defining_query_id").alias("query_id"), "sql",
-        "platform", F.lit(None).cast("string").alias("team"), F.lit(1).alias("runs"))
-
-
 def dataset_names(entities: DataFrame) -> DataFrame:
     """Target entities to name and sql_name, at most three dotted segments."""
     qualified = F.nullif("e.properties.qualifiedName", F.lit(""))

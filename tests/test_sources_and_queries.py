@@ -5,6 +5,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from faultline.functions import expr as X
 from faultline.operators import impact as I, infer
 from faultline.sources import catalog as C, sinks
 from helpers import by
@@ -79,6 +80,20 @@ def test_serving_rows_keep_their_values(spark, tmp_path):
         ["1.0", "2024-01-02 03:04:05", "7"], ["None", "None", "None"], ["2.5", "2024-01-03 00:00:00", "x"]]
 
 
+def test_evidence_and_change_files(spark, tmp_path):
+    (tmp_path / "e.json").write_text(json.dumps([{"urn": "u1", "name": "n", "query_count": 3}, {"urn": "u2", "schema_fields": ["a"]}]))
+    e = by(C.read_evidence(spark, str(tmp_path / "e.json")), "urn")
+    assert (e["u1"].query_count, e["u1"].downstream_count, e["u1"].schema_fields) == (3, 0, [])
+    assert e["u2"].schema_fields == ["a"] and e["u1"].pos < e["u2"].pos
+    run = {"name": "r", "catalog": "c", "change": "drop a.b", "require_review": True}
+    (tmp_path / "list.json").write_text(json.dumps([run, {**run, "name": "s", "new_name": "x"}]))
+    (tmp_path / "runs.json").write_text(json.dumps({"runs": [{**run, "name": "t"}]}))
+    got = by(C.read_changes(spark, [str(tmp_path / f) for f in ("list.json", "runs.json")]), "name")
+    assert set(got) == {"r", "s", "t"} and got["s"].new_name == "x" and got["t"].require_review
+    kinds = spark.createDataFrame([("number(10,2)",), ("VARCHAR",), ("bigint",), ("Double",)], "t string")
+    assert [r[0] for r in kinds.select(X.native_is_number("t")).collect()] == [True, False, False, True]
+
+
 def test_models_below_a_folder_with_a_quote(spark, tmp_path):
     (tmp_path / "it's" / "x").mkdir(parents=True)
     (tmp_path / "it's" / "x" / "a.sql").write_text("SELECT 1")
