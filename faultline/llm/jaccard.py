@@ -35,7 +35,7 @@ COMMON = 1 << 16
 #: Sets above this size never list subsets, whatever the cost model says.
 MOST_SMALL = 14
 #: Texts and shingles of a block whose sets are compared, and texts of one whose bitmaps are.
-BLOCK, SHINGLES, BITMAP_BLOCK = 512, 1 << 19, 1024
+BLOCK, SHINGLES, BITMAP_BLOCK = 512, 1 << 20, 1024
 #: Bits of a block's number below its level.
 BLOCK_BITS = 24
 #: Shingles a task counts before it passes them on.
