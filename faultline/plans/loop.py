@@ -47,8 +47,9 @@ def run_loop(runs: DataFrame, catalog: I.Catalog, index: I.Index,
     else:
         target = cut_lineage(I.resolve_changes(changes.drop("require_review"), catalog))
         hit = cut_lineage(S.impacted_assets(target, catalog, index))
-        n = S.fixes_for(target, hit, models, catalog).where("changed").groupBy(
-            "change_id").agg(F.count("*").alias("fixes"))
+        # cut before filtering: a pushed-down filter would repeat the edit and its scan inside itself
+        fix = cut_lineage(S.fixes_for(target, hit, models, catalog).select("change_id", "changed"))
+        n = fix.where("changed").groupBy("change_id").agg(F.count("*").alias("fixes"))
         out = out.join(n, "change_id", "left")
     zero = ["fixes", "total", "written", *WB.OUTCOMES]
     return out.na.fill(0, zero)
