@@ -29,7 +29,7 @@ def run_loop(runs: DataFrame, catalog: I.Catalog, index: I.Index,
     changes = parsed.where(F.col("error").isNull()).select(
         "change_id", "catalog", "dataset", "column", "op", "new_name", "require_review")
     summary = cut_lineage(I.impact_summary(changes.drop("require_review"), catalog, index))
-    verdicts = I.impact_verdicts(changes.drop("require_review"), catalog, index)
+    verdicts = I.impact_verdicts(changes.drop("require_review"), catalog, index, assets_only=True)
     review = changes.select("change_id", "catalog", "require_review")
     if catalog.catalogs is not None:
         own = catalog.catalogs.select("catalog", F.col("require_review").alias("default"))
