@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..scale import Appended, cut_lineage, number_rows
+from ..scale import Appended, cut_lineage, number_rows, stored_table
 
 
 def follow(steps: DataFrame, keys: Sequence[str], state: Sequence[str],
@@ -199,7 +199,8 @@ def plan_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             through("path").alias("last"))
         if partial is not None:
             met = met.unionByName(partial)
-        counts = cut_lineage(met.groupBy("change_id", "down", "own", "need").agg(
+        # stored, as a checkpoint hands its constraints on and they grow from round to round
+        counts = stored_table(met.groupBy("change_id", "down", "own", "need").agg(
             F.sum("got").alias("got"), F.max("last").alias("last")))
         partial = counts.where(F.col("got") < F.col("need"))
         fresh = counts.where(F.col("got") == F.col("need")).select(

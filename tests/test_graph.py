@@ -120,3 +120,18 @@ def test_plan_order_of_ladders_and_cycles(spark):
     assert placed(spark, changes, edges) == {c: kahn(n, set(edges)) for c, n in changes.items()}
     assert placed(spark, {"c": {"a": (1, "b"), "b": (0, "z")}}, []) == {"c": ["b", "a"]}
     assert placed(spark, {"c": {"a": (1, "b"), "b": (0, "z")}}, [("a", "b"), ("b", "a")]) == {"c": ["b", "a"]}
+
+
+def test_rounds_of_a_plan_do_not_carry_constraints_on(spark, monkeypatch):
+    """A checkpoint keeps the constraints of its plan, so that each round took longer to plan."""
+    n = 5
+    nodes = [("c", f"{side}{i}", 0, f"{side}{i}") for i in range(n) for side in "ab"]
+    edges = [(f"{up}{i}", f"{down}{i + 1}") for i in range(n - 1) for up in "ab" for down in "ab"]
+    kept = []
+    real = G.cut_lineage
+    monkeypatch.setattr(G, "cut_lineage", lambda df: kept.append(df.columns) or real(df))
+    order = G.with_step(G.plan_order(
+        spark.createDataFrame(nodes, "change_id string, key string, tier int, name string"),
+        spark.createDataFrame(edges, "up string, down string")))
+    assert not [c for c in kept if "got" in c]
+    assert [r.key for r in order.orderBy("step").collect()] == [f"{side}{i}" for i in range(n) for side in "ab"]
