@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from faultline.llm import text as T
-from faultline.llm.frames import components, having_ids, stored, table, worker_cache
+from faultline.llm.frames import components, having_ids, maybe_in, stored, table, worker_cache
 
 _U = np.uint64
 #: Lists longer than this are compared as a group, not pair by pair.
@@ -36,6 +36,10 @@ COMMON = 1 << 16
 MOST_SMALL = 14
 #: Texts and shingles of a block whose sets are compared, and texts of one whose bitmaps are.
 BLOCK, SHINGLES, BITMAP_BLOCK = 512, 1 << 20, 1024
+#: Shingles of such a block of bitmaps, and the least slots of a bitmap.
+BITMAP_SHINGLES, SLOTS = 1 << 25, 1 << 11
+#: Bytes of text whose shingles are made at once.
+AT_ONCE = 1 << 20
 #: Bits of a block's number below its level.
 BLOCK_BITS = 24
 #: Shingles a task counts before it passes them on.
@@ -78,7 +82,7 @@ def shapes(docs: DataFrame, k: int, percent: int) -> DataFrame:
         for batch in batches:
             data, at = T.utf8(batch.column(1))
             size, one, two, seen = [], [], [], []
-            for lo, hi in T.chunks(at, 4 << 20):
+            for lo, hi in T.chunks(at, AT_ONCE):
                 for s in T.shingle_sets(data[at[lo]:at[hi]], at[lo:hi + 1] - at[lo], k):
                     size.append(len(s))
                     one.append(int((T.mix(s).sum(dtype=np.uint64)).view(np.int64)))
@@ -125,7 +129,7 @@ def postings(docs: DataFrame, k: int, percent: int, common: np.ndarray, small: i
         for batch in batches:
             ids = batch.column(0).to_pylist()
             data, at = T.utf8(batch.column(1))
-            for lo, hi in T.chunks(at, 4 << 20):
+            for lo, hi in T.chunks(at, AT_ONCE):
                 out = []
                 sets = T.shingle_sets(data[at[lo]:at[hi]], at[lo:hi + 1] - at[lo], k)
                 for doc, s in zip(ids[lo:hi], sets):
@@ -170,10 +174,23 @@ def _arrays(parts) -> pa.Array:
 def parities(s: np.ndarray) -> bytes:
     """Per slot, whether an odd number of shingles falls into it.
 
-    Two sets differ in at least as many shingles as their bitmaps differ in bits.
+    Two sets differ in at least as many shingles as their bitmaps differ in bits.  There are as many
+    slots as shingles at least, a power of two, so large sets are told apart too.
     """
-    slot = (T.mix(s ^ _U(0xD6E8FEB86659FD93)) >> _U(64 - 11)).astype(np.int64)
-    return np.packbits(np.bincount(slot, minlength=1 << 11) & 1).tobytes()
+    slots = max(SLOTS, 1 << int(len(s) - 1).bit_length())
+    slot = (T.mix(s ^ _U(0xD6E8FEB86659FD93)) & _U(slots - 1)).astype(np.int64)
+    return np.packbits(np.bincount(slot, minlength=slots) & 1).tobytes()
+
+
+def _folded(bitmaps, width: int) -> np.ndarray:
+    """Bitmaps as rows of `width` 64-bit words: wider ones as those of as many slots, half on half."""
+    out = np.empty((len(bitmaps), width), np.uint64)
+    for row, b in zip(out, bitmaps):
+        b = np.frombuffer(b, np.uint64)
+        while len(b) > width:
+            b = b[:len(b) // 2] ^ b[len(b) // 2:]
+        row[:] = b
+    return out
 
 
 def _lists(percent: int):
@@ -343,17 +360,25 @@ def _similar(percent: int):
     def edges(held):
         ids = [r[0] for r in held]
         side, n = (np.array([r[c] for r in held], np.int64) for c in (1, 2))
-        words = np.frombuffer(b"".join(r[3] for r in held), np.uint64).reshape(len(held), -1)
+        wide = np.array([len(r[3]) // 8 for r in held])
+        # per width, the place and the words of the bitmaps that are as wide or wider
+        grids = {w: (np.cumsum(wide >= w) - 1, _folded([r[3] for r in held if len(r[3]) // 8 >= w], w))
+                 for w in np.unique(wide).tolist()}
         one = side.min() == side.max()
         xs, ys = [], []
         for x in range(len(held)):
             y = np.arange(x + 1, len(held))
             y = y[(n[y] * 100 >= percent * n[x]) & (n[x] * 100 >= percent * n[y]) & (one | (side[y] != side[x]))]
-            apart = np.bitwise_count(words[y] ^ words[x]).sum(axis=1, dtype=np.int64)
-            least = -(-percent * (n[x] + n[y]) // (100 + percent))
-            y = y[apart <= n[x] + n[y] - 2 * least]
-            xs.append(np.full(len(y), x))
-            ys.append(y)
+            width = np.minimum(wide[y], wide[x])
+            for w in np.unique(width).tolist():
+                z, (place, words) = y[width == w], grids[w]
+                apart = np.bitwise_count(words[place[z]] ^ words[place[x]]).sum(axis=1, dtype=np.int64)
+                least = -(-percent * (n[x] + n[z]) // (100 + percent))
+                z = z[apart <= n[x] + n[z] - 2 * least]
+                xs.append(np.full(len(z), x))
+                ys.append(z)
+        if not xs:
+            return ()
         return _forest(ids, np.concatenate(xs), np.concatenate(ys))
 
     def run(batches):
@@ -377,9 +402,13 @@ def _bounded(percent: int):
     def run(batches):
         for batch in batches:
             n, m = (batch.column(c).to_numpy().astype(np.int64) for c in (2, 3))
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1)
-                    for c in (4, 5))
-            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            x, y = (batch.column(c).to_pylist() for c in (4, 5))
+            width = np.array([min(len(a), len(b)) // 8 for a, b in zip(x, y)], np.int64)
+            apart = np.zeros(len(n), np.int64)
+            for w in np.unique(width).tolist():
+                at = np.flatnonzero(width == w)
+                differ = _folded([x[k] for k in at], w) ^ _folded([y[k] for k in at], w)
+                apart[at] = np.bitwise_count(differ).sum(axis=1, dtype=np.int64)
             least = -(-percent * (n + m) // (100 + percent))
             yield batch.filter(pa.array(apart <= n + m - 2 * least)).select([0, 1])
 
@@ -415,7 +444,7 @@ def _packed(docs: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             data, at = T.utf8(batch.column(1))
             packed = []
-            for lo, hi in T.chunks(at, 4 << 20):
+            for lo, hi in T.chunks(at, AT_ONCE):
                 packed += [_pack(s) for s in T.shingle_sets(data[at[lo]:at[hi]], at[lo:hi + 1] - at[lo], k)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())],
                                              ["doc_id", "packed"])
@@ -438,9 +467,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     sizes = {r[0]: r[1] for r in classes.where(F.col("n") <= MOST_SMALL).groupBy("n").count().collect()}
     mass = hits.agg(F.sum(F.col("hits") * F.col("hits")), F.sum("hits")).first()
     small = boundary(sizes, float(mass[0] or 1) / float(mass[1] or 1), percent)
-    reps = stored(classes.select(F.col("rep").alias("_rep")).distinct())
+    # texts that stand for no class are left out; only those that may be such are shuffled for it
+    gone = shape.where("n > 0 AND doc_id IS NOT NULL").select("doc_id").distinct().join(
+        classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_anti")
+    gone = stored(gone)
     rows = stored(postings(docs, k, percent, common, small))
-    mine = rows.join(reps, F.col("doc_id") == F.col("_rep"), "left_semi")
+    flagged = maybe_in(rows, "doc_id", gone, "_maybe")
+    mine = flagged.where("NOT _maybe").drop("_maybe").unionByName(
+        flagged.where("_maybe").drop("_maybe").join(gone, "doc_id", "left_anti"))
     # lists of shingles that are not known as common
     short = (mine.select("doc_id", "n", F.posexplode("rare").alias("place", "key"))
              .select("key", "doc_id", "n", "place").repartition("key")
@@ -462,7 +496,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     group = stored(components(stars).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "g"))
     bits = rows.select("doc_id", "n", "bits")
     # a group that bitmaps take apart is compared as the groups that remain
-    near = _blocks(group.join(bits, "doc_id"), percent, BITMAP_BLOCK, 1 << 62, "n", "n", "bits")
+    near = _blocks(group.join(bits, "doc_id"), percent, BITMAP_BLOCK, BITMAP_SHINGLES, "n", "n", "bits")
     group = stored(components(stored(near.mapInArrow(_similar(percent), "a long, b long")))
                    .withColumnRenamed("node", "doc_id").withColumnRenamed("component", "g"))
     # pairs of short lists whose bitmaps do not rule out a link

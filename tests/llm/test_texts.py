@@ -6,9 +6,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from faultline.llm import fingerprints, jaccard, packing, queries, suffix
+from faultline.llm import fingerprints, frames, jaccard, packing, queries, suffix
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -179,6 +181,37 @@ def test_jaccard_small_and_crowded_sets(spark, monkeypatch):
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(docs, k, percent)
 
 
+def test_jaccard_large_sets_of_different_sizes(spark):
+    """Bitmaps of several widths meet: sets of about 2,000 and 4,000 shingles, crowded and not."""
+    rng = np.random.default_rng(5)
+    docs = []
+    for name, size, count in (("a", 2300, 60), ("b", 4500, 10)):
+        for _ in range(count):
+            words = [f"{name}{j}" for j in range(int(size * rng.uniform(0.6, 1)))]
+            for at in rng.integers(len(words), size=int(rng.integers(0, 600))):
+                words[at] = f"x{rng.integers(10**9)}"
+            docs.append((len(docs), " ".join(words)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = jaccard.jaccard_components(frame, 1, 80).collect()
+    want = brute_components(docs, 1, 80)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    assert 1 < len({c for _, c in want.values()}) < len(docs)
+
+
+def test_bitmaps_tell_large_sets_apart():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(1 << 63, size=n, dtype=np.uint64)) for n in (300, 2500, 9000, 9000)]
+    sets.append(sets[2][:8500])
+    bits = [jaccard.parities(s) for s in sets]
+    pairs = [(i, j) for i in range(5) for j in range(i)]
+    n = [len(s) for s in sets]
+    batch = pa.RecordBatch.from_pydict({
+        "a": [i for i, _ in pairs], "b": [j for _, j in pairs], "n_a": [n[i] for i, _ in pairs],
+        "n_b": [n[j] for _, j in pairs], "x": [bits[i] for i, _ in pairs], "y": [bits[j] for _, j in pairs]})
+    left = [tuple(r.values()) for out in jaccard._bounded(80)([batch]) for r in out.to_pylist()]
+    assert left == [(4, 2)]
+
+
 def test_jaccard_odd(spark, odd):
     got = jaccard.jaccard_components(odd, 4, 85).collect()
     assert len(got) == odd.count()
@@ -244,3 +277,16 @@ def test_suffix_dedup_odd(spark, odd):
     assert suffix.suffix_dedup(odd.limit(0)).collect() == []
     left = suffix.without_repeats(odd)
     assert left.columns == odd.columns and {r.doc_id for r in left.collect()} == {1, 2, 3, 4, None, 5, 8, 9}
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    before = {k: spark.conf.get(k) for k in frames.SPARING}
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().shuffleManager().shuffleBlockResolver()
+    start = files.getStoredShuffles().size()
+    kept = frames.stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    edges = spark.createDataFrame([(1, 2), (2, 3), (5, 4)], "a long, b long")
+    parts = frames.stored(frames.components(edges))
+    assert files.getStoredShuffles().size() <= start
+    assert {k: spark.conf.get(k) for k in frames.SPARING} == before
+    assert sorted(map(tuple, parts.collect())) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)]
+    assert kept.count() == 7
