@@ -290,3 +290,12 @@ def test_stored_tables_leave_no_shuffle_files(spark):
     assert {k: spark.conf.get(k) for k in frames.SPARING} == before
     assert sorted(map(tuple, parts.collect())) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)]
     assert kept.count() == 7
+
+
+def test_workers_of_stored_tables_get_small_batches(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.nbytes], pa.int64())})
+
+    rows = spark.range(9000).coalesce(1).select(F.repeat(F.lit("x"), 2000).alias("text"))
+    assert max(n for n, in frames.stored(rows.mapInArrow(sizes, "n long")).collect()) < 10 << 20
