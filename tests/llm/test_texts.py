@@ -200,7 +200,7 @@ def test_jaccard_large_sets_of_different_sizes(spark):
 
 def test_bitmaps_tell_large_sets_apart():
     rng = np.random.default_rng(6)
-    sets = [np.unique(rng.integers(1 << 63, size=n, dtype=np.uint64)) for n in (300, 2500, 9000, 9000)]
+    sets = [np.unique(rng.integers(1 << 63, size=n, dtype=np.uint64)) for n in (2100, 2500, 9000, 9000)]
     sets.append(sets[2][:8500])
     bits = [jaccard.parities(s) for s in sets]
     pairs = [(i, j) for i in range(5) for j in range(i)]
