@@ -279,6 +279,28 @@ def test_suffix_dedup_odd(spark, odd):
     assert left.columns == odd.columns and {r.doc_id for r in left.collect()} == {1, 2, 3, 4, None, 5, 8, 9}
 
 
+def test_op6_gives_the_text_left(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    prose = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    passage, split = prose(450), prose(399)
+    docs = [(i, f"{prose(300)}{i}{passage}{i}{prose(200)}") for i in range(8)]
+    docs += [(i, prose(900)) for i in range(8, 16)] + [(16, None), (None, passage), (None, prose(500))]
+    # the first byte of both letters is the same
+    docs += [(17, f"{prose(90)}1{split}é"), (18, f"{prose(70)}2{split}è")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["op6_prefix_doubling"](spark, str(tmp_path))
+    assert as_rows(got) == brute_removed(docs, 400)
+    left = Counter((r.doc_id, r.text) for r in got.collect())
+    assert left == Counter((d, (t or "").replace(passage, "").split(split)[0]) for d, t in docs)
+    texts = {r.doc_id: r for r in suffix.suffix_dedup(frame).collect() if r.doc_id is not None}
+    for d, t in docs:
+        if d is not None:
+            raw, r = (t or "").encode(), texts[d]
+            kept = b"".join(raw[i:j] for i, j in zip([0, *r.cut_to], [*r.cut_from, len(raw)]))
+            assert hashlib.sha256(kept).hexdigest() == r.kept_sha256 and kept.decode("utf-8", "ignore") == r.kept
+
+
 def test_stored_tables_leave_no_shuffle_files(spark):
     before = {k: spark.conf.get(k) for k in frames.SPARING}
     files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().shuffleManager().shuffleBlockResolver()
