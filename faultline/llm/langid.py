@@ -16,9 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from faultline.llm.frames import table, worker_cache
+from faultline.llm import text as T
+from faultline.llm.frames import sparing, table, worker_cache
 
 DIMENSIONS = 1024
+#: Bytes of text that are read at once.
+AT_ONCE = 1 << 20
 UNIT = 4096  # a text's vector is rounded to this length, so sums do not depend on their order
 
 
@@ -68,11 +71,12 @@ def learn(docs: DataFrame) -> DataFrame:
         worker_cache("langid")
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for t, lang in zip(*(c.to_pylist() for c in batch.columns)):
-                v = vector(t)
-                if v is not None:
-                    sums.setdefault(lang, np.zeros(DIMENSIONS, np.int64))
-                    sums[lang] += np.rint(v * UNIT).astype(np.int64)
+            for lo, hi in T.portions(batch.column(0), AT_ONCE):
+                for t, lang in zip(*(c.to_pylist() for c in batch.slice(lo, hi - lo).columns)):
+                    v = vector(t)
+                    if v is not None:
+                        sums.setdefault(lang, np.zeros(DIMENSIONS, np.int64))
+                        sums[lang] += np.rint(v * UNIT).astype(np.int64)
         names = sorted(sums)
         yield pa.RecordBatch.from_arrays(
             [pa.array(names, pa.string()), pa.array([sums[k].tolist() for k in names],
@@ -87,7 +91,9 @@ def learn(docs: DataFrame) -> DataFrame:
 def prototypes(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and unit vectors; DIMENSIONS numbers per language reach the driver."""
     found: dict[str, np.ndarray] = {}
-    for lang, place, total in learn(docs).collect():
+    with sparing(docs.sparkSession):
+        totals = learn(docs).collect()
+    for lang, place, total in totals:
         found.setdefault(lang, np.zeros(DIMENSIONS))[place] = total
     names = sorted(found)
     rows = [found[k] / max(np.linalg.norm(found[k]), 1e-12) for k in names]
@@ -100,21 +106,26 @@ def predict(docs: DataFrame, names: list[str], vectors: np.ndarray, keep: list[s
                          StructField("score", DoubleType())])
 
     def run(batches):
+        worker_cache("langid")
         for batch in batches:
-            out, scores = [], []
-            for t in batch.column(batch.num_columns - 1).to_pylist():
-                v = vector(t) if t is not None and names else None
-                if v is None:
-                    out.append("und")
-                    scores.append(0.0)
-                    continue
-                cosines = vectors @ v
-                k = int(cosines.argmax())
-                out.append(names[k])
-                scores.append(float(min(1.0, max(0.0, cosines[k]))))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(out, pa.string()), pa.array(scores, pa.float64())],
-                [*keep, "lang_pred", "score"])
+            for lo, hi in T.portions(batch.column(batch.num_columns - 1), AT_ONCE):
+                yield part(batch.slice(lo, hi - lo))
+
+    def part(batch):
+        out, scores = [], []
+        for t in batch.column(batch.num_columns - 1).to_pylist():
+            v = vector(t) if t is not None and names else None
+            if v is None:
+                out.append("und")
+                scores.append(0.0)
+                continue
+            cosines = vectors @ v
+            k = int(cosines.argmax())
+            out.append(names[k])
+            scores.append(float(min(1.0, max(0.0, cosines[k]))))
+        return pa.RecordBatch.from_arrays(
+            [*batch.columns[:-1], pa.array(out, pa.string()), pa.array(scores, pa.float64())],
+            [*keep, "lang_pred", "score"])
 
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(
         run, fields)

@@ -24,7 +24,8 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from faultline.llm.frames import table, worker_cache
+from faultline.llm import text as T
+from faultline.llm.frames import sparing, table, worker_cache
 from faultline.scale import cut_lineage
 
 #: The tokenizer file's own split pattern, restated for the plain characters of `PLAIN`.
@@ -32,8 +33,10 @@ SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½
 #: Words of these characters alone keep their parts apart and lower-case one by one.
 PLAIN = re.compile(r"[\x21-\x7E¡-¬®-ÿ]+")
 CONTROLS = re.compile("[\x1c-\x1f]")
-#: Words kept with their ids by each Python worker; later words are looked up batch by batch.
-KEPT_WORDS = 1_000_000
+#: Words kept with their ids by each Python worker; later words are looked up as they come.
+KEPT_WORDS = 250_000
+#: Bytes of text that are tokenised at once.
+AT_ONCE = 1 << 20
 PIECES = ("doc_id long, piece int, start long, length long, ids_crc32 long, nth long, task int")
 
 
@@ -120,8 +123,8 @@ def tokenised(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: i
         task = TaskContext.get().partitionId()
         counts: dict[int, int] = {}
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                part = batch.slice(lo, 2000)
+            for lo, hi in T.portions(batch.column(1), AT_ONCE):
+                part = batch.slice(lo, hi - lo)
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 rows = []
                 for doc, ids in zip(part.column(0).to_pylist(), reader.ids(texts)):
@@ -263,7 +266,8 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
 def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     """Adds sequence_id and offset to the rows of `tokenised`."""
     spark = pieces.sparkSession
-    pieces = cut_lineage(pieces)
+    with sparing(spark):
+        pieces = cut_lineage(pieces)
     counts = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
     before = W.partitionBy("length").orderBy("task").rowsBetween(W.unboundedPreceding, -1)
     counts = cut_lineage(counts.select(

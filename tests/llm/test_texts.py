@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +56,26 @@ def test_packing_odd(spark, odd):
     assert packing.pack(packing.tokenised(odd.limit(0))).collect() == []
 
 
+def test_packing_hands_workers_small_batches(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array([batch.nbytes], pa.int64()), "text": pa.array(["a"])})
+
+    rows = spark.range(9000).coalesce(1).select(F.repeat(F.lit("word "), 400).alias("text"))
+    before = {k: spark.conf.get(k) for k in frames.SPARING}
+    got = packing.pack(packing.tokenised(rows.mapInArrow(sizes, "doc_id long, text string"))).collect()
+    assert max(r.doc_id for r in got) < 10 << 20
+    assert {k: spark.conf.get(k) for k in frames.SPARING} == before
+
+
+def test_packing_of_texts_tokenised_in_several_goes(spark):
+    docs = [(i, f"word{i % 7} Other's {i} " * 60 if i % 11 else None) for i in range(1500)]
+    docs[700] = (700, "a long one " * 110_000)  # more than is tokenised at once
+    assert sum(len(t or "") for _, t in docs) > 2 * packing.AT_ONCE and len(docs[700][1]) > packing.AT_ONCE
+    frame = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    check_packing(packing.pack(packing.tokenised(frame)).collect(), docs)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plan_is_whole_and_tight(seed):
     rng = np.random.default_rng(seed)
@@ -314,6 +335,20 @@ def test_stored_tables_leave_no_shuffle_files(spark):
     assert kept.count() == 7
 
 
+def test_workers_give_back_what_other_operators_held(monkeypatch):
+    monkeypatch.setattr(frames, "_caches", {})
+    frames.worker_cache("one")["blocks"] = [bytes(1000) for _ in range(200_000)]
+    kept = frames.worker_cache("one")["blocks"][::4000]  # a few that stay hold the others' pages
+    held = resident()
+    frames.worker_cache("two")
+    assert len(kept) == 50 and resident() < held - 100
+
+
+def resident():
+    """MB of memory this process holds."""
+    return int(re.search(r"VmRSS:\s+(\d+)", Path("/proc/self/status").read_text())[1]) / 1024
+
+
 def test_workers_of_stored_tables_get_small_batches(spark):
     def sizes(batches):
         for batch in batches:
