@@ -30,8 +30,10 @@ from faultline.llm.frames import components, having_ids, maybe_in, stored, table
 _U = np.uint64
 #: Lists longer than this are compared as a group, not pair by pair.
 LONG_LIST = 48
-#: Shingles that may be known as common; their number bounds what is broadcast.
-COMMON = 1 << 16
+#: Shingles that may be known as common, 8 bytes each; their number bounds what is broadcast.
+COMMON = 1 << 20
+#: Parts into which shingles are dealt to be counted, and the bits of a shingle that are kept beside its part.
+PART_BITS, REST_BITS = 10, 32
 #: Sets above this size never list subsets, whatever the cost model says.
 MOST_SMALL = 14
 #: Texts and shingles of a block whose sets are compared, and texts of one whose bitmaps are.
@@ -42,9 +44,11 @@ BITMAP_SHINGLES, SLOTS = 1 << 25, 1 << 11
 AT_ONCE = 1 << 20
 #: Bits of a block's number below its level.
 BLOCK_BITS = 24
-#: Shingles a task counts before it passes them on.
-COUNTED = 1 << 18
-SHAPE = "doc_id long, n int, s1 long, s2 long, token long, hits long"
+#: Shingles a task holds before it passes their counts on.
+COUNTED = 1 << 20
+#: Places of the table that tells most shingles from the common ones.
+SIEVE = 1 << 23
+SHAPE = "doc_id long, n int, s1 long, s2 long, part int, once binary, often binary, times binary"
 
 
 def overlap(n: int, m: int, percent: int) -> int:
@@ -65,46 +69,116 @@ def subset_cost(n: int, percent: int) -> int:
                if overlap(n, m, percent) <= min(n, m))
 
 
+def reach(n: int, percent: int) -> int:
+    """Shingles of a set that are counted: its prefix, and what follows if some of that is common."""
+    p = prefix(n, percent)
+    return p + p // 4 + 8
+
+
+def brief(s: np.ndarray) -> np.ndarray:
+    """42 bits of each shingle hash, its part on top: what is counted and known as common.
+
+    Shingles that agree in them are common together, so the order stays the same in every set.
+    """
+    return ((s & _U((1 << PART_BITS) - 1)) << _U(REST_BITS)) | ((s >> _U(PART_BITS)) & _U((1 << REST_BITS) - 1))
+
+
 def shapes(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Per text its size and 128-bit set digest; per task the prefix shingles it met repeatedly."""
+    """Per text its size and 128-bit set digest; per task and part how often it met which shingles.
+
+    `once` and `often` hold 4 bytes a shingle, `times` the counts of those met more than once.
+    """
+
+    def counted(seen):
+        tokens, n = np.unique(brief(np.concatenate(seen)), return_counts=True)
+        seen.clear()
+        ends = np.arange((1 << PART_BITS) + 1, dtype=np.uint64) << _U(REST_BITS)
+
+        def parts(values, pick):
+            at = np.searchsorted(tokens[pick], ends).astype(np.int32) * 4
+            data = np.ascontiguousarray(values[pick].astype(np.uint32))
+            return pa.BinaryArray.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(data)])
 
-    def counted(counts):
-        no = pa.nulls(len(counts), pa.int64())
-        out = pa.RecordBatch.from_arrays(
-            [no, no.cast(pa.int32()), no, no, pa.array(list(counts), pa.int64()),
-             pa.array(list(counts.values()), pa.int64())], ["doc_id", "n", "s1", "s2", "token", "hits"])
-        counts.clear()
-        return out
+        no = pa.nulls(1 << PART_BITS, pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [no, no.cast(pa.int32()), no, no, pa.array(np.arange(1 << PART_BITS, dtype=np.int32)),
+             parts(tokens, n == 1), parts(tokens, n > 1), parts(n, n > 1)],
+            ["doc_id", "n", "s1", "s2", "part", "once", "often", "times"])
 
     def run(batches):
         worker_cache("jaccard")
-        counts: dict[int, int] = {}
+        seen, held = [], 0
         for batch in batches:
             data, at = T.utf8(batch.column(1))
-            size, one, two, seen = [], [], [], []
+            size, one, two = [], [], []
             for lo, hi in T.chunks(at, AT_ONCE):
                 for s in T.shingle_sets(data[at[lo]:at[hi]], at[lo:hi + 1] - at[lo], k):
                     size.append(len(s))
                     one.append(int((T.mix(s).sum(dtype=np.uint64)).view(np.int64)))
                     two.append(int((T.mix(s ^ _U(0xA0761D6478BD642F)).sum(dtype=np.uint64)).view(np.int64)))
                     if len(s):
-                        seen.append(s[:prefix(len(s), percent)])
-            if seen:
-                tokens, n = np.unique(np.concatenate(seen), return_counts=True)
-                often = n > 1
-                for t, c in zip(tokens[often].view(np.int64).tolist(), n[often].tolist()):
-                    counts[t] = counts.get(t, 0) + c
-            none = pa.nulls(len(size), pa.int64())
+                        seen.append(s[:reach(len(s), percent)].copy())  # else the whole set stays
+                        held += len(seen[-1])
+                if held > COUNTED:
+                    yield counted(seen)
+                    held = 0
+            none, empty = pa.nulls(len(size), pa.int32()), pa.nulls(len(size), pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(size, pa.int32()), pa.array(one, pa.int64()),
-                 pa.array(two, pa.int64()), none, none], ["doc_id", "n", "s1", "s2", "token", "hits"])
-            if len(counts) > COUNTED:
-                yield counted(counts)
-        yield counted(counts)
+                 pa.array(two, pa.int64()), none, empty, empty, empty],
+                ["doc_id", "n", "s1", "s2", "part", "once", "often", "times"])
+        if seen:
+            yield counted(seen)
 
     return docs.mapInArrow(run, SHAPE)
 
 
+def frequencies(met: DataFrame) -> DataFrame:
+    """(token, hits, squares): shingles met more than LONG_LIST times, as `brief`; in rows without a
+    token, the sums of the counts above 1 and of their squares.
+    """
+    longest = LONG_LIST
+
+    def run(batches):
+        part, held, out = None, [], []
+
+        def summed():
+            tokens = np.concatenate([x for x, _ in held])
+            order = np.argsort(tokens, kind="stable")
+            tokens = tokens[order]
+            head = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1]))[:len(tokens)])
+            n = np.add.reduceat(np.concatenate([c for _, c in held])[order], head) if len(head) else head
+            out.append((None, int(n[n > 1].sum()), float((n[n > 1].astype(float) ** 2).sum())))
+            many = n > longest
+            top = part << REST_BITS
+            out.extend((top | t, c, None) for t, c in zip(tokens[head][many].tolist(), n[many].tolist()))
+            held.clear()
+
+        def rows():
+            token, hits, squares = zip(*out) if out else ((), (), ())
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(token, pa.int64()), pa.array(hits, pa.int64()),
+                                               pa.array(squares, pa.float64())], ["token", "hits", "squares"])
+
+        for batch in batches:
+            for p, *blobs in zip(*(c.to_pylist() for c in batch.columns)):
+                if p != part:
+                    if held:
+                        summed()
+                    part = p
+                once, often, times = (np.frombuffer(b, np.uint32) for b in blobs)
+                held.append((np.concatenate((once, often)),
+                             np.concatenate((np.ones(len(once), np.int64), times.astype(np.int64)))))
+            if len(out) > COUNTED:
+                yield rows()
+        if held:
+            summed()
+        yield rows()
+
+    parts = met.where("part IS NOT NULL").select("part", "once", "often", "times").repartition("part")
+    return parts.sortWithinPartitions("part").mapInArrow(run, "token long, hits long, squares double")
+
+
 def boundary(sizes: dict[int, int], list_length: float, percent: int) -> int:
     """The size up to which listing subsets is cheaper than scanning lists."""
     best, least = 0, float("inf")
@@ -124,8 +198,23 @@ def postings(docs: DataFrame, k: int, percent: int, common: np.ndarray, small: i
     from_size = ceil(percent * (small + 1) / 100)
     shared = docs.sparkSession.sparkContext.broadcast(np.sort(common))  # at most COMMON values
 
+    def sieve(known):
+        maybe = np.zeros(SIEVE, bool)
+        maybe[(known & _U(SIEVE - 1)).astype(np.int64)] = True
+
+        def are_common(s):
+            if not len(known):
+                return np.zeros(len(s), bool)
+            s = brief(s)
+            out = maybe[(s & _U(SIEVE - 1)).astype(np.int64)]
+            at = np.flatnonzero(out)
+            out[at] = known[np.minimum(np.searchsorted(known, s[at]), len(known) - 1)] == s[at]
+            return out
+
+        return are_common
+
     def run(batches):
-        known = shared.value
+        are_common = sieve(shared.value)
         for batch in batches:
             ids = batch.column(0).to_pylist()
             data, at = T.utf8(batch.column(1))
@@ -139,11 +228,13 @@ def postings(docs: DataFrame, k: int, percent: int, common: np.ndarray, small: i
                     rare = late = none = np.zeros(0, np.uint64)
                     listed = ([none], [none])
                     if n >= from_size:
-                        known_ = known[np.minimum(np.searchsorted(known, s), len(known) - 1)] == s \
-                            if len(known) else np.zeros(n, bool)
-                        p = prefix(n, percent)
-                        rare = s[~known_][:p]
-                        late = s[known_][:p - len(rare)]
+                        p, head = prefix(n, percent), s[:reach(n, percent)]
+                        late = are_common(head)
+                        rare = head[~late][:p]
+                        if len(rare) < p and len(head) < n:
+                            head, late = s, are_common(s)
+                            rare = head[~late][:p]
+                        late = head[late][:p - len(rare)]
                     if n <= small:
                         own = T.mix(s)
                         for m in partners(n, percent):
@@ -456,16 +547,16 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     """(doc_id, n_shingles, component_id) of every row."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     met = stored(shapes(docs, k, percent))
-    shape = met.where("token IS NULL").select("doc_id", "n", "s1", "s2")
-    # the commonest shingles, by what single tasks met repeatedly: any choice gives the same links
-    hits = met.where("token IS NOT NULL").groupBy("token").agg(F.sum("hits").alias("hits"))
-    hits = stored(hits)
-    common = np.array([r[0] for r in hits.where(F.col("hits") > LONG_LIST).orderBy(F.desc("hits"), "token")
-                      .limit(COMMON).collect()], np.int64).view(np.uint64)
+    shape = met.where("part IS NULL").select("doc_id", "n", "s1", "s2")
+    # the shingles that would make long lists: any choice gives the same links, but those left out
+    # tie texts that have little in common into groups, whose comparison grows with their square
+    hits = stored(frequencies(met))
+    common = (hits.where("token IS NOT NULL").orderBy(F.desc("hits"), "token").limit(COMMON).select("token")
+              .toArrow().column(0).to_numpy().astype(np.uint64))
     classes = stored(shape.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2")
                      .agg(F.min("doc_id").alias("rep")))
     sizes = {r[0]: r[1] for r in classes.where(F.col("n") <= MOST_SMALL).groupBy("n").count().collect()}
-    mass = hits.agg(F.sum(F.col("hits") * F.col("hits")), F.sum("hits")).first()
+    mass = hits.where("token IS NULL").agg(F.sum("squares"), F.sum("hits")).first()
     small = boundary(sizes, float(mass[0] or 1) / float(mass[1] or 1), percent)
     # texts that stand for no class are left out; only those that may be such are shuffled for it
     gone = shape.where("n > 0 AND doc_id IS NOT NULL").select("doc_id").distinct().join(

@@ -233,6 +233,34 @@ def test_bitmaps_tell_large_sets_apart():
     assert left == [(4, 2)]
 
 
+def test_jaccard_phrases_met_once_a_batch_tie_no_texts(spark, monkeypatch):
+    """Phrases that many texts share, though none is frequent in a single batch, make no group."""
+    monkeypatch.setattr(jaccard, "LONG_LIST", 5)
+    blocks, members = jaccard._blocks, []
+
+    def counted(group, *rest):
+        members.append(group.count())
+        return blocks(group, *rest)
+
+    monkeypatch.setattr(jaccard, "_blocks", counted)
+    rng = np.random.default_rng(8)
+    phrases = [" ".join(f"p{i}{c}" for c in "abcd") for i in range(1000)]
+    docs = []
+    for i in range(400):
+        parts = [phrases[p] for p in rng.choice(1000, 20, replace=False)] + [f"u{i}x{j}" for j in range(120)]
+        docs.append((i, " ".join(rng.permutation(parts))))
+    docs.append((400, docs[7][1] + " end"))
+    per_batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+        got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(frame, 4, 85).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", per_batch)
+    assert got == {i: i for i in range(400)} | {400: 7}
+    assert max(members) == 0
+
+
 def test_jaccard_odd(spark, odd):
     got = jaccard.jaccard_components(odd, 4, 85).collect()
     assert len(got) == odd.count()
