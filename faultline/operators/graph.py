@@ -152,10 +152,14 @@ def plan_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     smaller entries can be placed.
 
     A run of nodes with one upstream node each cuts and extends the key of the node above it by
-    what `follow` gathers.  So rounds are only taken from one level of nodes where paths meet to
-    the next.  A round joins the edges with the nodes placed by the round before; of the others
-    only those are touched whose count of placed upstream nodes grew.  Placed nodes are appended
-    to a table and not read again.
+    what `follow` gathers, its `tail`.  Of runs that part and meet again the one with the greatest
+    tail gives the last key, whatever the key above them is, so they are one; a run from a node
+    whose key is known gives a key the node below has at least, its `floor`.  A node with one more
+    run into it is then part of a longer run.  This is repeated while there are such nodes, as often
+    as the logarithm of their number.  Rounds are only taken from one level of what is left, where
+    paths from different places meet, to the next.  A round joins the edges with the nodes placed by
+    the round before; of the others only those are touched whose count of placed upstream nodes
+    grew.  Placed nodes are appended to a table and not read again.
     """
     own = F.struct("tier", "name", "key")
     n = cut_lineage(nodes.withColumn("own", own))
@@ -169,28 +173,76 @@ def plan_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     into = e.groupBy("change_id", F.col("down").alias("key")).agg(
         F.count("*").alias("need"), F.first("up").alias("up"))
     state = cut_lineage(n.join(into, ["change_id", "key"], "left").na.fill(0, ["need"]))
-    single = state.where(F.col("need") == 1).select(
-        "change_id", F.col("key").alias("node"), "up", F.col("own").alias("above"),
-        F.array("own").alias("tail"))
-    runs = follow(single, ["change_id"], ["above", "tail"], lambda upper, lower: {
-        "above": F.greatest(upper("above"), lower("above")),
-        "tail": F.concat(F.filter(upper("tail"), lambda x: x > lower("above")), lower("tail"))})
+    none = F.lit(None).cast(state.select(F.array("own").alias("path")).schema["path"].dataType)
 
-    def through(path: str) -> Column:
+    def cut(path: str) -> Column:
+        """The key of a node whose upstream nodes give it `path`."""
+        return F.concat(F.filter(path, lambda x: x > F.col("own")), F.array("own"))
+
+    def through(path: str, above: str = "above", tail: str = "tail", floor: str = "floor") -> Column:
         """The key at the end of a run, from the key of the node above the run."""
-        return F.when(F.col("above").isNull(), F.col(path)).otherwise(
-            F.concat(F.filter(path, lambda x: x > F.col("above")), F.col("tail")))
-
-    meets = state.where(F.col("need") > 1).select("change_id", F.col("key").alias("down"), "own", "need")
-    ends = runs.select("change_id", F.col("node").alias("up"), F.col("up").alias("top"), "above",
-                       "tail", "stuck")
-    jumps = cut_lineage(e.join(meets, ["change_id", "down"]).join(ends, ["change_id", "up"], "left")
-                        .where(~F.coalesce("stuck", F.lit(False)))
-                        .select("change_id", F.coalesce("top", "up").alias("up"), "down", "own",
-                                "need", "above", "tail"))
+        return F.greatest(floor, F.when(F.col(above).isNull(), F.col(path)).otherwise(
+            F.concat(F.filter(path, lambda x: x > F.col(above)), F.col(tail))))
+
+    def longer(steps: DataFrame) -> DataFrame:
+        def after(upper: Column, lower) -> Column:
+            return F.concat(F.filter(upper, lambda x: x > lower("above")), lower("tail"))
+
+        return follow(steps, ["change_id"], ["above", "tail", "floor"], lambda upper, lower: {
+            "above": F.greatest(upper("above"), lower("above")), "tail": after(upper("tail"), lower),
+            "floor": F.greatest(lower("floor"), after(upper("floor"), lower))})
+
+    def led(jumps: DataFrame, runs: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Jumps (up, down, own, tail, floor) from where the runs above them begin, one from each
+        such place that has no known key; `need` of them enter a node, and none if one comes from a
+        cycle.  Nodes that none enters any more have keys."""
+        ends = runs.select("change_id", F.col("node").alias("up"), F.col("up").alias("top"),
+                           F.col("above").alias("over"), F.col("tail").alias("head"),
+                           F.col("floor").alias("base"), "stuck")
+        met = jumps.withColumn("above", F.get("tail", F.lit(0))).join(ends, ["change_id", "up"], "left")
+        met = met.select("change_id", F.coalesce("top", "up").alias("up"), "down", "own",
+                         F.when(F.col("head").isNull(), F.col("tail")).when(F.col("above").isNull(), F.col("head"))
+                         .otherwise(F.concat(F.filter("head", lambda x: x > F.col("above")), F.col("tail")))
+                         .alias("long"), F.greatest("over", "above").alias("most"),
+                         through("base").alias("least"), "stuck")
+        met = met.join(known.select("change_id", F.col("key").alias("up"), "path"), ["change_id", "up"], "left")
+        met = met.select("change_id", F.when(F.col("path").isNull(), F.col("up")).alias("up"), "down", "own",
+                         F.when(F.col("path").isNull(), F.col("long")).alias("tail"),
+                         F.when(F.col("path").isNull(), F.col("least")).otherwise(
+                             through("path", "most", "long", "least")).alias("floor"), "stuck")
+        met = stored_table(met.groupBy("change_id", "up", "down", "own").agg(
+            F.max("tail").alias("tail"), F.max("floor").alias("floor"), F.max("stuck").alias("stuck")))
+        into = met.groupBy("change_id", "down").agg(
+            F.count("up").alias("need"), F.max("floor").alias("floor"), F.max("stuck").alias("stuck"))
+        met = stored_table(met.drop("floor", "stuck").join(
+            into.where(~F.coalesce("stuck", F.lit(False))).drop("stuck"), ["change_id", "down"])
+            .where(F.col("up").isNotNull() | (F.col("need") == 0))
+            .withColumn("above", F.get("tail", F.lit(0))))  # the greatest of the run comes first
+        return (met.where(F.col("need") > 0),
+                met.where(F.col("need") == 0).select("change_id", F.col("down").alias("key"), cut("floor").alias("path")))
+
+    single = state.where(F.col("need") == 1).select(
+        "change_id", F.col("key").alias("node"), "up", F.col("own").alias("above"),
+        F.array("own").alias("tail"), none.alias("floor"))
+    meets = state.where(F.col("need") > 1).select("change_id", F.col("key").alias("down"), "own")
+    meets = cut_lineage(e.join(meets, ["change_id", "down"]).withColumns({"tail": none, "floor": none}))
+    roots = stored_table(state.where(F.col("need") == 0).join(
+        e.select("change_id", F.col("up").alias("key")).distinct(), ["change_id", "key"], "left_semi")
+        .select("change_id", "key", F.array("own").alias("path")))
     placed = Appended(n.sparkSession, "placed")
-    fresh = cut_lineage(state.where(F.col("need") == 0).select(
-        "change_id", "key", F.array("own").alias("path")))
+    placed.append(roots)
+    layers = [longer(single)]
+    jumps, fresh = led(meets, layers[0], roots)
+    for _ in range(meets.count().bit_length()):
+        alone = jumps.where(F.col("need") == 1)
+        if alone.isEmpty():
+            break
+        placed.append(fresh)
+        layers.append(longer(alone.select(
+            "change_id", F.col("down").alias("node"), "up", F.greatest("above", "own").alias("above"),
+            F.coalesce(cut("tail"), F.array("own")).alias("tail"), cut("floor").alias("floor"))))
+        jumps, fresh = led(jumps.where(F.col("need") > 1).select("change_id", "up", "down", "own", "tail", "floor"),
+                           layers[-1], fresh)
     partial = None
     while not fresh.isEmpty():
         placed.append(fresh)
@@ -204,16 +256,18 @@ def plan_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             F.sum("got").alias("got"), F.max("last").alias("last")))
         partial = counts.where(F.col("got") < F.col("need"))
         fresh = counts.where(F.col("got") == F.col("need")).select(
-            "change_id", F.col("down").alias("key"), F.concat(
-                F.filter("last", lambda x: x > F.col("own")), F.array("own")).alias("path"))
+            "change_id", F.col("down").alias("key"), cut("last").alias("path"))
     done = placed.read(fresh.schema)
-    runs = runs.where(~F.col("stuck")).join(
-        done.withColumnRenamed("key", "up"), ["change_id", "up"]).select(
-        "change_id", F.col("node").alias("key"), through("path").alias("path"))
-    done = cut_lineage(done.unionByName(runs))
-    ordered = n.drop("own").join(done, ["change_id", "key"], "left")
-    return ordered.withColumn("cycle", F.col("path").isNull().cast("int")).withColumn(
-        "path", F.coalesce("path", F.array(own)))
+    for runs in reversed(layers):
+        inside = runs.where(~F.col("stuck")).join(
+            done.withColumnRenamed("key", "up"), ["change_id", "up"]).select(
+            "change_id", F.col("node").alias("key"), through("path").alias("path"))
+        done = stored_table(done.unionByName(inside))
+    # what no edge enters or leaves stands for itself
+    ordered = state.drop("up").join(done, ["change_id", "key"], "left")
+    cycle = F.col("path").isNull() & (F.col("need") > 0)
+    return ordered.withColumn("cycle", cycle.cast("int")).withColumn(
+        "path", F.coalesce("path", F.array("own"))).drop("own", "need")
 
 
 def with_step(ordered: DataFrame) -> DataFrame:

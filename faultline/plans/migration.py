@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from .. import model as M
 from ..functions import expr as X
 from ..operators import graph as G
+from ..scale import stored_table
 
 
 def plan_nodes(verdicts: DataFrame) -> DataFrame:
@@ -35,7 +36,7 @@ def plan_steps(verdicts: DataFrame, edges: DataFrame, fixes: DataFrame | None =
     impacted that no fix reaches.  Absent tables leave `not verified` and the
     placeholder for a human.
     """
-    nodes = plan_nodes(verdicts)
+    nodes = stored_table(plan_nodes(verdicts))  # the order and the steps read them
     order = G.with_step(G.plan_order(nodes.select("change_id", "key", "tier", "name"), edges))
     d = nodes.join(order.select("change_id", "key", "step"), ["change_id", "key"])
     if fixes is not None:
