@@ -261,6 +261,19 @@ def test_jaccard_phrases_met_once_a_batch_tie_no_texts(spark, monkeypatch):
     assert max(members) == 0
 
 
+def test_jaccard_counts_shingles_over_all_texts(spark):
+    """Counts do not depend on which texts share a task."""
+    docs = [(i, f"u{i} common phrase of some words" if i < 60 else f"u{i} {i % 20} is in three texts") for i in range(120)]
+    met = jaccard.shapes(spark.createDataFrame(docs, "doc_id long, text string").repartition(8), 5, 80).cache()
+    rows = jaccard.frequencies(met).collect()
+    sets = [jaccard.T.shingle_sets(*jaccard.T.utf8(pa.array([text])), 5)[0] for _, text in docs]
+    want = Counter(t for s in sets for t in jaccard.brief(s).tolist())
+    assert {r.token: r.hits for r in rows if r.token is not None} == {t: n for t, n in want.items() if n > 48}
+    assert sum(r.hits for r in rows if r.token is None) == sum(n for n in want.values() if n > 1)
+    assert sum(r.squares for r in rows if r.token is None) == sum(n * n for n in want.values() if n > 1)
+    met.unpersist()
+
+
 def test_jaccard_odd(spark, odd):
     got = jaccard.jaccard_components(odd, 4, 85).collect()
     assert len(got) == odd.count()
